@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, tiff, token_counts, token_records
+from . import exact_dedup, mixing, ngram_join, packing, quality, tiff, token_counts, token_records
 
 QUERIES = {
     f.__name__: f
     for f in (
         packing.op1_best_fit_packing,
         mixing.op2_source_mixing,
+        ngram_join.op4_ngram_join,
         tiff.op6_tiff_media,
         exact_dedup.op7_exact_dedup,
         token_records.op8_token_records,
         token_counts.op9_token_counts,
+        quality.op10_quality_classifier,
     )
 }
 
 SQL = {
     "op2_source_mixing": mixing.OP2_SQL,
+    "op4_ngram_join": ngram_join.OP4_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
 }
