@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, ngram_join, packing, quality, tiff, token_counts, token_records
+from . import exact_dedup, mixing, ngram_join, packing, quality, tiff, token_counts, token_records, toxicity
 
 QUERIES = {
     f.__name__: f
@@ -10,6 +10,7 @@ QUERIES = {
         packing.op1_best_fit_packing,
         mixing.op2_source_mixing,
         ngram_join.op4_ngram_join,
+        toxicity.op5_toxicity,
         tiff.op6_tiff_media,
         exact_dedup.op7_exact_dedup,
         token_records.op8_token_records,
