@@ -1,9 +1,64 @@
-"""Toxicity, exact duplicates, near duplicates, source mixing and packing, over the documents table."""
+"""A training corpus from the documents table: toxic documents go, of exact and near copies one stays,
+sources are mixed to their weights, and what is left is packed into sequences.
 
-STAGES: list = []
+Each stage is written as a table in the cluster's shared folder and read again as the next one's input,
+so a lost executor costs no more than the tasks it ran."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kgweave.llm import exact_dedup, mixing, ngram_join, packing, toxicity
+from kgweave.llm.common import documents, held_out, labels, materialise
+from kgweave.llm.tokens import public_path
+
+CAPACITY, TOXIC_FROM = 2048, 0.5
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below TOXIC_FROM, by a model of the labelled rows outside the held-out fold."""
+    known = labels(spark, sf_dir).where(~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("label"))
+    scored = toxicity.score(docs, toxicity.train(docs, known), keep=docs.columns)
+    return scored.where(F.col("score") < TOXIC_FROM).select(*docs.columns)
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The one row of each group of equal normalised texts that stays."""
+    return exact_dedup.exact_duplicates(docs).where("kept").select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of linked ones. Rows that share an id stay or go together."""
+    groups = ngram_join.near_duplicates(docs)
+    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mixing.emit(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces with their places in sequences."""
+    return packing.pack_documents(docs, public_path("word_bpe_49k.json"), CAPACITY)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact dedup", drop_exact_copies),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("mixing sources to target weights", mix_sources),
+    ("best-fit packing", pack),
+]
+
+#: The first and third stages need a trained model and components; see tests/llm for brute-force versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES:
+        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs

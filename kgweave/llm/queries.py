@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, ngram_join, packing, quality, tiff, token_counts, token_records, toxicity
+from . import exact_dedup, line_dedup, mixing, ngram_join, packing, quality, tiff, token_counts, token_records, toxicity
 
 QUERIES = {
     f.__name__: f
     for f in (
         packing.op1_best_fit_packing,
         mixing.op2_source_mixing,
+        line_dedup.op3_line_dedup,
         ngram_join.op4_ngram_join,
         toxicity.op5_toxicity,
         tiff.op6_tiff_media,

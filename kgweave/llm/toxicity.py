@@ -298,8 +298,10 @@ def _platt(s: np.ndarray, y: np.ndarray, weights: np.ndarray) -> tuple[float, fl
     return float(w[0] / spread), float(w[1] - w[0] * mean / spread)
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float, float]) -> DataFrame:
-    """doc_id, score of every row; whole texts. Null and empty texts score like one without a likely unit."""
+def score(docs: DataFrame, model: tuple[np.ndarray, float, float], keep: list[str] | None = None) -> DataFrame:
+    """doc_id (or the columns to keep, text among them) and score of every row; whole texts.
+
+    Null and empty texts score like one without a likely unit. A column named score is replaced."""
     table, slope, offset = model
     shared = docs.sparkSession.sparkContext.broadcast(table)  # 32^3 numbers
 
@@ -308,9 +310,11 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float, float]) -> DataFrame:
         for batch in batches:
             for r in slices(batch, "text"):
                 s = np.array(strongest(r["text"]))
-                yield {"doc_id": r["doc_id"], "score": 1 / (1 + np.exp(-np.clip(slope * s + offset, -35, 35)))}
+                yield {c: r[c] for c in kept} | {"score": 1 / (1 + np.exp(-np.clip(slope * s + offset, -35, 35)))}
 
-    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+    kept = [c for c in keep or ["doc_id"] if c != "score"]
+    fields = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in kept)
+    return map_arrow(docs.select(*dict.fromkeys([*kept, "text"])), run, f"{fields}score double")
 
 
 def trained(spark: SparkSession, sf_dir: str) -> tuple[np.ndarray, float, float]:
