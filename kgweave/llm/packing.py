@@ -36,7 +36,7 @@ def cut_pieces(df: DataFrame, path: str, capacity: int, end_id: int = 0) -> Data
     def run(batches):
         encode = encoder(path)
         for batch in batches:
-            for rows in slices(batch, "text"):
+            for rows in slices(batch, "text", 1 << 23):
                 out = defaultdict(list)
                 for i, ids in zip(rows["doc_id"], encode(rows["text"]), strict=True):
                     ids += end
