@@ -101,11 +101,11 @@ def layout_chunks(pages: DataFrame) -> DataFrame:
     blocks = info.select("source", "page_num", F.col("i.page_idx").alias("page_idx"), F.get("i.page_size", F.lit(0)).alias("page_width"), F.get("i.page_size", F.lit(1)).alias("page_height"), F.posexplode("i.preproc_blocks").alias("block", "b"))
     text = lambda lines: F.array_join(F.flatten(F.transform(F.coalesce(lines, F.array().cast(_LINES)), lambda l: F.transform(l["spans"], lambda s: F.coalesce(s["content"], F.lit(""))))), "")
     sub = lambda kind: F.array_join(F.transform(F.filter(F.coalesce("b.blocks", F.array().cast(f"ARRAY<STRUCT<type STRING, lines {_LINES}>>")), lambda x: x["type"] == kind), lambda x: text(x["lines"])), "")
-    html = F.get(F.flatten(F.flatten(F.transform(F.coalesce("b.blocks", F.array().cast(f"ARRAY<STRUCT<type STRING, lines {_LINES}>>")), lambda x: F.transform(x["lines"], lambda l: F.transform(l["spans"], lambda s: s["html"]))))), F.lit(0))
+    html = F.get(F.filter(F.flatten(F.flatten(F.transform(F.coalesce("b.blocks", F.array().cast(f"ARRAY<STRUCT<type STRING, lines {_LINES}>>")), lambda x: F.transform(x["lines"], lambda l: F.transform(l["spans"], lambda s: s["html"]))))), lambda h: h.isNotNull()), F.lit(0))
     kind = F.col("b.type")
     category = F.when(kind == "title", 0).when(kind == "table", 2).when(kind == "image", 3).otherwise(1)
     seq = F.row_number().over(W.partitionBy("source").orderBy("page_num", "page_idx", "block")) - 1
-    return blocks.select("source", seq.alias("chunk_seq"), F.concat(F.lit("chunk_"), seq).alias("chunk_id"), (F.col("page_num") - 1 + F.lit(0)).alias("page_idx"), kind.alias("type"), category.alias("category_id"), F.when(kind == "table", sub("table_caption")).when(kind == "image", sub("image_caption")).otherwise(text(F.col("b.lines"))).alias("content"), F.col("b.bbox").alias("bbox_pdf"), "page_width", "page_height", F.when(kind == "table", sub("table_caption")).alias("table_caption"), F.when(kind == "table", html).alias("table_content"), F.when(kind == "table", sub("table_footnote")).alias("table_footnote"), F.when(kind == "image", sub("image_caption")).alias("image_caption"))
+    return blocks.select("source", seq.alias("chunk_seq"), F.concat(F.lit("chunk_"), seq).alias("chunk_id"), (F.col("page_num") - 1).alias("page_idx"), kind.alias("type"), category.alias("category_id"), F.when(kind == "table", sub("table_caption")).when(kind == "image", sub("image_caption")).otherwise(text(F.col("b.lines"))).alias("content"), F.col("b.bbox").alias("bbox_pdf"), "page_width", "page_height", F.when(kind == "table", sub("table_caption")).alias("table_caption"), F.when(kind == "table", html).alias("table_content"), F.when(kind == "table", sub("table_footnote")).alias("table_footnote"), F.when(kind == "image", sub("image_caption")).alias("image_caption"))
 
 
 def ocr_blocks(words: DataFrame, least: float = 30, zoom: float = 2) -> DataFrame:

@@ -192,3 +192,33 @@ def test_plugins(spark):
     assert plugins.repaired_json('```json\n{"a": [1, 2], "b": {"c": "d", "e": "f') == {"a": [1, 2], "b": {"c": "d", "e": "f"}}
     assert plugins.repaired_json("no") is None
     assert plugins.retried(lambda x: 1 / x, 0, 2, 0)[1].startswith("ZeroDivisionError")
+
+
+def test_standards(spark):
+    from kgweave.functions import standards as st
+
+    r = spark.range(1).select(
+        st.topic_core(F.lit("消防车道的要求")), st.topic_core(F.lit("及")), st.with_core(F.lit("水泵安装要求"), F.array(F.lit("阀门"))), st.with_core(F.lit("水泵安装要求"), F.array(F.lit("水泵"))),
+        st.unit(F.lit("10.5 mm")), st.title(F.lit("x" * 101 + "\ny")), st.cross_references(F.lit("见5.2.8和5.2.9、5.2.8")), st.systems(F.lit("TN-S and IT (TT)")),
+        st.scope_prefix(F.lit("2.0.1"), F.lit(False)), st.scope_prefix(F.lit("3.1"), F.lit(False)), st.scope_prefix(F.lit("A.0"), F.lit(True)), st.duration_text(F.lit(65_000)), st.base_status(F.lit("graph_building_failed")),
+        st.markdown_cells(F.lit("| a | b |")), st.markdown_cells(F.lit("|---|---|")), st.image_placeholders(F.lit("x ![](a) y ![](b)"), F.array(F.lit("cap"))), F.length(st.sampled(F.lit("z" * 60_000))),
+    ).first()
+    assert list(r)[:4] == ["消防车道", None, ["阀门", "水泵"], ["水泵"]]
+    assert r[4] == "mm" and r[5] == "x" * 100 + "..." and r[6] == ["5.2.8", "5.2.9"]
+    assert [tuple(s) for s in r[7]] == [("TN", "-S"), ("IT", None), ("TT", None)]
+    assert list(r)[8:13] == ["2.0", "3", "A", "1m 5s", "failed"]
+    assert r[13] == ["a", "b"] and r[14] is None and r[15] == "x [image 1: cap] y [image 2]" and 49_000 < r[16] < 50_300
+
+
+def test_linking(spark):
+    from kgweave.operators import linking
+
+    chunks = spark.createDataFrame([(0, 0, "5.2.1 see 5.2.2", [0.0, 0.0, 1.0, 1.0], "text"), (1, 0, "5.2.1 again", [5.0, 5.0, 6.0, 6.0], "text"), (2, 3, "about 5.2.1", [2.0, 2.0, 3.0, 3.0], "text"), (3, 4, "表5.1.2 sizes", [], "table")], "chunk_seq int, page_idx int, content string, bbox_pdf array<double>, type string")
+    clauses = spark.createDataFrame([("5.2.1", None, None), ("5.2.2", 9, [[1.0, 0.0, 0.0, 1.0, 1.0]]), ("9.9", None, None)], "clause_id string, page int, boxes array<array<double>>")
+    got = {r["clause_id"]: (r["page"], r["boxes"]) for r in linking.backfill_pages(clauses, chunks).collect()}
+    assert got == {"5.2.1": (0, [[0.0, 0.0, 0.0, 1.0, 1.0], [3.0, 2.0, 2.0, 3.0, 3.0]]), "5.2.2": (9, [[1.0, 0.0, 0.0, 1.0, 1.0]]), "9.9": (None, None)}
+    long = "every pump shall be tested under full load before the system is handed over"
+    c = spark.createDataFrame([("1.1", "title one"), ("8.8", long[:60]), ("7.7", "x" * 10)], "clause_id string, content string")
+    k = spark.createDataFrame([(0, "1.1 Title"), (1, long), (2, long + " " + "filler " * 40)], "chunk_seq int, content string")
+    assert sorted((r["clause_id"], r["chunk_seq"], r["tier"]) for r in linking.resolve_positions(c, k).collect()) == [("1.1", 0, 1), ("8.8", 1, 2)]
+    assert [r["number"] for r in linking.table_chunks(chunks.withColumn("chunk_id", F.lit("c"))).collect()] == ["5.1.2"]
