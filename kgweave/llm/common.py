@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -18,7 +19,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 #: ASCII white space, as the contracts write it: [\x20\x09-\x0D].
 SPACES = "\\x20\\x09-\\x0D"
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_CLEANUP, _BATCH = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.execution.arrow.maxBytesPerBatch"
+_BY_SIZE = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,18 +40,28 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/kgweave-{uuid.uuid4().hex}/{tag}"
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """df, written as a table in the shared folder and read again: cuts lineage, survives lost executors.
+@contextlib.contextmanager
+def writing(spark: SparkSession, batch: str):
+    """Settings for a scratch write; afterwards the session's own are back. Shuffle files go when the query
+    ends, as nothing reads them again; batches for Python are small, as rows can be long; small tables get
+    few files."""
+    settings = {_CLEANUP: "true", _BATCH: batch, _BY_SIZE: "false"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
 
-    Shuffle files of the writing query are dropped when it ends, as nothing reads them again."""
+def materialise(df: DataFrame, tag: str, compression: str = "snappy", batch: str = "16m") -> DataFrame:
+    """df, written as a table in the shared folder and read again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, tag)
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    with writing(spark, batch):
+        df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

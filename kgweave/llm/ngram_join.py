@@ -3,13 +3,15 @@
 A document's set is its distinct five-word shingles, as 48-bit hashes in hash order. Two sets with
 similarity >= 0.8 share a token among the first P = n - ceil(0.8 n) + 1 of each, and more generally so many
 of these that what is left of the longer one can't make up for what is missing: that count is asked for
-before a pair's whole sets are compared.
+before a pair's whole sets are compared. Prefixes are `slack` tokens longer than P, so that every similar
+pair shares at least 1 + slack.
 
-Estimated cost makes prefixes longer. A token that many unlinked documents hold is costly. For each
-costly token in its prefix a document's prefix grows by one token, and one more shared token is needed,
-so that at least one of those shared is cheap: candidates come from cheap tokens only. A document with
-too few cheap tokens is saturated; pairs of two such are compared within clusters of documents that
-share prefix tokens, in blocks of bounded size, of which only spanning links leave.
+Estimated cost makes prefixes longer still. A token that many unlinked documents hold is costly. A pair
+that shares a cheap prefix token is a candidate already. Any other similar pair has more than slack costly
+tokens in both its prefixes. Such documents' prefixes grow by one token for each costly one, and one more
+shared token is needed, so that at least one of those shared is cheap: candidates come from cheap tokens
+only. A document with too few cheap tokens is saturated; pairs of two such are compared within clusters of
+documents that share prefix tokens, in blocks of bounded size, of which only spanning links leave.
 
 Groups of copies never make all their pairs: equal sets are one node, and first each document is
 compared with its tokens' smallest node only. Documents already connected are not compared again.
@@ -23,11 +25,12 @@ import re
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import documents, map_arrow, materialise, slices, struct
+from .common import documents, map_arrow, slices, struct
+from .common import materialise as written
 from .components import components
 
 WORDS, PERCENT = 5, 80
@@ -35,15 +38,22 @@ WORDS, PERCENT = 5, 80
 #: costly tokens are broadcast at most; the rest stay ordinary tokens.
 COSTLY, COSTLY_TOKENS = 8, 1 << 20
 BLOCK_DOCS, BLOCK_TOKENS = 1024, 1 << 20
+#: Nodes that a comparison needs are told to the scan of whole sets by hash buckets, so many at most.
+BUCKETS = 1 << 20
 _K = np.uint64(0x9E3779B97F4A7C15)
 _UPPER = re.compile("[A-Z]+")
 
 
+def materialise(df: DataFrame, tag: str) -> DataFrame:
+    """A scratch table, with small batches for Python: sorts of whole sets need the memory beside it."""
+    return written(df, tag, batch="4m")
+
+
 class _Words(dict):
     """word: its 64-bit hash; starts anew beyond a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 100_000:
             self.clear()
         v = self[word] = xxhash.xxh3_64_intdigest(word)
         return v
@@ -75,17 +85,22 @@ def unpack48(b: bytes) -> np.ndarray:
     return wide.view("<u8").ravel()
 
 
-def prefix_length(n, percent: int = PERCENT):
+def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def slack(n):
+    """How many tokens more a first prefix has; of numbers and of columns."""
+    return F.floor(n / 32) + 2 if isinstance(n, Column) else n // 32 + 2
+
+
 def shingle_sets(df: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, node (the set's hash; null without words), tokens."""
 
     def run(batches):
         known = _Words()
         for batch in batches:
-            for rows in slices(batch, "text"):
+            for rows in slices(batch, "text", 1 << 19):
                 sets = shingle_hashes(rows["text"], words, known)
                 packed = [pack48(s) for s in sets]
                 nodes = [xxhash.xxh3_64_intdigest(b) - (1 << 63) if b else None for b in packed]
@@ -95,38 +110,63 @@ def shingle_sets(df: DataFrame, words: int = WORDS) -> DataFrame:
     return map_arrow(df.select("doc_id", "text"), run, f"doc_id {kind}, n_shingles long, node long, tokens binary")
 
 
-def postings(sets: DataFrame, percent: int, costly=None) -> DataFrame:
-    """token, node, n, saturated, cheap: the prefix tokens of each node, cheap ones first, then the costly by cost.
+def postings(sets: DataFrame, percent: int) -> DataFrame:
+    """token, node, n: the first tokens of each node in hash order, P and slack."""
+
+    def run(batches):
+        for batch in batches:
+            seen, out, total = set(), [], 0
+            for node, n, tokens in zip(batch["node"].to_pylist(), batch["n_shingles"].to_pylist(), batch["tokens"], strict=True):
+                if not n or node in seen:
+                    continue
+                seen.add(node)
+                size = min(n, prefix_length(n, percent) + slack(n))
+                out.append((unpack48(tokens.as_py()[: 6 * size]).astype(np.int64), node, n))
+                total += size
+                if total > 1 << 16:
+                    yield _rows(out)
+                    out, total = [], 0
+            if out:
+                yield _rows(out)
+
+    return map_arrow(sets.select("node", "n_shingles", "tokens"), run, "token long, node long, n long")
+
+
+def longer_postings(sets: DataFrame, percent: int, costly, explore: bool = False) -> DataFrame:
+    """token, node, n, saturated, cheap: of nodes with over slack costly tokens among their first ones, a prefix
+    longer by as many as are costly: P cheap tokens in hash order. A node with too few of them adds costly
+    ones, the least costly first. With explore, all tokens of such nodes.
 
-    costly: broadcast (sorted tokens, their ranks by cost)."""
+    costly: broadcast (sorted tokens, their ranks by cost; how many of them, from the first on, tell nodes)."""
 
     def run(batches):
-        heavy, rank = costly.value if costly is not None else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        heavy, rank, telling = costly.value
         for batch in batches:
-            seen, out = set(), []
+            seen, out, total = set(), [], 0
             for node, n, tokens in zip(batch["node"].to_pylist(), batch["n_shingles"].to_pylist(), batch["tokens"], strict=True):
                 if not n or node in seen:
                     continue
                 seen.add(node)
-                t = unpack48(tokens.as_py()).astype(np.int64)
-                size, flags, saturated = prefix_length(n, percent), None, False
-                if len(heavy):
+                raw = tokens.as_py()
+                size = prefix_length(n, percent)
+                first = unpack48(raw[: 6 * min(n, size + slack(n))]).astype(np.int64)
+                at = np.minimum(np.searchsorted(telling, first), len(telling) - 1)
+                if int((telling[at] == first).sum()) <= slack(n):
+                    continue
+                t = unpack48(raw).astype(np.int64)
+                if explore:
+                    out.append((t, node, n, False, np.ones(n, bool)))
+                else:
                     at = np.minimum(np.searchsorted(heavy, t), len(heavy) - 1)
                     flags = heavy[at] == t
-                    cheap = t[~flags]
-                    saturated = len(cheap) < size
-                    if saturated:
-                        rest = np.flatnonzero(flags)
-                        rest = rest[np.argsort(rank[at[rest]])][: size - len(cheap)]
-                        t, flags = np.concatenate([cheap, t[rest]]), np.r_[np.ones(len(cheap), bool), np.zeros(len(rest), bool)]
-                    else:
-                        t, flags = cheap[:size], None
-                else:
-                    t = t[:size]
-                out.append((t, node, n, saturated, np.ones(len(t), bool) if flags is None else flags))
-                if sum(len(o[0]) for o in out[-64:]) > 1 << 18 or len(out) >= 1024:
+                    cheap = t[~flags][:size]
+                    rest = np.flatnonzero(flags)
+                    rest = rest[np.argsort(rank[at[rest]])][: size - len(cheap)]
+                    out.append((np.concatenate([cheap, t[rest]]), node, n, len(rest) > 0, np.r_[np.ones(len(cheap), bool), np.zeros(len(rest), bool)]))
+                total += len(out[-1][0])
+                if total > 1 << 16:
                     yield _rows(out)
-                    out = []
+                    out, total = [], 0
             if out:
                 yield _rows(out)
 
@@ -136,7 +176,10 @@ def postings(sets: DataFrame, percent: int, costly=None) -> DataFrame:
 def _rows(out: list) -> dict:
     sizes = [len(o[0]) for o in out]
     spread = lambda k, kind: np.repeat(np.array([o[k] for o in out], kind), sizes)
-    return {"token": np.concatenate([o[0] for o in out]), "node": spread(1, np.int64), "n": spread(2, np.int64), "saturated": spread(3, bool), "cheap": np.concatenate([o[4] for o in out])}
+    rows = {"token": np.concatenate([o[0] for o in out]), "node": spread(1, np.int64), "n": spread(2, np.int64)}
+    if len(out[0]) > 3:
+        rows |= {"saturated": spread(3, bool), "cheap": np.concatenate([o[4] for o in out])}
+    return rows
 
 
 def live(posted: DataFrame) -> DataFrame:
@@ -145,14 +188,16 @@ def live(posted: DataFrame) -> DataFrame:
     Tokens' minima are summed per task before they are shuffled; where a token's rows fill a partition, the
     join is one that adaptive execution splits."""
     shared = posted.groupBy("token").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead <> last").drop("last")
-    return posted.join(shared, "token")
+    return posted.join(shared, "token").distinct()
 
 
-def needed(a: str, b: str, percent: int) -> F.Column:
-    """How many shared prefix tokens a pair of sizes a, b must have."""
+def needed(a: str, b: str, percent: int, slacked: bool) -> Column:
+    """How many shared prefix tokens a pair of sizes a, b must have: what it shares at least, without what can
+    be shared beyond the longer rest."""
     n, m = F.col(a), F.col(b)
     least = F.ceil(percent * (n + m) / (100 + percent))
-    return least - (F.ceil(percent * F.greatest(n, m) / 100) - 1)
+    rest = lambda x: F.greatest(F.ceil(percent * x / 100) - 1 - (slack(x) if slacked else F.lit(0)), F.lit(0))
+    return least - F.greatest(rest(n), rest(m))
 
 
 def close(a: str, b: str, percent: int) -> F.Column:
@@ -162,8 +207,12 @@ def close(a: str, b: str, percent: int) -> F.Column:
 def verified(pairs: DataFrame, sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Of pairs of nodes (a, b) those whose whole sets are similar."""
     known = nodes.select("node", "rep")
-    p = pairs.select("a", "b").join(known.select(F.col("node").alias("a"), F.col("rep").alias("rep_a")), "a").join(known.select(F.col("node").alias("b"), F.col("rep").alias("rep_b")), "b")
-    whole = sets.select("node", "doc_id", "tokens")
+    p = materialise(pairs.select("a", "b"), "pairs")
+    p = p.join(known.select(F.col("node").alias("a"), F.col("rep").alias("rep_a")), "a").join(known.select(F.col("node").alias("b"), F.col("rep").alias("rep_b")), "b")
+    # a bounded table of buckets keeps most whole sets that no pair needs out of the shuffle
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS)).cast("int")
+    wanted = p.select(F.explode(F.array(bucket("a"), bucket("b"))).alias("bucket")).distinct()
+    whole = sets.select("node", "doc_id", "tokens").join(F.broadcast(wanted), bucket("node") == F.col("bucket"), "left_semi")
     one = whole.select(F.col("node").alias("a"), F.col("doc_id").alias("rep_a_"), F.col("tokens").alias("tokens_a"))
     two = whole.select(F.col("node").alias("b"), F.col("doc_id").alias("rep_b_"), F.col("tokens").alias("tokens_b"))
     p = p.join(one, (p.a == one.a) & p.rep_a.eqNullSafe(one.rep_a_)).select(p.a, p.b, "rep_b", "tokens_a")
@@ -207,6 +256,36 @@ def costly_tokens(rows: DataFrame, at_least: int) -> tuple[np.ndarray, np.ndarra
     return found["token"].to_numpy(np.int64), found["count"].to_numpy(np.int64)
 
 
+def ranked_tokens(spark: SparkSession, tokens: np.ndarray, cost: np.ndarray, telling: np.ndarray):
+    """Broadcast: tokens sorted, their ranks by cost, and the sorted tokens that tell endangered nodes. At most
+    COSTLY_TOKENS of each."""
+    rank = np.empty(len(tokens), np.int64)
+    rank[np.lexsort((tokens, cost))] = np.arange(len(tokens))
+    order = np.argsort(tokens)
+    return spark.sparkContext.broadcast((tokens[order], rank[order], np.sort(telling)))
+
+
+def candidates(rows: DataFrame, percent: int, slacked: bool, costly: np.ndarray | None = None) -> DataFrame:
+    """Pairs (a, b) of nodes in different components that share a token and may be similar.
+
+    costly: tokens to leave out; how many of them a node has is then taken off what it must share. Pairs of
+    two saturated nodes are left to their clusters."""
+    if costly is not None and len(costly):
+        table = rows.sparkSession.createDataFrame(costly.reshape(-1, 1), "token long")  # COSTLY_TOKENS rows at most
+        rows = rows.join(F.broadcast(table.withColumn("hot", F.lit(True))), "token", "left")
+        hot = rows.where("hot").groupBy("node").agg(F.count("*").alias("h"))
+        rows = rows.where("hot is null").drop("hot").join(hot, "node", "left").withColumn("h", F.coalesce("h", F.lit(0)))
+    else:
+        rows = rows.withColumn("h", F.lit(0))
+    if "saturated" not in rows.columns:
+        rows = rows.withColumn("saturated", F.lit(False))
+    columns = ("node", "n", "h", "saturated", "component")
+    side = lambda k: rows.select("token", *[F.col(c).alias(f"{c}_{k}") for c in columns])
+    pairs = side("a").join(side("b"), "token").where((F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & close("n_a", "n_b", percent) & ~(F.col("saturated_a") & F.col("saturated_b")))
+    counted = pairs.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(F.count("*").alias("c"), *[F.min(f"{c}_{k}").alias(f"{c}_{k}") for c in ("n", "h") for k in "ab"])
+    return counted.where(F.col("c") >= needed("n_a", "n_b", percent, slacked) - F.least("h_a", "h_b")).select("a", "b")
+
+
 def cluster_links(rows: DataFrame, sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Spanning links among saturated nodes that share prefix tokens."""
     lead = rows.groupBy("token").agg(F.min("node").alias("b"))
@@ -286,7 +365,7 @@ def block_links(sets: list[np.ndarray], percent: int, step: int = 4096) -> list[
     return links
 
 
-def near_duplicates(df: DataFrame, words: int = WORDS, percent: int = PERCENT, rounds: int = 3) -> DataFrame:
+def near_duplicates(df: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) of every row of df (doc_id, text).
 
     Null, empty and white texts have no shingles and stay alone. Repeated rows, also of one doc_id, are
@@ -298,37 +377,25 @@ def near_duplicates(df: DataFrame, words: int = WORDS, percent: int = PERCENT, r
     rows = materialise(live(postings(sets, percent)).select("token", "node", "n", "lead"), "live")
     sizes = nodes.select(F.col("node").alias("b"), F.col("n").alias("m"))
     stars = rows.where("node <> lead").groupBy(F.col("node").alias("a"), F.col("lead").alias("b")).agg(F.count("*").alias("c"), F.min("n").alias("n")).join(sizes, "b")
-    stars = stars.where(close("n", "m", percent) & (F.col("c") >= needed("n", "m", percent)))
+    stars = stars.where(close("n", "m", percent) & (F.col("c") >= needed("n", "m", percent, True)))
     links = [materialise(verified(stars, sets, nodes, percent), "links")]
     linked = materialise(components(links[0]), "linked")
     open_rows = materialise(contested(with_component(rows, linked)), "open")
     tokens, cost = costly_tokens(open_rows, COSTLY)
-    saturated = None
-    for _ in range(rounds):
-        if not len(tokens):
-            break
-        by_cost = np.lexsort((tokens, cost))
-        rank = np.empty(len(tokens), np.int64)
-        rank[by_cost] = np.arange(len(tokens))
-        by_token = np.argsort(tokens)
-        shared = spark.sparkContext.broadcast((tokens[by_token], rank[by_token]))
-        rows = live(postings(sets, percent, shared)).drop("lead")
-        open_rows = materialise(contested(with_component(rows, linked)), "open")
-        saturated = open_rows.where("saturated")
-        new, more = costly_tokens(open_rows.where("cheap"), COSTLY)
-        if not len(new) or len(tokens) + len(new) > COSTLY_TOKENS:
-            break
-        tokens, cost = np.concatenate([tokens, new]), np.concatenate([cost, more])
-    # the last postings stand, whichever tokens turned out costly since: candidates are complete either way
-    if saturated is None:
-        open_rows = open_rows.withColumn("saturated", F.lit(False)).withColumn("cheap", F.lit(True))
-    cheap = open_rows.where("cheap").select("token", "node", "n", "saturated", "component")
-    left, right = (cheap.select("token", *[F.col(c).alias(f"{c}_{k}") for c in cheap.columns[1:]]) for k in "ab")
-    pairs = left.join(right, "token").where((F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & close("n_a", "n_b", percent) & ~(F.col("saturated_a") & F.col("saturated_b")))
-    pairs = pairs.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(F.count("*").alias("c"), F.min("n_a").alias("n"), F.min("n_b").alias("m")).where(F.col("c") >= needed("n", "m", percent))
+    pairs, longer = candidates(open_rows, percent, True, tokens), None
+    if len(tokens):
+        # the nodes that costly tokens endanger show all their tokens once; then all costly ones are known
+        endangered = longer_postings(sets, percent, ranked_tokens(spark, tokens, cost, tokens), explore=True)
+        shown = materialise(contested(with_component(materialise(endangered.select("token", "node"), "shown"), linked)), "open")
+        more, more_cost = costly_tokens(shown, COSTLY)
+        known = np.isin(more, tokens)
+        every, every_cost = np.concatenate([tokens, more[~known]]), np.concatenate([cost, more_cost[~known]])
+        posted = materialise(longer_postings(sets, percent, ranked_tokens(spark, every, every_cost, tokens)), "longer")
+        longer = materialise(contested(with_component(live(posted).drop("lead"), linked)), "open")
+        pairs = pairs.union(candidates(longer.where("cheap"), percent, False)).distinct()
     links.append(materialise(verified(pairs, sets, nodes, percent), "links"))
-    if saturated is not None:
-        links.append(materialise(cluster_links(saturated, sets, nodes, percent), "links"))
+    if longer is not None and (full := longer.where("saturated")).limit(1).count():
+        links.append(materialise(cluster_links(full, sets, nodes, percent), "links"))
     if any(x.limit(1).count() for x in links[1:]):
         every = links[0]
         for x in links[1:]:
