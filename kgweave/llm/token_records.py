@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import documents, map_arrow, materialise, new_path, slices
+from .common import documents, map_arrow, materialise, new_path, slices, writing
 from .tokens import encoder, public_path
 
 END = b"\n"
@@ -63,29 +63,31 @@ def walk(shard: bytes) -> Iterator[tuple[int, int, int | None, bytes]]:
 def write_records(df: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> None:
     """Writes doc_id and text as shards below path, in ascending doc_id order, null ids first.
 
-    A shard holds the ids of about two input splits. Null and empty texts are the end id alone; rows with
+    A shard holds the ids of about one input split's bytes of text. Null and empty texts are the end id alone; rows with
     one doc_id keep a fixed order by text. An empty table gives no shard."""
     spark = df.sparkSession
     split = int(spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes")))
     total = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-total // (2 * split)))
+    parts = max(1, -(-total // split))
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches):
-        encode = encoder(tokenizer)
+        encode = encoder(tokenizer, 450_000)  # beside a sort of whole texts, less memory is left
         for batch in batches:
-            for rows in slices(batch, "text"):
+            for rows in slices(batch, "text", 1 << 23):
                 yield {"frame": [frame(i, ids + end) for i, ids in zip(rows["doc_id"], encode(rows["text"]), strict=True)]}
 
     ordered = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
     frames = map_arrow(ordered, run, "frame binary")
-    frames.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", END.decode()).option("compression", "none").text(path)
+    with writing(spark, "16m"):
+        frames.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", END.decode()).option("compression", "none").text(path)
 
 
 def index_records(spark: SparkSession, path: str) -> DataFrame:
     """Reads the shards back: one row per record with its place, and what its ids are."""
 
     def run(batches):
+        encoder.cache_clear()  # a worker that wrote shards before doesn't need its memory of pre-tokens now
         for batch in batches:
             for name, content in zip(batch["path"].to_pylist(), batch["content"], strict=True):
                 shard = int(re.search(r"part-(\d+)", name.rsplit("/", 1)[-1])[1])

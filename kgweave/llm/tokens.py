@@ -8,11 +8,11 @@ of special tokens) go to the library whole."""
 from __future__ import annotations
 
 import functools
+import gc
 import os
 import re
 from array import array
 from collections.abc import Callable
-from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +38,7 @@ def _byte_letters() -> dict[int, int]:
 
 
 _BYTES = _byte_letters()
+_SPACE = chr(_BYTES[32])
 
 
 class Memory:
@@ -50,9 +51,9 @@ class Memory:
     def __call__(self, keys: list) -> list:
         """The values of keys; those not remembered are computed at once, each once."""
         found = list(map(self.young.get, keys))
-        absent = dict.fromkeys(k for k, v in zip(keys, found, strict=True) if v is None)
-        if not absent:
+        if None not in found:
             return found
+        absent = dict.fromkeys([k for k, v in zip(keys, found, strict=True) if v is None])
         if len(self.young) > self.limit:
             self.young, self.old = {}, self.young
             absent = dict.fromkeys(keys)
@@ -72,8 +73,7 @@ class Encoder:
     """Encodes lists of texts to little-endian unsigned 32-bit ids.
 
     Arrow splits the texts into chunks at white space and makes a dictionary of them; only distinct chunks are
-    looked up, cut or encoded, and the ids of all chunks are gathered at once. About `limit` pre-tokens and
-    half as many chunks are remembered."""
+    cut and looked up, and the ids of all chunks are gathered at once. About `limit` pre-tokens are remembered."""
 
     def __init__(self, path: str, limit: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -81,7 +81,7 @@ class Encoder:
 
         self.lib = Tokenizer.from_file(path)
         self.model = self.lib.model
-        self.chunks, self.pieces = Memory(limit // 2, self._cut), Memory(limit, self._encode)
+        self.pieces = Memory(limit, self._encode)
         self.kind = "word" if self.lib.normalizer is not None else "byte"
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
 
@@ -94,14 +94,34 @@ class Encoder:
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
         """Pre-tokens by the library's merges alone: they are normalised and cut already."""
-        merge = self.model.tokenize
-        return [array("I", [t.id for t in merge(p if p.isalnum() and p.isascii() else p.encode().decode("latin-1").translate(_BYTES))]).tobytes() for p in pieces]
+        merge, out = self.model.tokenize, []
+        for p in pieces:
+            word = p[1:] if p[0] == " " else p
+            if word.isalnum() and word.isascii():
+                spelt = p if word is p else _SPACE + word
+            else:
+                spelt = p.encode().decode("latin-1").translate(_BYTES)
+            out.append(array("I", [t.id for t in merge(spelt)]).tobytes())
+        return out
 
-    def _cut(self, chunks: list[str]) -> list[bytes]:
+    def _ids_of(self, chunks: list[str]) -> list[bytes]:
+        """Chunks of letters are pre-tokens themselves; others are cut."""
         cut, lower = _CUTS[self.kind], self.kind == "word"
-        parts = [cut(c.lower()) for c in chunks] if lower else list(map(cut, chunks))
-        ids = iter(self.pieces(list(chain.from_iterable(parts))))
-        return [next(ids) if len(p) == 1 else b"".join(islice(ids, len(p))) for p in parts]
+        flat, sizes = [], []
+        for c in chunks:
+            if (c[1:] if c[:1] == " " else c).isalpha():
+                flat.append(c.lower() if lower else c)
+                sizes.append(1)
+            else:
+                parts = cut(c.lower() if lower else c)
+                flat += parts
+                sizes.append(len(parts))
+        ids = self.pieces(flat)
+        out, at = [], 0
+        for n in sizes:
+            out.append(ids[at] if n == 1 else b"".join(ids[at : at + n]))
+            at += n
+        return out
 
     def _split(self, texts: list[str]) -> list[bytes]:
         strings = pa.array(texts, pa.large_string())
@@ -117,7 +137,7 @@ class Encoder:
             index = index.copy()
             index[firsts] = np.arange(len(distinct), len(distinct) + len(opening))
             distinct = [" " + c for c in distinct] + opening
-        found = self.chunks(distinct)
+        found = self._ids_of(distinct)
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
         pool = np.frombuffer(b"".join(found), "<u4")
         starts = np.cumsum(sizes) - sizes
@@ -137,15 +157,22 @@ class Encoder:
                 plain.append(k)
             else:
                 out[k] = self._whole(text)
-        for k, ids in zip(plain, self._split([texts[k] for k in plain]) if plain else (), strict=True):
-            out[k] = ids
+        if plain:
+            collecting = gc.isenabled()
+            gc.disable()  # many short lists, no cycles
+            try:
+                for k, ids in zip(plain, self._split([texts[k] for k in plain]), strict=True):
+                    out[k] = ids
+            finally:
+                if collecting:
+                    gc.enable()
         return out
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, limit: int = 600_000) -> Encoder:
     """One encoder per worker process and file."""
-    return Encoder(path)
+    return Encoder(path, limit)
 
 
 def public_path(name: str) -> str:
