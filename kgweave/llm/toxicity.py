@@ -104,15 +104,24 @@ def exact_score(unit: bytes, table: np.ndarray) -> float:
     return float(table[cell] @ value)
 
 
-def dense(words: list[bytes]) -> np.ndarray:
-    """A row of cells for each of a few units."""
-    x = np.zeros((len(words), LETTERS**3), np.float32)
+def by_cell(words: list[bytes]) -> np.ndarray:
+    """A row for each cell, a column for each of a few units."""
+    x = np.zeros((LETTERS**3, len(words)), np.float32)
     for k, w in enumerate(words):
         cell, value = unit_features(w)
-        x[k, cell] = value
+        x[cell, k] = value
     return x
 
 
+def kernel(words: list[bytes], marks: np.ndarray) -> np.ndarray:
+    """Each unit's kernel with the units of marks (by_cell)."""
+    out = np.empty((len(words), marks.shape[1]), np.float32)
+    for k, w in enumerate(words):
+        cell, value = unit_features(w)
+        out[k] = value.astype(np.float32) @ marks[cell]
+    return out
+
+
 class Scorer:
     """Scores texts: the exact score of each text's strongest unit; LEAST for texts without a likely one."""
 
@@ -184,7 +193,7 @@ def variants(unit: bytes) -> list[bytes]:
     return out
 
 
-def train(docs: DataFrame, known: DataFrame, toxic_rows: int = 2500, clean_rows: int = 5000, landmarks: int = 600, negatives: int = 6000, rounds: int = 3) -> tuple[np.ndarray, float, float]:
+def train(docs: DataFrame, known: DataFrame, toxic_rows: int = 2500, clean_rows: int = 5000, landmarks: int = 400, negatives: int = 6000, rounds: int = 3) -> tuple[np.ndarray, float, float]:
     """Table, slope and offset of the probability. docs: doc_id, text; known: doc_id, label (0/1).
 
     At most toxic_rows and clean_rows labelled rows are learnt from, the first by a hash of their id. Units are
@@ -262,24 +271,23 @@ def _machine(witnesses: list[bytes], others: list[bytes], hard: list[bytes], lan
     y = np.r_[np.ones(len(witnesses) + len(disguised)), -np.ones(len(others))]
     half = landmarks // 2
     marks = list(dict.fromkeys(witnesses[:half] + hard[:half] + others[:: max(1, len(others) // half)]))[:landmarks]
-    z = dense(marks)
-    values, vectors = np.linalg.eigh(z @ z.T + 1e-4 * np.eye(len(marks), dtype=np.float32))
-    root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-6))) @ vectors.T
-    by_cell = np.ascontiguousarray(z.T)
-    kernel = np.array([by_cell[cell].T @ value for cell, value in map(unit_features, words)])
-    x = np.c_[kernel @ root, np.ones(len(words))]
+    z = by_cell(marks)
+    values, vectors = np.linalg.eigh(kernel(marks, z).astype(np.float64) + 1e-4 * np.eye(len(marks)))
+    root = ((vectors / np.sqrt(np.maximum(values, 1e-6))) @ vectors.T).astype(np.float32)
+    x = np.c_[kernel(words, z) @ root, np.ones(len(words), np.float32)]
     # squared hinge by Newton steps on the rows within the margin; both classes weigh the same
-    c = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * len(y)
+    c = (np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * len(y)).astype(np.float32)
+    y = y.astype(np.float32)
     w, ridge = np.zeros(x.shape[1]), 1e-4 * np.eye(x.shape[1]) * len(y)
     ridge[-1, -1] = 1e-6
     for _ in range(15):
-        near = y * (x @ w) < 1
+        near = y * (x @ w.astype(np.float32)) < 1
         a = x[near] * c[near, None]
-        new = np.linalg.solve(a.T @ x[near] + ridge, a.T @ y[near])
+        new = np.linalg.solve((a.T @ x[near]).astype(np.float64) + ridge, (a.T @ y[near]).astype(np.float64))
         if np.allclose(new, w, atol=1e-6):
             break
         w = new
-    return (root @ w[:-1] @ z).astype(np.float32)
+    return z @ (root @ w[:-1].astype(np.float32))
 
 
 def _platt(s: np.ndarray, y: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
