@@ -119,7 +119,7 @@ def test_toxicity_on_held_out_rows(spark):
 def test_toxicity_tolerates_disguise(spark):
     table, slope, offset = toxicity.trained(spark, DIR)
     score = toxicity.Scorer(table)
-    plain, spaced, dotted, put_in, clean, empty = score(["x idiot y", "x i d i o t y", "x id.i-ot y", "x idxiot y", "the then that", ""])
+    plain, spaced, dotted, put_in, clean, empty = score(["the idiot then", "the i d i o t then", "the id.i-ot then", "the idxiot then", "the then that", ""])
     assert plain == spaced == dotted > put_in > clean and empty == score([None])[0]
 
 
@@ -131,7 +131,7 @@ def test_kernel_table_is_the_kernel():
     starts, fast = toxicity.unit_scores(c, table)
     for w, f in zip(words, fast, strict=True):
         exact = toxicity.exact_score(w, table)
-        assert len(starts) == 50 and abs(exact) <= abs(f) + 1e-4 and exact * f >= -1e-6
+        assert len(fast) == 50 == len(starts) - 1 and abs(exact) <= abs(f) + 1e-4 and exact * f >= -1e-6
 
 
 def test_classifiers_without_labels_or_rows(spark):
