@@ -20,6 +20,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 #: ASCII white space, as the contracts write it: [\x20\x09-\x0D].
 SPACES = "\\x20\\x09-\\x0D"
 _CLEANUP, _BATCH = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of a batch for Python at most, unless the session asks for less.
+MOST = 8 << 20
 _BY_SIZE = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
 
 
@@ -56,7 +58,15 @@ def writing(spark: SparkSession, batch: str):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def materialise(df: DataFrame, tag: str, compression: str = "snappy", batch: str = "16m") -> DataFrame:
+def smaller_batches(spark: SparkSession) -> None:
+    """Lowers the session's bytes per Arrow batch to MOST, if it is above. Whole texts are long rows, and a batch
+    is held several times over, in the JVM and in Python, on each core."""
+    now = spark.conf.get(_BATCH).rstrip("b")
+    if now.isdigit() and int(now) > MOST:  # what a user has set with a unit stays
+        spark.conf.set(_BATCH, str(MOST))
+
+
+def materialise(df: DataFrame, tag: str, compression: str = "snappy", batch: str = "8m") -> DataFrame:
     """df, written as a table in the shared folder and read again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, tag)
@@ -71,6 +81,7 @@ def struct(ddl: str) -> T.StructType:
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], schema: str) -> DataFrame:
     """fn maps an iterator of {column: Arrow array} to an iterator of {column: list or numpy or Arrow array}."""
+    smaller_batches(df.sparkSession)
     out = to_arrow_schema(struct(schema))
     packed, home = cloudpickle.dumps(fn), str(Path(__file__).resolve().parents[2])
 

@@ -25,7 +25,7 @@ _CUT = re.compile(r" *[^ ]+| +")
 class PieceCounter:
     """Counts for sentencepiece models."""
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 400_000):
         import sentencepiece
 
         self.lib, self.limit = sentencepiece.SentencePieceProcessor(model_file=path), limit

@@ -72,14 +72,14 @@ def write_records(df: DataFrame, path: str, tokenizer: str, end_id: int = 0) ->
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches):
-        encode = encoder(tokenizer, 450_000)  # beside a sort of whole texts, less memory is left
+        encode = encoder(tokenizer, 500_000)
         for batch in batches:
             for rows in slices(batch, "text", 1 << 23):
                 yield {"frame": [frame(i, ids + end) for i, ids in zip(rows["doc_id"], encode(rows["text"]), strict=True)]}
 
     ordered = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
     frames = map_arrow(ordered, run, "frame binary")
-    with writing(spark, "16m"):
+    with writing(spark, "8m"):
         frames.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", END.decode()).option("compression", "none").text(path)
 
 

@@ -75,7 +75,7 @@ class Encoder:
     Arrow splits the texts into chunks at white space and makes a dictionary of them; only distinct chunks are
     cut and looked up, and the ids of all chunks are gathered at once. About `limit` pre-tokens are remembered."""
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -170,7 +170,7 @@ class Encoder:
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str, limit: int = 600_000) -> Encoder:
+def encoder(path: str, limit: int = 250_000) -> Encoder:
     """One encoder per worker process and file."""
     return Encoder(path, limit)
 
