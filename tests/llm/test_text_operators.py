@@ -280,3 +280,12 @@ def test_lane_sums_are_simhashes(spark):
         if sum((x >> bit) & 1 for x in h) * 2 > len(h):
             want |= 1 << bit
     assert line_dedup.simhashes(df).first()["s1"] == want
+
+
+def test_similar_lines_meet(spark):
+    words = "alpha bravo carbon delta echoes foxtrot golfer hotel indigo juliet kilogram limousine".split()
+    ten, twenty = words[:10], words + [w[::-1] for w in words[:8]]
+    replaced = lambda ws, at: " ".join("zz" if i in at else w for i, w in enumerate(ws))
+    lines = [" ".join(ten), replaced(ten, {4}), " ".join(twenty), replaced(twenty, {3, 9, 14})]
+    groups = {r["node"]: r["component"] for r in line_dedup.line_groups(spark.createDataFrame([(i, x, len(x.split())) for i, x in enumerate(lines)], "id long, norm string, n_words int")).collect()}
+    assert groups == {0: 0, 1: 0, 2: 2, 3: 2}
