@@ -289,3 +289,10 @@ def test_similar_lines_meet(spark):
     lines = [" ".join(ten), replaced(ten, {4}), " ".join(twenty), replaced(twenty, {3, 9, 14})]
     groups = {r["node"]: r["component"] for r in line_dedup.line_groups(spark.createDataFrame([(i, x, len(x.split())) for i, x in enumerate(lines)], "id long, norm string, n_words int")).collect()}
     assert groups == {0: 0, 1: 0, 2: 2, 3: 2}
+
+
+def test_lines_are_similar_by_characters(spark):
+    typos = "the quick brown foxes jump over the lazy dogs near some ancient bridge"
+    lines = ["copyright 2023 example inc", "copyright 2024 example inc", typos, typos.replace("foxes", "faxes").replace("lazy", "lacy").replace("ancient", "anciant"), "数据处理流水线需要完整的结果集合", "数据处理流水线需要完整的结果集台", "short", "shirt", "wholly different"]
+    groups = {r["node"]: r["component"] for r in line_dedup.line_groups(spark.createDataFrame([(i, x, len(x.split())) for i, x in enumerate(lines)], "id long, norm string, n_words int")).collect()}
+    assert groups == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 4, 6: 6, 7: 6}
