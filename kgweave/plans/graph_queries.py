@@ -45,8 +45,17 @@ def label_unnest_count(spark, d):
 @query("""WITH r AS (SELECT p_partkey AS root FROM part WHERE p_partkey % 100 = 1), p AS (SELECT DISTINCT root, l_suppkey AS topic, o_orderkey AS clause FROM r LEFT JOIN lineitem ON l_partkey = root AND l_quantity > 48 LEFT JOIN orders ON o_orderkey = l_orderkey)
 SELECT root, count(DISTINCT topic) AS n_topics, count(clause) AS n_clauses FROM p GROUP BY root""")
 def path_two_hop(spark, d):
-    lines = table(spark, d, "lineitem").where("l_quantity > 48")
-    roots = table(spark, d, "part").where("p_partkey % 100 = 1").select(F.col("p_partkey").alias("root"))
+    return two_hop_counts(spark, d, table(spark, d, "part").where("p_partkey % 100 = 1"), table(spark, d, "lineitem").where("l_quantity > 48"))
+
+
+@query()
+def path_two_hop_all(spark, d):
+    """path_two_hop from every part over all line items."""
+    return two_hop_counts(spark, d, table(spark, d, "part"), table(spark, d, "lineitem"))
+
+
+def two_hop_counts(spark, d, parts, lines):
+    roots = parts.select(F.col("p_partkey").alias("root"))
     hop = lines.select(F.struct("l_suppkey", "l_orderkey").alias("topic"), F.col("l_partkey").alias("root")).distinct()
     clauses = lines.join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_orderkey").alias("clause"), F.struct("l_suppkey", "l_orderkey").alias("topic")).distinct()
     paths = graph.two_hop_paths(roots, hop, clauses).select("root", F.col("topic.l_suppkey").alias("topic"), "clause").distinct()
@@ -55,8 +64,18 @@ def path_two_hop(spark, d):
 
 @query("SELECT DISTINCT l_suppkey AS topic, l_partkey AS entity FROM lineitem WHERE l_suppkey <= 20")
 def topic_entities_distinct(spark, d):
+    return topic_entities(spark, d, table(spark, d, "supplier").where("s_suppkey <= 20"))
+
+
+@query()
+def topic_entities_all(spark, d):
+    """topic_entities_distinct of every supplier."""
+    return topic_entities(spark, d, table(spark, d, "supplier"))
+
+
+def topic_entities(spark, d, suppliers):
     e = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), F.lit("MENTIONS").alias("rel"), F.col("l_partkey").alias("dst"))
-    topics = table(spark, d, "supplier").where("s_suppkey <= 20").select(F.col("s_suppkey").alias("topic"))
+    topics = suppliers.select(F.col("s_suppkey").alias("topic"))
     return graph.expand(topics, "topic", e, "MENTIONS", to="entity").select("topic", "entity")
 
 
@@ -73,6 +92,13 @@ def bounded_traversal(spark, d):
     return graph.reach(star_edges(spark, d), starts, 3)
 
 
+@query()
+def bounded_traversal_all(spark, d):
+    """bounded_traversal from every order."""
+    starts = table(spark, d, "orders").select(F.concat(F.lit("order:"), "o_orderkey").alias("root")).distinct()
+    return graph.reach(star_edges(spark, d), starts, 3)
+
+
 @query("""WITH ids AS (SELECT DISTINCT strftime(o_orderdate, '%Y.%m.%d') AS id FROM orders UNION SELECT DISTINCT strftime(o_orderdate, '%Y.%m') FROM orders)
 SELECT a.id AS child, b.id AS parent FROM ids a JOIN ids b ON b.id = regexp_replace(a.id, '\\.[^.]+$', '') AND a.id LIKE '%.%'""")
 def hierarchy_parent(spark, d):
@@ -133,7 +159,16 @@ t AS (SELECT *, row_number() OVER (PARTITION BY type_ord ORDER BY n_facts DESC,
 
 @query(f"WITH {PATHS} SELECT root, n_facts, n_topics, row_number() OVER (ORDER BY CASE WHEN root = 7 THEN 0 ELSE 1 END, type_ord, rank) AS place FROM t WHERE rank <= 10")
 def batch_path_search(spark, d):
-    p = table(spark, d, "part").where("p_partkey <= 40")
+    return path_search(spark, d, table(spark, d, "part").where("p_partkey <= 40"))
+
+
+@query()
+def batch_path_search_all(spark, d):
+    """batch_path_search from every part."""
+    return path_search(spark, d, table(spark, d, "part"))
+
+
+def path_search(spark, d, p):
     roots = p.select(F.col("p_partkey").alias("root"), F.concat(F.lit("part "), "p_partkey").alias("name"), (F.col("p_partkey") % 2).alias("type_ord"), F.col("p_partkey").alias("root_ord"), F.lit(1.0).alias("score"))
     lines = table(spark, d, "lineitem").join(roots.select(F.col("root").alias("l_partkey")), "l_partkey", "left_semi")
     # a topic is a part's supplier within an order, as the paths go through one line item
