@@ -20,8 +20,8 @@ def top_k(df: DataFrame, order: list[Column], k: int) -> DataFrame:
 
 
 def vector_scores(df: DataFrame, vector: str, query: DataFrame, at_least: float | None = None, digits: int = 9) -> DataFrame:
-    """df with the cosine to the one vector of query (column q). One row is broadcast."""
-    scored = df.crossJoin(F.broadcast(query.select("q").limit(1))).withColumn("score", F.round(cosine(F.col(vector), F.col("q")), digits)).drop("q")
+    """df with the cosine to each vector of query (column q, and any key columns, which stay). query is broadcast."""
+    scored = df.crossJoin(F.broadcast(query)).withColumn("score", F.round(cosine(F.col(vector), F.col("q")), digits)).drop("q")
     return scored if at_least is None else scored.where(F.col("score") >= at_least)
 
 
@@ -48,25 +48,27 @@ def bm25(df: DataFrame, key: str, tokens: Column, query: list[str], digits: int
     return joined.groupBy("key").agg(F.round(F.sum(part), digits).alias("score"))
 
 
-def fuse(lists: list[tuple[DataFrame, float]], k: int = RRF_K, limit: int | None = None, digits: int = 12) -> DataFrame:
+def fuse(lists: list[tuple[DataFrame, float]], k: int = RRF_K, limit: int | None = None, digits: int = 12, by: tuple[str, ...] = ()) -> DataFrame:
     """Ranked lists (key, score) with weights, to key and the weighted sum of 1 / (k + rank), normalised by the best.
 
-    Ties in a list go by key; ties in the result by the first list's order and then key."""
+    Ties in a list go by key; ties in the result by the first list's order and then key. by: columns of all lists
+    that name a query; each query is fused alone."""
     ranked = None
     for n, (df, weight) in enumerate(lists):
-        r = df.select("key", F.row_number().over(W.orderBy(F.desc("score"), "key")).alias("rank")).select("key", F.lit(n).alias("list"), "rank", (F.lit(float(weight)) / (k + F.col("rank"))).alias("part"))
+        r = df.select(*by, "key", F.row_number().over(W.partitionBy(*by).orderBy(F.desc("score"), "key")).alias("rank")).select(*by, "key", F.lit(n).alias("list"), "rank", (F.lit(float(weight)) / (k + F.col("rank"))).alias("part"))
         ranked = r if ranked is None else ranked.unionByName(r)
-    out = ranked.groupBy("key").agg(F.round(F.sum("part"), digits).alias("rrf"))
+    out = ranked.groupBy(*by, "key").agg(F.round(F.sum("part"), digits).alias("rrf"))
     if limit is not None:
-        out = out.orderBy(F.desc("rrf"), "key").limit(limit)
-    best = F.max("rrf").over(W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+        place = F.row_number().over(W.partitionBy(*by).orderBy(F.desc("rrf"), "key"))
+        out = out.withColumn("_place", place).where(F.col("_place") <= limit).drop("_place") if by else out.orderBy(F.desc("rrf"), "key").limit(limit)
+    best = F.max("rrf").over(W.partitionBy(*by).rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
     return out.withColumn("score", F.round(F.col("rrf") / best, digits))
 
 
-def boost_exact(df: DataFrame, name: str, query: str, order: list[Column]) -> DataFrame:
-    """The first row whose name equals the query, whatever the case, moves to the front with score 1."""
+def boost_exact(df: DataFrame, name: str, query: str, order: list[Column], by: tuple[str, ...] = ()) -> DataFrame:
+    """The first row (of each query, if by names the queries) whose name equals the query, whatever the case, moves to the front with score 1."""
     same = F.lower(F.trim(name)) == query.strip().lower()
-    first = F.row_number().over(W.partitionBy(same).orderBy(*order)) == 1
+    first = F.row_number().over(W.partitionBy(*by, same).orderBy(*order)) == 1
     return df.withColumn("boosted", F.coalesce(same & first, F.lit(False))).withColumn("score", F.when(F.col("boosted"), F.lit(1.0)).otherwise(F.col("score")))
 
 
@@ -86,9 +88,9 @@ def cascade(exact: DataFrame, wildcard: DataFrame, contains: DataFrame) -> DataF
     return first_tier(tiers[0].unionByName(tiers[1]).unionByName(tiers[2]))
 
 
-def hybrid(vectors: DataFrame, texts: DataFrame, weights: tuple[float, float] = (1.0, 2.0), limit: int = 10) -> DataFrame:
+def hybrid(vectors: DataFrame, texts: DataFrame, weights: tuple[float, float] = (1.0, 2.0), limit: int = 10, by: tuple[str, ...] = ()) -> DataFrame:
     """Fusion of a vector list and a keyword list (key, score each)."""
-    return fuse([(vectors, weights[0]), (texts, weights[1])], limit=limit)
+    return fuse([(vectors, weights[0]), (texts, weights[1])], limit=limit, by=by)
 
 
 def index_tables(df: DataFrame, key: str, tokens: Column, path: str) -> None:

@@ -54,6 +54,27 @@ def vector_topk_by_label(spark, d):
     return tabular.top_per_group(vectors(spark, d), ["label"], [F.desc("score"), F.col("vec_id")], 3).select("label", "vec_id", "score", "rank")
 
 
+def all_vectors(spark, d, **kw):
+    """Scores of all embeddings for each query: those whose number is divisible by 100."""
+    e = table(spark, d, "embeddings")
+    return search.vector_scores(e, "embedding", e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q")), **kw)
+
+
+@query()
+def vector_topk_all(spark, d):
+    return tabular.top_per_group(all_vectors(spark, d), ["query"], [F.desc("score"), F.col("vec_id")], 10).select("query", "vec_id", "score")
+
+
+@query()
+def vector_threshold_all(spark, d):
+    return all_vectors(spark, d, at_least=0.2).select("query", "vec_id", "score")
+
+
+@query()
+def vector_topk_by_label_all(spark, d):
+    return tabular.top_per_group(all_vectors(spark, d), ["query", "label"], [F.desc("score"), F.col("vec_id")], 3).select("query", "label", "vec_id", "score", "rank")
+
+
 @query(f"WITH {BM25} SELECT doc_id, score FROM b ORDER BY score DESC, doc_id LIMIT 20")
 def bm25_topk(spark, d):
     return search.top_k(keywords(spark, d), [F.desc("score"), F.col("key")], 20).select(F.col("key").alias("doc_id"), "score")
@@ -82,6 +103,25 @@ def hybrid_boost(spark, d):
     return search.boost_exact(named, "source", "SRC3", [F.desc("rrf"), F.col("key")]).select("key", "boosted", "score")
 
 
+def fused_all(spark, d):
+    """fused for each query vector, all with the same words."""
+    v = tabular.top_per_group(all_vectors(spark, d).withColumnRenamed("vec_id", "key"), ["query"], [F.desc("score"), F.col("key")], 15).select("query", "key", "score")
+    b = search.top_k(keywords(spark, d), [F.desc("score"), F.col("key")], 15)
+    queries = table(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"))
+    return search.hybrid(v, queries.crossJoin(F.broadcast(b)).select("query", "key", "score"), by=("query",))
+
+
+@query()
+def hybrid_topk_all(spark, d):
+    return fused_all(spark, d)
+
+
+@query()
+def hybrid_boost_all(spark, d):
+    named = fused_all(spark, d).join(table(spark, d, "documents").select(F.col("doc_id").alias("key"), "source"), "key")
+    return search.boost_exact(named, "source", "SRC3", [F.desc("rrf"), F.col("key")], ("query",)).select("query", "key", "boosted", "score")
+
+
 @query("SELECT doc_id, lang FROM documents WHERE contains(lower(text), lower('Licensed')) OR contains(lower(source), 'licensed')")
 def contains_ci(spark, d):
     return table(spark, d, "documents").where(search.contains_any(["text", "source"], "Licensed")).select("doc_id", "lang")
