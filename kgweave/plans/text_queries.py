@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .. import plugins
 from ..functions import text as tx
 from ..operators import chunking, tabular
 from .catalogue import query, table
@@ -87,6 +88,6 @@ def capacity_batches(spark, d):
 
 @query()
 def sentence_chunks(spark, d):
-    """Sentences of the first vectors' documents, by the embedding that shares their number."""
-    docs = table(spark, d, "documents").join(table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
-    return chunking.semantic_chunks(docs.select("source", "doc_id", "text", "embedding"), ["source"], "doc_id", "text", "embedding", 4000).select("source", "doc_id", "chars", "chunk")
+    """Sentences of every document, chunked within it by the vectors of the offline embedder."""
+    each = table(spark, d, "documents").select("source", "doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("ord", "text"))
+    return chunking.semantic_chunks(plugins.embed(each, "text"), ["source", "doc_id"], "ord", "text", "embedding", 4000).select("source", "doc_id", "ord", "chars", "chunk")
