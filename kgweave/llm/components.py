@@ -13,7 +13,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     node, component (its component's smallest node).
 
     Each round links all larger neighbours of a node to the smallest one around it, then all smaller
-    ones; minima are summed per task first, so a hub is one row per task. Ends when nothing changes."""
+    ones; minima are summed per task first, so a hub is one row per task. Ends when nothing changes,
+    or raises if that takes more rounds."""
     now = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
 
     def mark(df: DataFrame):
@@ -33,5 +34,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if tuple(after) == tuple(before):
             break
         before = after
+    else:
+        raise RuntimeError(f"components still change after {rounds} rounds")
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.union(stars.select("component", "component").distinct())

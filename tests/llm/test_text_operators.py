@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from kgweave.llm.components import components
 from kgweave.llm import exact_dedup, line_dedup, mixing, packing, tiff, token_counts, token_records
 from kgweave.llm.queries import QUERIES, SQL
 from kgweave.llm.tokens import Encoder, public_path
@@ -296,3 +297,10 @@ def test_lines_are_similar_by_characters(spark):
     lines = ["copyright 2023 example inc", "copyright 2024 example inc", typos, typos.replace("foxes", "faxes").replace("lazy", "lacy").replace("ancient", "anciant"), "数据处理流水线需要完整的结果集合", "数据处理流水线需要完整的结果集台", "short", "shirt", "wholly different"]
     groups = {r["node"]: r["component"] for r in line_dedup.line_groups(spark.createDataFrame([(i, x, len(x.split())) for i, x in enumerate(lines)], "id long, norm string, n_words int")).collect()}
     assert groups == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 4, 6: 6, 7: 6}
+
+
+def test_components_end_or_raise(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(20)], "a long, b long")
+    assert {r["component"] for r in components(chain).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        components(chain, rounds=1)
