@@ -13,6 +13,7 @@ import re
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import documents, held_out, labels, map_arrow, slices
@@ -23,8 +24,8 @@ _SHAPE = re.compile(r"([A-Z\xc0-\xde]+)|([a-z\xdf-\xff]+)|(\d+)|([^\w\s]+)|(.)",
 
 
 def shape(word: str) -> str:
-    """Kinds of the word's character runs, in order, at most eight; marks by themselves, once each."""
-    runs = _SHAPE.findall(word[:64])[:8]
+    """Kinds of the whole word's character runs, in order; marks by themselves, once each."""
+    runs = _SHAPE.findall(word)
     return "".join("A" if up else "a" if low else "0" if digit else mark[0] if mark else "x" for up, low, digit, mark, _ in runs)
 
 
@@ -90,14 +91,24 @@ class Ftrl:
 
 def sample(known: DataFrame, rows: int) -> DataFrame:
     """At most so many rows, the first by a hash of their id: the same ones in every run."""
-    return known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    return known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows)
 
 
-def train(docs: DataFrame, known: DataFrame, rows: int = 6000, passes: int = 4) -> np.ndarray:
-    """Weights from docs (doc_id, text) and known (doc_id, label 0/1). rows bounds what is learnt from.
+def train(docs: DataFrame, known: DataFrame, rows: int = 6000, passes: int = 4, chars: int = 1 << 26) -> np.ndarray:
+    """Weights from docs (doc_id, text) and known (doc_id, label 0/1). rows and chars bound what is learnt from:
+    the first rows by a hash of their id, as long as their texts have no more characters together (the first row
+    is always taken).
 
-    Features are made on the executors; the driver holds those of `rows` texts at most."""
-    chosen = sample(known.where("doc_id is not null and label is not null"), rows)
+    Features are made on the executors; the driver holds those of the sample at most. Rows without an id or a
+    label teach nothing; repeated ids are learnt as often as they stand with a text; texts are whole, however
+    long. Without labels all weights are 0. Other columns don't matter."""
+    chosen = sample(known.where("doc_id is not null and label is not null").select("doc_id", "label"), rows)
+    sized = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # `rows` rows
+    before = W.orderBy(F.xxhash64("doc_id"), "doc_id", "is", "label").rowsBetween(W.unboundedPreceding, -1)
+    # the sample's ids, hashes and sizes in one task: bounded by `rows` and what repeats their ids
+    sized = sized.select("doc_id", "label", F.xxhash64("text").alias("is"), F.length(F.coalesce("text", F.lit(""))).alias("size"), "text")
+    fits = sized.select("doc_id", "label", "is", "size").withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0))).where((F.col("before") == 0) | (F.col("before") + F.col("size") <= chars))
+    fits = fits.select("doc_id", "label", "is").distinct()
 
     def run(batches):
         words = _Words()
@@ -107,7 +118,7 @@ def train(docs: DataFrame, known: DataFrame, rows: int = 6000, passes: int = 4)
                 yield {"doc_id": r["doc_id"], "label": r["label"], "slots": [m[0].astype("<i4").tobytes() for m in made], "shares": [m[1].astype("<f2").tobytes() for m in made]}
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = map_arrow(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label"), run, f"doc_id {kind}, label int, slots binary, shares binary").collect()
+    found = map_arrow(sized.join(F.broadcast(fits), ["doc_id", "label", "is"]).select("doc_id", "text", "label"), run, f"doc_id {kind}, label int, slots binary, shares binary").collect()
     data = [(np.frombuffer(bytes(r.slots), "<i4").astype(np.int64), np.frombuffer(bytes(r.shares), "<f2").astype(np.float64), r.label) for r in sorted(found, key=lambda r: (xxhash.xxh3_64_intdigest(str(r.doc_id)), bytes(r.slots)))]
     model = Ftrl(1 << BITS)
     for _ in range(passes):
@@ -117,7 +128,8 @@ def train(docs: DataFrame, known: DataFrame, rows: int = 6000, passes: int = 4)
 
 
 def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """doc_id, score of every row; whole texts. Null and empty texts get the bias alone."""
+    """doc_id, score of every row, repeated ones and null ids too; whole texts, however long. Null and empty texts
+    get the bias alone; equal texts get equal scores. Other columns don't matter; an empty table gives none."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # 2^BITS numbers
 
     def run(batches):

@@ -2,7 +2,7 @@
 
 The reader walks the chain of image directories, decodes strips or tiles that are plain, PackBits, LZW
 or deflate, undoes horizontal differencing, and yields one row per page. The writer makes pages of 8-bit
-samples in deflate strips."""
+samples in strips or tiles of any of these forms."""
 
 from __future__ import annotations
 
@@ -132,37 +132,56 @@ def pack_lzw(data: bytes) -> bytes:
 
 
 _UNPACK = {NONE: bytes, PACKBITS: unpack_bits, LZW: unpack_lzw, DEFLATE: zlib.decompress, OLD_DEFLATE: zlib.decompress}
-_PACK = {NONE: bytes, PACKBITS: pack_bits, LZW: pack_lzw, DEFLATE: lambda b: zlib.compress(b, 1)}
+_PACK = {NONE: bytes, PACKBITS: pack_bits, LZW: pack_lzw, DEFLATE: lambda b: zlib.compress(b, 1), OLD_DEFLATE: lambda b: zlib.compress(b, 1)}
 
 
-def write(payload: bytes, width: int = 64, page_rows: int = 4096, strip_rows: int = 512, compression: int = DEFLATE, predictor: int = 2) -> bytes:
-    """payload (a multiple of width, not empty) as pages of at most page_rows rows."""
+def write(payload: bytes, width: int = 64, page_rows: int = 4096, strip_rows: int = 512, compression: int = DEFLATE, predictor: int = 2, tiled: bool = False) -> bytes:
+    """payload (a multiple of width, not empty) as pages of at most page_rows rows, in strips or in tiles of
+    strip_rows rows (tiles are padded with zeros to whole ones; width and strip_rows are then multiples of 16)."""
     if not payload or len(payload) % width:
         raise ValueError(f"not a positive multiple of {width} bytes")
+    if tiled and (width % 16 or strip_rows % 16):
+        raise ValueError("tiles are multiples of 16 wide and high")
     rows = np.frombuffer(payload, np.uint8).reshape(-1, width)
     out, link = bytearray(b"II*\0\0\0\0\0"), 4
     for top in range(0, len(rows), page_rows):
         page = rows[top : top + page_rows]
         coded = np.diff(page, axis=1, prepend=np.uint8(0)) if predictor == 2 else page
+        if tiled:
+            coded = np.pad(coded, ((0, -len(coded) % strip_rows), (0, 0)))
         offsets, counts = [], []
-        for at in range(0, len(page), strip_rows):
-            strip = _PACK[compression](coded[at : at + strip_rows].tobytes())
+        for at in range(0, len(coded), strip_rows):
+            part = _PACK[compression](coded[at : at + strip_rows].tobytes())
             offsets.append(len(out))
-            counts.append(len(strip))
-            out += strip + b"\0" * (len(strip) % 2)
+            counts.append(len(part))
+            out += part + b"\0" * (len(part) % 2)
         where = []
         for values in (offsets, counts):
             where.append(values[0] if len(values) == 1 else len(out))
             if len(values) > 1:
                 out += struct.pack(f"<{len(values)}I", *values)
         struct.pack_into("<I", out, link, len(out))
-        entries = [(WIDTH, 4, 1, width), (HEIGHT, 4, 1, len(page)), (BITS, 3, 1, 8), (COMPRESSION, 3, 1, compression), (PHOTOMETRIC, 3, 1, 1), (STRIPS, 4, len(offsets), where[0]), (SAMPLES, 3, 1, 1), (ROWS, 4, 1, strip_rows), (COUNTS, 4, len(counts), where[1]), (PREDICTOR, 3, 1, predictor)]
-        out += struct.pack("<H", len(entries)) + b"".join(struct.pack("<HHII", *e) for e in entries)
+        entries = [(WIDTH, 4, 1, width), (HEIGHT, 4, 1, len(page)), (BITS, 3, 1, 8), (COMPRESSION, 3, 1, compression), (PHOTOMETRIC, 3, 1, 1), (SAMPLES, 3, 1, 1), (PREDICTOR, 3, 1, predictor)]
+        if tiled:
+            entries += [(TILE_WIDTH, 4, 1, width), (TILE_HEIGHT, 4, 1, strip_rows), (TILES, 4, len(offsets), where[0]), (TILE_COUNTS, 4, len(counts), where[1])]
+        else:
+            entries += [(STRIPS, 4, len(offsets), where[0]), (ROWS, 4, 1, strip_rows), (COUNTS, 4, len(counts), where[1])]
+        out += struct.pack("<H", len(entries)) + b"".join(struct.pack("<HHII", *e) for e in sorted(entries))
         link = len(out)
         out += b"\0\0\0\0"
     return bytes(out)
 
 
+#: Stored forms, one of which a payload gets by its checksum: compression, predictor, tiles.
+FORMS = [(DEFLATE, 2, False), (PACKBITS, 1, False), (LZW, 2, True), (DEFLATE, 1, True), (LZW, 1, False), (NONE, 2, True), (PACKBITS, 2, True), (OLD_DEFLATE, 2, True)]
+
+
+def stored(payload: bytes) -> bytes:
+    """payload in the form that its checksum names: equal payloads have equal media."""
+    compression, predictor, tiled = FORMS[zlib.crc32(payload) % len(FORMS)]
+    return write(payload, strip_rows=64 if tiled else 512, compression=compression, predictor=predictor, tiled=tiled)
+
+
 def read(media: bytes) -> Iterator[Page]:
     """Pages of 8-bit grey samples, strips or tiles, either byte order; a loop of directories is an error."""
     order = {b"II": "<", b"MM": ">"}.get(media[:2])
@@ -206,19 +225,53 @@ def _page(media: bytes, tags: dict) -> Page:
     return Page(width, height, compression, predictor, len(offsets), image.tobytes())
 
 
+def _described(media: bytes | None) -> Iterator[tuple[tuple, bytes | None]]:
+    """The values of PAGE after n_bytes, and the samples, of each page; of the error at last, if there is one."""
+    if media is None:
+        yield (None, True, *[None] * 11, "no medium"), None
+        return
+    digest = hashlib.sha256(media).hexdigest()
+    whole, size, height, total, steps, quarters, last = hashlib.sha256(), 0, 0, 0, 0, np.zeros(4, np.int64), None
+    pages, k, error = read(media), 0, None
+    while error is None:
+        try:
+            p = next(pages, None)
+        except (ValueError, KeyError, IndexError, struct.error, zlib.error, OverflowError, MemoryError) as e:
+            p, error = None, f"{type(e).__name__}: {e}"
+        if last is not None:
+            yield (*last[0][:1], p is None and error is None, *last[0][2:]), last[1]
+        if p is None:
+            break
+        whole.update(p.samples)
+        size += len(p.samples)
+        height += p.height
+        a = np.frombuffer(p.samples, np.uint8).reshape(p.height, p.width)
+        total += int(a.sum())
+        steps += int((a[:, 1:] != a[:, :-1]).sum())
+        quarters += np.bincount(a.ravel() >> 6, minlength=4)
+        feature = f"pages={k + 1};rows={height};sum={total};quarters={','.join(map(str, quarters))};steps={steps}"
+        last = (k, False, p.width, p.height, p.compression, p.predictor, p.parts, size, whole.copy().hexdigest(), zlib.crc32(p.samples[-64:]), len(media), digest, feature, None), p.samples
+        k += 1
+    if error is not None:
+        yield (None, True, *[None] * 8, len(media), digest, None, error), None
+
+
 def texts_to_tiff(df: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, media: each text's UTF-8, zero-padded to a positive multiple of 64, as a TIFF. Null is empty."""
+    """doc_id, n_bytes, media: each text's UTF-8, zero-padded to a positive multiple of 64, as a TIFF.
+
+    Null is empty. Whole texts, however long, over as many pages as they need; repeated rows, null ids and
+    other columns don't matter; an empty table gives none."""
 
     def run(batches):
         for batch in batches:
             for rows in slices(batch, "text"):
-                raw = [(t or "").encode() for t in rows["text"]]
-                yield {"doc_id": rows["doc_id"], "n_bytes": [len(b) for b in raw], "media": [write(b + b"\0" * (-len(b) % 64 or 64 * (not b))) for b in raw]}
+                raw = [(t or "").encode("utf-8", "surrogatepass") for t in rows["text"]]
+                yield {"doc_id": rows["doc_id"], "n_bytes": [len(b) for b in raw], "media": [stored(b + b"\0" * (-len(b) % 64 or 64 * (not b))) for b in raw]}
 
     return map_arrow(df.select("doc_id", "text"), run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
 
 
-PAGE = "doc_id {id}, n_bytes long, page int, is_last boolean, width int, height int, compression int, predictor int, parts int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+PAGE = "doc_id {id}, n_bytes long, page int, is_last boolean, width int, height int, compression int, predictor int, parts int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string"
 
 
 def tiff_pages(df: DataFrame, samples: bool = False) -> DataFrame:
@@ -226,34 +279,20 @@ def tiff_pages(df: DataFrame, samples: bool = False) -> DataFrame:
 
     payload_bytes, payload_sha256 and feature are running: they hold for the samples up to this page's end,
     so the last page's row speaks for the whole medium. feature: pages, rows, sum of samples, their
-    quarters' counts, and how many neighbours in a row differ. Null media give no row, broken ones fail."""
+    quarters' counts, and how many neighbours in a row differ. A medium that is null, broken or of another
+    kind of samples has, after its readable pages, one row more with the error and null page values. Repeated
+    rows, null ids and other columns don't matter; an empty table gives none."""
 
     def run(batches):
+        names = [f.split()[0] for f in PAGE.split(", ")]
         for batch in batches:
-            names = [f.split()[0] for f in PAGE.split(", ")]
             out: dict = {k: [] for k in [*names, "samples"]}
             for doc_id, n_bytes, media in zip(batch["doc_id"].to_pylist(), batch["n_bytes"].to_pylist(), batch["media"], strict=True):
-                media = media.as_py()
-                if media is None:
-                    continue
-                whole, size, total, steps, quarters = hashlib.sha256(), 0, 0, 0, np.zeros(4, np.int64)
-                pages = list(read(media))
-                stored = hashlib.sha256(media).hexdigest()
-                height = 0
-                for k, p in enumerate(pages):
-                    whole.update(p.samples)
-                    size += len(p.samples)
-                    height += p.height
-                    a = np.frombuffer(p.samples, np.uint8).reshape(p.height, p.width)
-                    total += int(a.sum())
-                    steps += int((a[:, 1:] != a[:, :-1]).sum())
-                    quarters += np.bincount(a.ravel() >> 6, minlength=4)
-                    feature = f"pages={k + 1};rows={height};sum={total};quarters={','.join(map(str, quarters))};steps={steps}"
-                    row = (doc_id, n_bytes, k, k == len(pages) - 1, p.width, p.height, p.compression, p.predictor, p.parts, size, whole.hexdigest(), zlib.crc32(p.samples[-64:]), len(media), stored, feature)
-                    for name, v in zip(names, row, strict=True):
+                for row, content in _described(media.as_py()):
+                    for name, v in zip(names, (doc_id, n_bytes, *row), strict=True):
                         out[name].append(v)
                     if samples:
-                        out["samples"].append(p.samples)
+                        out["samples"].append(content)
             yield out
 
     schema = PAGE.format(id=df.schema["doc_id"].dataType.simpleString()) + (", samples binary" if samples else "")

@@ -152,6 +152,33 @@ def test_mixing_targets_and_copies(spark):
     assert mixing.mix(docs(spark, [])).count() == 0
 
 
+def test_taken_words_come_near_targets(spark):
+    for sf, near in (("sf0.001", 0.03), ("sf0.01", 0.01)):
+        d = f"/root/testdata/{sf}"
+        sources = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "source")
+        got = mixing.op2_source_mixing(spark, d).join(sources, "doc_id").groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+        assert got and all(abs(r["taken"] - r["target"]) <= near * r["target"] for r in got)
+
+
+def test_null_and_repeated_ids_draw_by_text(spark):
+    rows = [(None if k % 2 else 7, f"text {k} " + "w " * 100, "one") for k in range(200)] + [(k, "w " * 150, "two") for k in range(100)]
+    got = mixing.mix(docs(spark, rows)).groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"), F.first("target").alias("target")).collect()
+    assert all(abs(r["taken"] - r["target"]) <= 0.02 * r["target"] for r in got)
+
+
+CLASHES = ("size", "source_size", "target", "copies", "copy", "rate", "k", "draw_a", "_source", "keep_id", "kept", "group_size", "text_sha256", "row", "norm", "salt", "score", "_kept", "component_id")
+
+
+def test_stages_leave_clashing_columns_alone(spark):
+    rows = [(k, f"words of text {k // 2} " * 3, "en", f"s{k % 3}", k) for k in range(12)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.concat(F.lit(c), F.col("doc_id")) for c in CLASHES})
+    for out in (mixing.emit(df), exact_dedup.kept_rows(df)):
+        assert out.columns == df.columns
+        got = out.collect()
+        assert got and all(r[c] == f"{c}{r['doc_id']}" for r in got for c in CLASHES)
+    assert exact_dedup.kept_rows(df).count() == 6
+
+
 def test_records_round_trip(spark, tmp_path):
     texts = odd_texts(6, 120)
     rows = [(k * 7 % len(texts), t, "s") for k, t in enumerate(texts)] + [(None, "null id", "s"), (3, "same id", "s")]
@@ -172,6 +199,19 @@ def test_records_round_trip(spark, tmp_path):
     assert read == {(i, tuple(np.frombuffer(encode([t])[0] + bytes(4), "<u4").tolist())) for i, t, _ in rows if i is not None and i % 5 == 0}
 
 
+def test_records_of_string_ids(spark, tmp_path):
+    rows = [("b", "two words"), ("a\ud7ff", "x"), (None, None), ("", "long " * 30_000), ("b", "again")]
+    path = f"file://{tmp_path}/strings"
+    token_records.write_records(spark.createDataFrame(rows, "doc_id string, text string").withColumn("bytes", F.lit(1)), path, public_path("byte_bpe_50k.json"))
+    index = token_records.index_records(spark, path, "string")
+    assert [r["doc_id"] for r in index.orderBy("shard", "offset").collect()] == sorted((r[0] for r in rows), key=lambda i: (i is not None, i or ""))
+    encode = Encoder(public_path("byte_bpe_50k.json"))
+    read = sorted((str(r["doc_id"]), r["ids"]) for r in token_records.read_records(spark, index, chunk=1000).collect())
+    assert read == sorted((str(i), np.frombuffer(encode([t])[0] + bytes(4), "<u4").tolist()) for i, t in rows)
+    with pytest.raises(ValueError):
+        token_records.write_records(spark.createDataFrame([(0.5, "x")], "doc_id double, text string"), path, public_path("byte_bpe_50k.json"))
+
+
 def test_records_tell_damage():
     good = token_records.frame(5, np.array([1, 70_000], "<u4").tobytes()) + token_records.END
     assert [(d, np.frombuffer(i, "<u4").tolist()) for _, _, d, i in token_records.walk(good)] == [(5, [1, 70_000])]
@@ -220,6 +260,27 @@ def test_tiff_tiles_and_big_endian():
         list(tiff.read(b"PK\3\4"))
 
 
+@pytest.mark.parametrize("form", tiff.FORMS)
+def test_tiff_forms_round_trip(form):
+    r = random.Random(5)
+    compression, predictor, tiled = form
+    for rows in (1, 63, 64, 700):
+        payload = bytes(r.choice(b"aab \n\xff") for _ in range(64 * rows))
+        media = tiff.write(payload, page_rows=300, strip_rows=64, compression=compression, predictor=predictor, tiled=tiled)
+        assert b"".join(p.samples for p in tiff.read(media)) == payload
+
+
+def test_tiff_errors_are_rows(spark):
+    good = tiff.stored(bytes(64 * 9000))
+    rows = [(1, 0, good), (2, 0, b"no image"), (None, None, None), (3, 0, good[: len(good) - 10]), (3, 0, b"")]
+    got = tiff.tiff_pages(spark.createDataFrame(rows, "doc_id int, n_bytes long, media binary")).collect()
+    assert [(r["doc_id"], r["page"], r["is_last"], r["error"] is None) for r in got] == [
+        (1, 0, False, True), (1, 1, False, True), (1, 2, True, True), (2, None, True, False), (None, None, True, False),
+        (3, 0, False, True), (3, 1, False, True), (3, None, True, False), (3, None, True, False),
+    ]
+    assert tiff.tiff_pages(spark.createDataFrame([], "doc_id int, n_bytes long, media binary")).count() == 0
+
+
 def test_tiff_query_columns(spark):
     texts = [None, "", "a", "é" * 40, "same", "same", "z" * 300_000]
     df = docs(spark, [(k, t, "s") for k, t in enumerate(texts)])
@@ -250,11 +311,11 @@ def plain_dedup(rows):
 def test_exact_dedup(spark, hot_rows):
     rows = [(1, "a b"), (2, "ab "), (3, "ab  "), (4, None), (5, " \n"), (None, "ab"), (7, "A b"), (8, " x"), (9, "x")] + [(k, "hot " * (1 + k % 3)) for k in range(10, 60)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("keep_id", F.lit("clash")).withColumn("n", F.lit(1))
-    got = exact_dedup.exact_duplicates(df, hot_share=0.0, hot_rows=hot_rows).collect()
+    got = exact_dedup.exact_duplicates(df, hot_rows=hot_rows).collect()
     want = Counter((rows[k][0], *v) for k, v in plain_dedup(rows).items())
     assert Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in got) == want
     twice = spark.createDataFrame([(1, "x"), (1, "x")], "doc_id long, text string")
-    assert [r["kept"] for r in exact_dedup.exact_duplicates(twice, 0.0, 1).collect()].count(True) == 1
+    assert [r["kept"] for r in exact_dedup.exact_duplicates(twice, hot_rows=1).collect()].count(True) == 1
     assert exact_dedup.exact_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
