@@ -16,8 +16,9 @@ documents that share prefix tokens, in blocks of bounded size, of which only spa
 Groups of copies never make all their pairs: equal sets are one node, and first each document is
 compared with its tokens' smallest node only. Documents already connected are not compared again.
 
-Hashes: words and shingles by 64 bits mixed down to 48, sets by 64. Chances of a wrong answer are about
-n * n / 2^48 for a pair of sets of n shingles, and N * N / 2^65 that any two of N sets are taken as equal."""
+Hashes: words and shingles by 64 bits mixed down to 48, sets by 128 (nodes of sets that share 64 are told
+apart). Chances of a wrong answer are about n * n / 2^48 for a pair of sets of n shingles, and N * N / 2^129
+that any two of N sets are taken as equal."""
 
 from __future__ import annotations
 
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import documents, map_arrow, slices, struct
+from .common import apart, documents, map_arrow, slices, struct
 from .common import materialise as written
 from .components import components
 
@@ -37,7 +38,7 @@ WORDS, PERCENT = 5, 80
 #: A token is costly from so many unlinked components on (more if too many tokens were), and so many
 #: costly tokens are broadcast at most; the rest stay ordinary tokens.
 COSTLY, COSTLY_TOKENS = 8, 1 << 20
-BLOCK_DOCS, BLOCK_TOKENS = 1024, 1 << 20
+BLOCK_DOCS, BLOCK_TOKENS = 512, 1 << 19
 #: Nodes that a comparison needs are told to the scan of whole sets by hash buckets, so many at most.
 BUCKETS = 1 << 20
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -103,11 +104,23 @@ def shingle_sets(df: DataFrame, words: int = WORDS) -> DataFrame:
             for rows in slices(batch, "text", 1 << 19):
                 sets = shingle_hashes(rows["text"], words, known)
                 packed = [pack48(s) for s in sets]
-                nodes = [xxhash.xxh3_64_intdigest(b) - (1 << 63) if b else None for b in packed]
-                yield {"doc_id": rows["doc_id"], "n_shingles": [len(s) for s in sets], "node": nodes, "tokens": packed}
+                nodes, checks = ([xxhash.xxh3_64_intdigest(b, seed) - (1 << 63) if b else None for b in packed] for seed in (0, 1))
+                yield {"doc_id": rows["doc_id"], "n_shingles": [len(s) for s in sets], "node": nodes, "check": checks, "text_hash": rows["text_hash"], "tokens": packed}
 
     kind = df.schema["doc_id"].dataType.simpleString()
-    return map_arrow(df.select("doc_id", "text"), run, f"doc_id {kind}, n_shingles long, node long, tokens binary")
+    return map_arrow(df.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), run, f"doc_id {kind}, n_shingles long, node long, check long, text_hash long, tokens binary")
+
+
+def told_apart(sets: DataFrame) -> DataFrame:
+    """sets, where different sets have different nodes: those of one node that differ in the other 64 bits of their
+    hash get new ones. Seldom any do."""
+    same = sets.where("node is not null").groupBy("node").agg(F.min("check").alias("least"), F.max("check").alias("most")).where("least <> most")
+    same = materialise(same.select("node", "least"), "same")
+    if not same.limit(1).count():
+        return sets
+    found = sets.join(same, "node", "left")
+    new = F.when(F.col("check") != F.col("least"), F.xxhash64("node", "check")).otherwise(F.col("node"))
+    return materialise(found.withColumn("node", new).select(*sets.columns), "sets")
 
 
 def postings(sets: DataFrame, percent: int) -> DataFrame:
@@ -185,10 +198,10 @@ def _rows(out: list) -> dict:
 def live(posted: DataFrame) -> DataFrame:
     """Postings of tokens that more than one node has, once each, with the token's smallest node as lead.
 
-    Tokens' minima are summed per task before they are shuffled; where a token's rows fill a partition, the
-    join is one that adaptive execution splits."""
+    Tokens' minima are summed per task before they are shuffled. The join is written as it is, so that adaptive
+    execution can split a hot token's rows; repeated ones go by a shuffle over token and node."""
     shared = posted.groupBy("token").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead <> last").drop("last")
-    return posted.join(shared, "token").distinct()
+    return materialise(posted.join(shared, "token"), "posted").distinct()
 
 
 def needed(a: str, b: str, percent: int, slacked: bool) -> Column:
@@ -366,13 +379,14 @@ def block_links(sets: list[np.ndarray], percent: int, step: int = 4096) -> list[
 
 
 def near_duplicates(df: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) of every row of df (doc_id, text).
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) and text_hash of every row of df
+    (doc_id, text).
 
     Null, empty and white texts have no shingles and stay alone. Repeated rows, also of one doc_id, are
     linked by their equal sets. Null ids don't name components unless there is no other. Columns besides
     doc_id and text don't matter. An empty table gives none."""
     spark = df.sparkSession
-    sets = materialise(shingle_sets(df, words), "sets")
+    sets = told_apart(materialise(shingle_sets(df, words), "sets"))
     nodes = materialise(sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n")), "nodes")
     rows = materialise(live(postings(sets, percent)).select("token", "node", "n", "lead"), "live")
     sizes = nodes.select(F.col("node").alias("b"), F.col("n").alias("m"))
@@ -404,12 +418,20 @@ def near_duplicates(df: DataFrame, words: int = WORDS, percent: int = PERCENT) -
     named = with_component(nodes, linked)
     smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = named.select("node", "component").join(smallest, "component").select("node", "component_id")
-    narrow = sets.select("doc_id", "n_shingles", "node")
-    return narrow.join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    narrow = sets.select("doc_id", "n_shingles", "node", "text_hash")
+    return narrow.join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash")
+
+
+def first_of_groups(df: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """df's rows, whatever their columns' names, without those that are linked to a document of a smaller id."""
+    plain, back = apart(df, "doc_id", "text")
+    groups = near_duplicates(plain, words, percent)
+    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept id"), F.col("text_hash").alias("kept text")).distinct()
+    return back(plain.join(first, F.col("doc_id").eqNullSafe(F.col("kept id")) & (F.xxhash64("text") == F.col("kept text")), "left_semi"))
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(documents(spark, sf_dir))
+    return near_duplicates(documents(spark, sf_dir)).drop("text_hash")
 
 
 OP4_SQL = r"""

@@ -2,28 +2,33 @@
 
 Texts are folded to units: words in lower case without marks inside, digits and signs that stand for
 letters read as those, and runs of single letters joined, so that s p a c e d, do.tt.ed and l3tt3r
-spellings are words again. Two units are alike as far as they share three-letter subsequences; one that
-spans more letters counts less by DECAY for each, up to SPAN, so inserted and left-out letters only
-weaken a match. A unit's start is a letter of its own.
-
-Training takes a bounded sample of labelled rows. Sentences of toxic rows are labelled by their witnesses:
-units, or word beginnings, that toxic rows hold far more often than clean ones could by chance. Landmarks
-are witnesses and clean units; the machine is trained on the landmarks' features (squared hinge).
-As the kernel's feature space is finite, the trained machine is then one table of 32^3 weights, and a
-unit's decision value is a sum of table cells over its subsequences. A text's score is that of its
-strongest unit, turned into a probability on the training sample."""
+spellings are words again. Their sentences are windows of 1, 2, 4 and 8 neighbouring units. Two sentences are
+alike as far as they share three-letter subsequences, also such that run from a unit into the next; one that
+spans more letters counts less by DECAY for each, up to SPAN, so inserted and left-out letters, and a space put
+into a word, only weaken a match. A unit's start is a letter of its own.
+
+Training takes a bounded sample of labelled rows. A toxic row's sentences are labelled by the row around its
+witnesses: units, pairs of units, or beginnings, that toxic rows hold far more often than clean ones could by
+chance; later also where the machine so far finds a toxic row's strongest sentence above nearly all clean rows.
+Sentences of clean rows are clean, those the machine likes best among them. Landmarks are sentences of both
+kinds; the machine is trained on the landmarks' features (squared hinge). As the kernel's feature space is
+finite, the trained machine is then one table of 32^3 weights, and a sentence's decision value is a sum of table
+cells over its subsequences. A text's score is that of its strongest sentence, turned into a probability on the
+training sample."""
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, held_out, labels, map_arrow, slices
+from .common import apart, documents, held_out, labels, map_arrow, materialise, slices
 
 DECAY, SPAN, LETTERS = 0.6, 5, 32
-#: Longer units are scored, but not learnt from.
-LONGEST = 40
+#: Units in a sentence.
+WINDOWS = (1, 2, 4, 8)
 _STEPS = [(a, b) for a in range(1, SPAN) for b in range(1, SPAN + 1 - a)]
 _DROP, _START = 255, 0
 
@@ -61,26 +66,42 @@ def fold(raw: bytes) -> np.ndarray:
     return c[keep]
 
 
-def unit_scores(c: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each unit of c starts, and its kernel sum with a table of weights over a norm by length.
-
-    That norm is exact for units without repeated subsequences and too small for others, so a positive
-    score is never too low."""
+def unit_sums(c: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each unit of c starts (and where the last one ends), and two kernel sums of each with a table of
+    weights: of its own subsequences, and of those that run on into the next unit."""
     c = np.append(c, np.uint8(_START))  # ends the last unit
     first = c == _START
     starts, owner = np.flatnonzero(first), np.cumsum(first)
     ends = owner - first  # a start also ends the unit before
     code = c.astype(np.int32)
     head, mid = code << 10, code << 5
-    value = np.zeros(len(c), np.float32)
+    own, on = np.zeros(len(c), np.float32), np.zeros(len(c), np.float32)
     for a, b in _STEPS:
         n = len(c) - a - b
         if n > 0:
-            inside = ends[a + b :] == owner[:n]
-            value[:n] += np.where(inside, table[head[:n] + mid[a : a + n] + code[a + b :]], 0) * np.float32(DECAY ** (a + b))
-    total = np.add.reduceat(value, starts)[:-1]
-    sizes = np.diff(starts) + 1
-    return starts, total / _NORM[np.minimum(sizes, len(_NORM) - 1)]
+            value = table[head[:n] + mid[a : a + n] + code[a + b :]] * np.float32(DECAY ** (a + b))
+            crossed = ends[a + b :] - owner[:n]
+            own[:n] += np.where(crossed == 0, value, 0)
+            on[:n] += np.where(crossed == 1, value, 0)
+    return starts, np.add.reduceat(own, starts)[:-1], np.add.reduceat(on, starts)[:-1]
+
+
+def window_scores(c: np.ndarray, text: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Kernel sums of all windows of WINDOWS units within one text, over a norm by length: first units, widths,
+    scores, and where units start. text: of each unit of c.
+
+    The norm is exact for windows without repeated subsequences and too small for others, so a positive score
+    is never too low."""
+    starts, own, on = unit_sums(c, table)
+    own, on = (np.concatenate([[0], np.cumsum(x, dtype=np.float64)]) for x in (own, on))
+    found = []
+    for w in WINDOWS:
+        at = np.arange(max(0, len(text) - w + 1))
+        at = at[text[at] == text[at + w - 1]]
+        total = own[at + w] - own[at] + on[at + w - 1] - on[at]
+        size = starts[at + w] - starts[at] + 1
+        found.append((at, np.full(len(at), w), total / _NORM[np.minimum(size, len(_NORM) - 1)]))
+    return *(np.concatenate([f[k] for f in found]) for k in range(3)), starts
 
 
 def unit_features(unit: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -123,159 +144,205 @@ def kernel(words: list[bytes], marks: np.ndarray) -> np.ndarray:
 
 
 class Scorer:
-    """Scores texts: the exact score of each text's strongest unit; LEAST for texts without a likely one."""
+    """Scores texts: the exact score of each text's strongest window, and that window; LEAST and no window for
+    texts without a likely one."""
 
     LEAST = 0.0
 
     def __init__(self, table: np.ndarray):
         self.table, self.known = table, {}
 
-    def unit(self, unit: bytes) -> float:
-        s = self.known.get(unit)
+    def exact(self, window: bytes) -> float:
+        s = self.known.get(window)
         if s is None:
-            if len(self.known) >= 200_000:
+            if len(self.known) >= 100_000:
                 self.known.clear()
-            s = self.known[unit] = exact_score(unit, self.table)
+            s = self.known[window] = exact_score(window, self.table)
         return s
 
-    def __call__(self, texts: list[str | None]) -> list[float]:
-        folded = [fold((t or "").encode("utf-8", "surrogatepass")) for t in texts]
+    def strongest(self, texts: list[str | None]) -> list[tuple[float, bytes]]:
+        folded = [folded_text(t) for t in texts]
         counts = np.array([int((f == _START).sum()) for f in folded])
+        best = [(self.LEAST, b"")] * len(texts)
         if not counts.sum():
-            return [self.LEAST] * len(texts)
+            return best
         c = np.concatenate(folded)
-        starts, fast = unit_scores(c, self.table)
-        best = [self.LEAST] * len(texts)
         text = np.repeat(np.arange(len(texts)), counts)
+        first, width, fast, starts = window_scores(c, text, self.table)
+        likely = np.flatnonzero(fast > self.LEAST)
         letters = c.tobytes()
-        for k in np.flatnonzero(fast > self.LEAST).tolist():
-            t = int(text[k])
-            if fast[k] > best[t]:
-                best[t] = max(best[t], self.unit(letters[starts[k] + 1 : starts[k + 1]]))
+        for k in likely[np.argsort(-fast[likely], kind="stable")].tolist():
+            at = int(first[k])
+            t = int(text[at])
+            if fast[k] > best[t][0]:
+                window = letters[starts[at] + 1 : starts[at + int(width[k])]]
+                if (s := self.exact(window)) > best[t][0]:
+                    best[t] = s, window
         return best
 
+    def __call__(self, texts: list[str | None]) -> list[float]:
+        return [s for s, _ in self.strongest(texts)]
+
+
+def folded_text(text: str | None) -> np.ndarray:
+    return fold((text or "").encode("utf-8", "surrogatepass"))
 
-def _distinct_units(text: str | None) -> set[bytes]:
-    c = fold((text or "").encode("utf-8", "surrogatepass"))
-    return {u for u in c.tobytes().split(b"\0") if 2 < len(u) <= LONGEST}
+
+def units(text: str | None) -> list[bytes]:
+    return folded_text(text).tobytes().split(b"\0")[1:]
 
 
 def _sample(known: DataFrame, rows: int) -> DataFrame:
     return known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
 
+_BEGINNING, _UNIT, _PAIR = range(3)
+
+
 def _counts(rows: DataFrame) -> DataFrame:
-    """How many toxic and clean rows hold each unit, and each beginning of 4 to 7 letters."""
+    """How many toxic and clean rows hold each unit, each pair of neighbouring ones, and each beginning of 4 to 7
+    letters."""
 
     def run(batches):
         for batch in batches:
-            for r in slices(batch, "text"):
-                out: dict = {"unit": [], "whole": [], "toxic": []}
+            for r in slices(batch, "text", 1 << 18):
+                out: dict = {"unit": [], "kind": [], "toxic": []}
                 for text, label in zip(r["text"], r["label"], strict=True):
-                    found = _distinct_units(text)
+                    found = units(text)
+                    pairs = {a + b"\0" + b for a, b in zip(found, found[1:], strict=False)}
+                    found = set(found)
                     starts = {u[:n] for u in found for n in (4, 5, 6, 7) if len(u) >= n}
-                    for whole, some in ((True, found), (False, starts)):
+                    for kind, some in ((_UNIT, found), (_PAIR, pairs), (_BEGINNING, starts)):
                         out["unit"] += some
-                        out["whole"] += [whole] * len(some)
+                        out["kind"] += [kind] * len(some)
                         out["toxic"] += [label] * len(some)
                 yield out
 
-    each = map_arrow(rows.select("text", "label"), run, "unit binary, whole boolean, toxic int")
-    return each.groupBy("unit", "whole").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean"))
+    each = map_arrow(rows.select("text", "label"), run, "unit binary, kind int, toxic int")
+    return each.groupBy("unit", "kind").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean"))
 
 
-def variants(unit: bytes) -> list[bytes]:
-    """The unit with a foreign letter put in, or a letter doubled: what a witness may be disguised as."""
-    out = []
-    for at in range(1, len(unit)):
-        out.append(unit[:at] + bytes(((unit[at] * 7 + at) % 26 + 1,)) + unit[at:])
-        out.append(unit[:at] + unit[at - 1 : at] + unit[at:])
-    return out
+def _witnesses(counts: DataFrame, chance: float, most: int) -> tuple[dict[bytes, int], tuple[bytes, ...]]:
+    """Units and pairs that toxic rows hold far more often than clean ones could by chance, with their toxic rows;
+    and the shortest beginnings of that kind."""
+    kinds = max(1, counts.count())
+    # surprise of so many toxic rows among those that hold the unit, against all units tried
+    held = F.col("toxic") + F.col("clean")
+    pure = F.col("toxic") / held
+    surprise = held * (pure * F.log(pure / chance) + F.when(pure < 1, (1 - pure) * F.log((1 - pure) / (1 - chance))).otherwise(0))
+    good = counts.where((F.col("toxic") >= 2) & (pure >= 0.9) & (surprise > float(np.log(kinds)) + 1))
+    found = [(bytes(r["unit"]), r["kind"], r["toxic"]) for r in good.orderBy(F.desc(surprise), "unit").limit(most).collect()]
+    stems = {u for u, kind, _ in found if kind == _BEGINNING}
+    shortest = tuple(sorted(s for s in stems if not any(s[:n] in stems for n in range(4, len(s)))))
+    known = {u: t for u, kind, t in found if kind == _UNIT}
+    # a pair tells more than its units only where neither does alone
+    known |= {u: t for u, kind, t in found if kind == _PAIR and not any(w in known or w.startswith(shortest) for w in u.split(b"\0"))}
+    return known, shortest
 
 
-def train(docs: DataFrame, known: DataFrame, toxic_rows: int = 2500, clean_rows: int = 5000, landmarks: int = 400, negatives: int = 6000, rounds: int = 3) -> tuple[np.ndarray, float, float]:
-    """Table, slope and offset of the probability. docs: doc_id, text; known: doc_id, label (0/1).
+def _labelled_windows(rows: DataFrame, known: dict[bytes, int], stems: tuple[bytes, ...], each: int) -> DataFrame:
+    """window, label: of toxic rows the windows of all widths around their first `each` witnesses; of clean rows
+    `each` windows of each width, from places that a hash of the text deals."""
 
-    At most toxic_rows and clean_rows labelled rows are learnt from, the first by a hash of their id. Units are
-    counted on the executors; the driver holds witnesses and `negatives` clean units."""
-    usable = known.where("doc_id is not null and label is not null")
-    chosen = _sample(usable.where("label = 1"), toxic_rows).union(_sample(usable.where("label = 0"), clean_rows))
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    counts = _counts(rows).persist()
-    try:
-        totals = {r["label"]: r["count"] for r in chosen.groupBy("label").count().collect()}
-        toxic_n, clean_n = totals.get(1, 0), totals.get(0, 0)
-        if not toxic_n or not clean_n:
-            return np.zeros(LETTERS**3, np.float32), 1.0, -2.0
-        chance = toxic_n / (toxic_n + clean_n)
-        kinds = max(1, counts.count())
-        # surprise of so many toxic rows among those that hold the unit, against all units tried
-        held = F.col("toxic") + F.col("clean")
-        pure = F.col("toxic") / held
-        surprise = held * (pure * F.log(pure / chance) + F.when(pure < 1, (1 - pure) * F.log((1 - pure) / (1 - chance))).otherwise(0))
-        good = counts.where((F.col("toxic") >= 2) & (pure >= 0.9) & (surprise > float(np.log(kinds)) + 1))
-        found = [(bytes(r["unit"]), r["whole"], r["toxic"]) for r in good.orderBy(F.desc(surprise), "unit").limit(5000).collect()]
-        stems = {u for u, whole, _ in found if not whole}
-        shortest = {s for s in stems if not any(s[:n] in stems for n in range(4, len(s)))}
-        like = F.lit(False)
-        for n in (4, 5, 6, 7):
-            some = [bytearray(s) for s in sorted(shortest) if len(s) == n]
-            if some:
-                like = like | F.substring("unit", 1, n).isin(some)
-        begun = [(bytes(r["unit"]), r["toxic"]) for r in counts.where(F.col("whole") & like & (pure >= 0.9)).orderBy(F.desc("toxic"), "unit").limit(3000).collect()]
-        weight: dict[bytes, float] = {u: t for u, whole, t in found if whole}
-        for u, t in begun:
-            weight[u] = max(weight.get(u, 0), t)
-        clean = counts.where(F.col("whole") & (pure < chance))
-        half = negatives // 2
-        others = {bytes(r["unit"]) for part in (clean.orderBy(F.desc("clean"), "unit"), clean.orderBy(F.xxhash64("unit"), "unit")) for r in part.limit(half).collect()} - set(weight)
-        if not weight:
-            return np.zeros(LETTERS**3, np.float32), 1.0, -2.0
-        witnesses = sorted(weight, key=lambda u: (-weight[u], u))[:1500]
-        hard: list[bytes] = []
-        for _ in range(rounds):
-            table = _machine(witnesses, sorted(others), hard, landmarks)
-            # the clean units that the machine so far likes best join the training set and the landmarks
-            hard = [u for u in _strongest(clean, table, half) if u not in weight]
-            others |= set(hard)
-        table = _machine(witnesses, sorted(others), hard, landmarks)
-    finally:
-        counts.unpersist()
-    # probability of a text from its strongest unit, on the sample
     def run(batches):
-        strongest = Scorer(table)
         for batch in batches:
-            for r in slices(batch, "text"):
-                yield {"s": strongest(r["text"]), "label": r["label"]}
+            for r in slices(batch, "text", 1 << 18):
+                out: dict = {"window": [], "label": []}
+                for text, label in zip(r["text"], r["label"], strict=True):
+                    found = units(text)
+                    if label:
+                        at = [i for i, u in enumerate(found) if u in known or u.startswith(stems) or b"\0".join(found[i : i + 2]) in known][:each]
+                    else:
+                        seed = zlib.crc32((text or "").encode("utf-8", "surrogatepass"))
+                        at = [(seed + k * 2654435761) % len(found) for k in range(each)] if found else []
+                    for i in at:
+                        for w in WINDOWS:
+                            start = max(0, min(i - (w - 1) // 2, len(found) - w))
+                            out["window"].append(b"\0".join(found[start : start + w]))
+                            out["label"].append(label)
+                yield out
 
-    pairs = map_arrow(rows.select("text", "label"), run, "s double, label int").toPandas().sort_values(["s", "label"])
-    shares = {r["label"]: r["count"] for r in usable.groupBy("label").count().collect()}  # two rows or so
-    weights = np.where(pairs["label"] == 1, shares[1] / toxic_n, shares[0] / clean_n)
-    return table, *_platt(pairs["s"].to_numpy(), pairs["label"].to_numpy(), weights)
+    return map_arrow(rows.select("text", "label"), run, "window binary, label int").distinct()
 
 
-def _strongest(clean: DataFrame, table: np.ndarray, rows: int) -> list[bytes]:
+def _strongest(rows: DataFrame, table: np.ndarray) -> list[tuple[float, bytes, int]]:
+    """Score, window and label of each row's strongest window; the sample's rows."""
+
     def run(batches):
+        score = Scorer(table)
         for batch in batches:
-            found = batch["unit"].to_pylist()
-            fast = unit_scores(np.frombuffer(b"".join(b"\0" + u for u in found), np.uint8), table)[1]
-            likely = [u for u, f in zip(found, fast.tolist(), strict=True) if f > 0]
-            yield {"unit": likely, "s": [exact_score(u, table) for u in likely]}
+            for r in slices(batch, "text"):
+                found = score.strongest(r["text"])
+                yield {"s": [f[0] for f in found], "window": [f[1] for f in found], "label": r["label"]}
+
+    found = map_arrow(rows.select("text", "label"), run, "s double, window binary, label int").collect()
+    return sorted(((r["s"], bytes(r["window"]), r["label"]) for r in found), key=lambda f: (-f[0], f[1], f[2]))
 
-    return [bytes(r["unit"]) for r in map_arrow(clean.select("unit"), run, "unit binary, s double").orderBy(F.desc("s"), "unit").limit(rows).collect()]
 
+def train(docs: DataFrame, known: DataFrame, toxic_rows: int = 2500, clean_rows: int = 5000, landmarks: int = 600, windows: int = 8000, witnesses: int = 5000, each: int = 4, rounds: int = 3) -> tuple[np.ndarray, float, float]:
+    """Table, slope and offset of the probability. docs: doc_id, text; known: doc_id, label (0/1).
 
-def _machine(witnesses: list[bytes], others: list[bytes], hard: list[bytes], landmarks: int) -> np.ndarray:
-    disguised = [v for w in witnesses[:200] for v in variants(w)[:: max(1, len(w) // 3)]]
-    words = witnesses + disguised + others
-    y = np.r_[np.ones(len(witnesses) + len(disguised)), -np.ones(len(others))]
-    half = landmarks // 2
-    marks = list(dict.fromkeys(witnesses[:half] + hard[:half] + others[:: max(1, len(others) // half)]))[:landmarks]
+    At most toxic_rows and clean_rows labelled rows are learnt from, the first by a hash of their id, whole texts.
+    Of their sentences (windows) at most `windows` of each label train the machine, the first by a hash, and half as
+    many more clean ones in each round; `witnesses` bounds the telling units. Units are counted and windows found
+    on the executors; the driver holds windows only. Rows without an id or a label teach nothing; repeated ids are
+    learnt as often as they stand with a text; other columns don't matter. Where one label is absent, or nothing
+    tells the labels apart, every text gets the same low score."""
+    usable = known.where("doc_id is not null and label is not null").select("doc_id", "label")
+    chosen = _sample(usable.where("label = 1"), toxic_rows).union(_sample(usable.where("label = 0"), clean_rows))
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # toxic_rows + clean_rows
+    none = np.zeros(LETTERS**3, np.float32), 1.0, -2.0
+    totals = {r["label"]: r["count"] for r in chosen.groupBy("label").count().collect()}  # two rows
+    toxic_n, clean_n = totals.get(1, 0), totals.get(0, 0)
+    if not toxic_n or not clean_n:
+        return none
+    rows = materialise(rows.select("text", "label"), "labelled")
+    telling, stems = _witnesses(materialise(_counts(rows), "units"), toxic_n / (toxic_n + clean_n), witnesses)
+    if not telling and not stems:
+        return none
+    found = materialise(_labelled_windows(rows, telling, stems, each), "windows")
+    first = lambda label: [bytes(r["window"]) for r in found.where(F.col("label") == label).orderBy(F.xxhash64("window"), "window").limit(windows).collect()]
+    toxic, clean = first(1), first(0)
+    # windows of both labels tell nothing
+    both = set(toxic) & set(clean)
+    toxic, clean = ([w for w in some if w not in both] for some in (toxic, clean))
+    if not toxic or not clean:
+        return none
+    hard: list[bytes] = []
+    for _ in range(rounds):
+        table = _machine(toxic, clean, hard, telling, landmarks)
+        best = _strongest(rows, table)
+        # the clean windows that the machine so far likes best join the training set and the landmarks
+        likely = [(s, w) for s, w, label in best if not label and w]
+        seen = set(toxic) | set(clean) | set(hard)
+        hard += [w for w in dict.fromkeys(w for _, w in likely[: windows // 2]) if w not in seen]
+        # and of toxic rows those above nearly all clean rows, wherever a row's telling sentence was not known
+        limit = likely[clean_n // 50][0] if len(likely) > clean_n // 50 else 0.0
+        toxic += [w for w in dict.fromkeys(w for s, w, label in best if label and s > limit) if w not in seen]
+    table = _machine(toxic, clean, hard, telling, landmarks)
+    # probability of a text from its strongest window, on the sample
+    pairs = _strongest(rows, table)
+    s, y = np.array([p[0] for p in pairs]), np.array([p[2] for p in pairs])
+    shares = {r["label"]: r["count"] for r in usable.groupBy("label").count().collect()}  # two rows or so
+    weights = np.where(y == 1, shares[1] / toxic_n, shares[0] / clean_n)
+    slope, _ = _platt(s, y, weights)
+    return table, slope, -slope * _cut(s, y, weights)
+
+
+def _machine(toxic: list[bytes], clean: list[bytes], hard: list[bytes], telling: dict[bytes, int], landmarks: int) -> np.ndarray:
+    """A squared-hinge machine on Nyström features of windows. Landmarks: the commonest telling units and toxic
+    windows, the hardest clean windows, and other clean ones."""
+    words = toxic + clean + hard
+    y = np.r_[np.ones(len(toxic)), -np.ones(len(clean) + len(hard))]
+    quarter = landmarks // 4
+    spread = lambda some: some[:: max(1, len(some) // quarter)]
+    common = sorted(telling, key=lambda u: (-telling[u], u))
+    marks = list(dict.fromkeys(common[:quarter] + spread(toxic)[:quarter] + hard[:quarter] + spread(clean)))[:landmarks]
     z = by_cell(marks)
     values, vectors = np.linalg.eigh(kernel(marks, z).astype(np.float64) + 1e-4 * np.eye(len(marks)))
     root = ((vectors / np.sqrt(np.maximum(values, 1e-6))) @ vectors.T).astype(np.float32)
     x = np.c_[kernel(words, z) @ root, np.ones(len(words), np.float32)]
-    # squared hinge by Newton steps on the rows within the margin; both classes weigh the same
+    # Newton steps on the rows within the margin; both classes weigh the same
     c = (np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * len(y)).astype(np.float32)
     y = y.astype(np.float32)
     w, ridge = np.zeros(x.shape[1]), 1e-4 * np.eye(x.shape[1]) * len(y)
@@ -290,6 +357,18 @@ def _machine(witnesses: list[bytes], others: list[bytes], hard: list[bytes], lan
     return z @ (root @ w[:-1].astype(np.float32))
 
 
+def _cut(s: np.ndarray, y: np.ndarray, weights: np.ndarray) -> float:
+    """The score from which on a text is toxic with the fewest errors on the sample; of equal cuts the lowest."""
+    order = np.argsort(-s, kind="stable")
+    s, gain = s[order], np.cumsum(np.where(y[order] == 1, weights[order], -weights[order]))
+    ends = np.flatnonzero(np.append(s[1:] != s[:-1], True))  # after all rows of one score
+    best = ends[len(ends) - 1 - int(np.argmax(gain[ends][::-1]))]
+    if gain[best] <= 0:
+        return float(s[0]) + 1.0
+    below = s[best + 1] if best + 1 < len(s) else s[best] - 1.0
+    return float((s[best] + below) / 2)
+
+
 def _platt(s: np.ndarray, y: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
     """Slope and offset of a logistic curve on weighted scores of unit spread."""
     mean, spread = s.mean(), s.std() or 1.0
@@ -307,9 +386,10 @@ def _platt(s: np.ndarray, y: np.ndarray, weights: np.ndarray) -> tuple[float, fl
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float, float], keep: list[str] | None = None) -> DataFrame:
-    """doc_id (or the columns to keep, text among them) and score of every row; whole texts.
+    """doc_id (or the columns to keep) and score of every row; whole texts, however long.
 
-    Null and empty texts score like one without a likely unit. A column named score is replaced."""
+    Null and empty texts score like ones without a likely sentence; equal texts score alike. Repeated rows and null
+    ids don't matter; an empty table gives none. A column named score is replaced (without_toxic() leaves it alone)."""
     table, slope, offset = model
     shared = docs.sparkSession.sparkContext.broadcast(table)  # 32^3 numbers
 
@@ -322,7 +402,13 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float, float], keep: list[st
 
     kept = [c for c in keep or ["doc_id"] if c != "score"]
     fields = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in kept)
-    return map_arrow(docs.select(*dict.fromkeys([*kept, "text"])), run, f"{fields}score double")
+    return map_arrow(docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*kept, "text"])]), run, f"{fields}score double")
+
+
+def without_toxic(docs: DataFrame, model: tuple[np.ndarray, float, float], threshold: float = 0.5) -> DataFrame:
+    """The rows of docs that score below the threshold: its own columns, whatever their names."""
+    plain, back = apart(docs, "doc_id", "text")
+    return back(score(plain, model, keep=plain.columns).where(F.col("score") < threshold))
 
 
 def trained(spark: SparkSession, sf_dir: str) -> tuple[np.ndarray, float, float]:

@@ -76,6 +76,24 @@ def test_no_documents(spark):
     assert ngram_join.near_duplicates(spark.createDataFrame([(1, None)], "doc_id long, text string")).collect() == [(1, 0, 1)]
 
 
+def test_one_of_a_group_stays(spark):
+    """Rows of one id with different texts go by their own groups; null ids, clashing columns, no words."""
+    base = [f"w{k}" for k in range(60)]
+    near = " ".join([*base[:-1], "end"])
+    rows = [(5, "another text of its own"), (5, " ".join(base)), (3, near), (None, near + " x"), (None, "alone here"), (9, ""), (9, None), (8, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(c) for c in ("node", "kept id", "tokens", "component_id")})
+    got = ngram_join.first_of_groups(docs)
+    assert got.columns == docs.columns and {r["node"] for r in got.collect()} == {"node"}
+    assert sorted((str(r["doc_id"]), str(r["text"])[:7]) for r in got.collect()) == sorted([("5", "another"), ("3", "w0 w1 w"), ("None", "alone h"), ("9", ""), ("9", "None"), ("8", " ")])
+    assert ngram_join.first_of_groups(docs.where("false")).count() == 0
+
+
+def test_nodes_of_different_sets_are_told_apart(spark):
+    rows = [(1, 7, 1), (2, 7, 2), (3, 7, 1), (4, 8, 5), (5, None, None)]
+    got = {r["doc_id"]: r["node"] for r in ngram_join.told_apart(spark.createDataFrame(rows, "doc_id long, node long, check long")).collect()}
+    assert got[1] == got[3] == 7 and got[2] not in (7, 8) and got[4] == 8 and got[5] is None
+
+
 def test_block_links_span_similar_sets():
     r = np.random.RandomState(1)
     base = np.unique(r.randint(0, 1 << 40, 300).astype(np.uint64))
@@ -124,14 +142,61 @@ def test_toxicity_tolerates_disguise(spark):
 
 
 def test_kernel_table_is_the_kernel():
+    """Windows' sums against plain sums over all their subsequences, and kernels against plain inner products."""
     r = np.random.RandomState(0)
     table = r.randn(32**3).astype(np.float32)
-    words = [bytes(r.randint(1, 27, r.randint(1, 12)).astype(np.uint8)) for _ in range(50)]
-    c = np.frombuffer(b"".join(b"\0" + w for w in words), np.uint8)
-    starts, fast = toxicity.unit_scores(c, table)
-    for w, f in zip(words, fast, strict=True):
-        exact = toxicity.exact_score(w, table)
-        assert len(fast) == 50 == len(starts) - 1 and abs(exact) <= abs(f) + 1e-4 and exact * f >= -1e-6
+    texts = [[bytes(r.randint(1, 27, r.randint(2, 12)).astype(np.uint8)) for _ in range(n)] for n in (1, 3, 20)]
+    c = np.frombuffer(b"".join(b"\0" + w for t in texts for w in t), np.uint8)
+    owner = np.repeat(np.arange(3), [len(t) for t in texts])
+    first, width, fast, _ = toxicity.window_scores(c, owner, table)
+    words = [w for t in texts for w in t]
+    assert len(fast) == sum(max(0, len(t) - w + 1) for t in texts for w in toxicity.WINDOWS)
+    for i, w, f in zip(first, width, fast, strict=True):
+        letters = [0] + [x for u in words[i : i + w] for x in (*u, 0)]
+        total = sum(
+            0.6 ** (k - i) * float(table[letters[i] << 10 | letters[j] << 5 | letters[k]])
+            for i in range(len(letters)) for j in range(i + 1, len(letters)) for k in range(j + 1, min(len(letters), i + 6))
+            if letters[i + 1 : k].count(0) <= 1
+        )
+        norm = np.sqrt(sum(0.6 ** (2 * (a + b)) * max(0, len(letters) - a - b) for a in range(1, 5) for b in range(1, 6 - a)))
+        assert abs(total / norm - f) < 1e-3
+    some = [b"\0".join(words[k : k + 3]) for k in range(0, 20, 3)]
+    plain = np.zeros((len(some), 32**3))
+    for row, w in zip(plain, some, strict=True):
+        cell, value = toxicity.unit_features(w)
+        row[cell] = value
+    assert np.allclose(toxicity.kernel(some, toxicity.by_cell(some)), plain @ plain.T, atol=1e-5) and np.allclose((plain**2).sum(1), 1)
+
+
+def test_sentences_of_ordinary_words_are_found(spark):
+    """Toxic rows that hold two neighbouring words, each of which clean rows hold as often; and such split by a space."""
+    r = random.Random(3)
+    words = ["".join(r.choice("aeiourstnlm") for _ in range(r.randint(3, 7))) for _ in range(150)]
+    rows, known = [], []
+    for k in range(400):
+        text, toxic = [r.choice(words) for _ in range(r.randint(20, 60))], k % 4 == 0
+        at = r.randrange(len(text))
+        text[at:at] = ["rotten", "apple"] if toxic else r.choice([["rotten"], ["apple"], ["apple", "rotten"], []])
+        rows.append((k, " ".join(text)))
+        known.append((k, int(toxic)))
+    docs, labelled = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(known, "doc_id long, label int")
+    model = toxicity.train(docs, labelled)
+    tests = ["you rotten apple there", "you rot ten apple there", "you rotxten apple there", "an apple is here", "it is rotten", "none of that"]
+    s = [x["score"] for x in toxicity.score(spark.createDataFrame(list(enumerate(tests)), "doc_id long, text string").coalesce(1), model).orderBy("doc_id").collect()]
+    assert min(s[:3]) > max(s[3:])
+
+
+def test_classifier_rows_and_columns(spark):
+    """Ties, repeated rows, null ids, very long texts and columns of clashing names."""
+    rows = [(k if k % 7 else None, ("bad idiot word " if k % 3 == 0 else "good fine word ") * (1 + k % 5)) for k in range(60)] + [(60, "word " * 50_000), (60, "word " * 50_000), (61, "x" * 100_000), (62, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(c) for c in ("score", "label", "size", "is", "toxic", "unit", "before")})
+    known = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(60)] + [(60, 0), (60, 0), (None, 1), (5, None)], "doc_id long, label int").withColumn("text", F.lit("clash"))
+    for module in (toxicity, quality):
+        got = module.score(docs, module.train(docs, known)).collect()
+        assert len(got) == len(rows) and all(0 <= g["score"] <= 1 for g in got)
+        assert len({g["score"] for g in got if g["doc_id"] == 60}) == 1
+    kept = toxicity.without_toxic(docs, toxicity.train(docs, known))
+    assert kept.columns == docs.columns and {x["score"] for x in kept.collect()} == {"score"} and not any("idiot" in x["text"] for x in kept.collect())
 
 
 def test_classifiers_without_labels_or_rows(spark):

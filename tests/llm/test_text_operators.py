@@ -332,16 +332,62 @@ def test_fuzzy_lines(spark):
 
 
 def test_lane_sums_are_simhashes(spark):
-    words = ["alpha", "beta", "gamma", "delta", "beta"]
-    df = spark.createDataFrame([(1, " ".join(words))], "id long, norm string")
-    h = [r[0] for r in spark.createDataFrame(list(zip(words, words[1:])), "a string, b string").select(F.xxhash64("a", "b")).collect()]
-    want = 0
-    for b in range(60):
-        lane, k = divmod(b, 10)
-        bit = lane * 10 + k
-        if sum((x >> bit) & 1 for x in h) * 2 > len(h):
-            want |= 1 << bit
-    assert line_dedup.simhashes(df).first()["s1"] == want
+    r = random.Random(2)
+    long = [r.choice("alpha beta gamma delta eps zeta".split()) for _ in range(1_700)]  # of many parts
+    lines = [["alpha", "beta", "gamma", "delta", "beta"], long, long[:500], long[:501], long[:502]]
+    got = {g["id"]: g for g in line_dedup.signatures(spark.createDataFrame([(i, " ".join(w), len(w)) for i, w in enumerate(lines)], "id long, norm string, n_words int")).collect()}
+    for i, words in enumerate(lines):
+        pairs = list(zip(words, words[1:]))
+        for name, seed in (("s1", []), ("s2", [F.lit(1)])):
+            h = [x[0] for x in spark.createDataFrame(pairs, "a string, b string").select(F.xxhash64(*seed, "a", "b")).collect()]
+            want = sum(1 << (lane * 10 + k) for lane in range(6) for k in range(10) if sum((x >> (lane * 10 + k)) & 1 for x in h) * 2 > len(h))
+            assert got[i][name] == want and (i == 0 or got[i]["pairs"] == len(pairs))
+
+
+def similar_pairs(r, share):
+    """Lines of 4 to 2,000 words, and each again with a share of its words replaced (one at least) by others of
+    like length, so that the edit similarity stays at 0.8 or more (exactly measured by the caller)."""
+    words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9))) for _ in range(3000)]
+    for size in (4, 5, 6, 7, 8, 9, 10, 12, 15, 20, 30, 50, 100, 300, 600, 2000):
+        for _ in range(12 if size < 300 else 4):
+            line = [r.choice(words) for _ in range(size)]
+            other = list(line)
+            for at in r.sample(range(size), max(1, int(share * size))):
+                other[at] = r.choice([w for w in words if len(w) <= len(line[at])])
+            yield size, " ".join(line), " ".join(other)
+
+
+@pytest.mark.parametrize("share", [0.0, 0.1, 0.2])
+def test_recall_of_similar_lines(spark, share):
+    lines, pairs = [], []
+    for size, a, b in similar_pairs(random.Random(9), share):
+        pairs.append((size, len(lines), len(lines) + 1))
+        lines += [(len(lines), a, size), (len(lines) + 1, b, size)]
+    df = spark.createDataFrame(lines, "id long, norm string, n_words int")
+    at = {i: x for i, x, _ in lines}
+    known = spark.createDataFrame([(a, b, at[a], at[b]) for _, a, b in pairs], "a long, b long, x string, y string")
+    similar = {(r["a"], r["b"]) for r in known.where("levenshtein(x, y) <= floor(greatest(length(x), length(y)) * 0.2 + 1e-9)").collect()}
+    groups = {r["node"]: r["component"] for r in line_dedup.line_groups(df).collect()}
+    found = [(size, groups.get(a, -1) == groups.get(b, -2)) for size, a, b in pairs if (a, b) in similar]
+    print(share, len(found), sorted(Counter(size for size, ok in found if not ok).items()))
+    assert len(found) > 60 and sum(ok for _, ok in found) >= 0.95 * len(found)
+
+
+def test_crowded_blocks_keep_their_similar_lines(spark, monkeypatch):
+    """Lines that share most of their runs, but aren't similar, beside pairs that are: blocks above CROWD."""
+    monkeypatch.setattr(line_dedup, "CROWD", 6)
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    passage = [word() for _ in range(40)]
+    lines = []
+    for _ in range(120):
+        own = [word() for _ in range(60)]
+        lines += [" ".join(own[:30] + passage + own[30:]), " ".join(own[:30] + passage + own[30:-1] + [word()])]
+    df = spark.createDataFrame([(i, x, 100) for i, x in enumerate(lines)], "id long, norm string, n_words int")
+    groups = {g["node"]: g["component"] for g in line_dedup.line_groups(df).collect()}
+    met = sum(groups.get(i) == i and groups.get(i + 1) == i for i in range(0, len(lines), 2))
+    print(met)
+    assert met >= 0.95 * len(lines) / 2 and all(c // 2 == n // 2 for n, c in groups.items())
 
 
 def test_similar_lines_meet(spark):
