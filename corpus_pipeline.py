@@ -17,31 +17,44 @@ CAPACITY, TOXIC_FROM = 2048, 0.5
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below TOXIC_FROM, by a model of the labelled rows outside the held-out fold."""
+    """Documents that score below TOXIC_FROM, by a model of the labelled rows outside the held-out fold.
+
+    Null and empty texts score low and stay; repeated rows stay or go together; null ids don't matter. Empty
+    tables give none."""
     known = labels(spark, sf_dir).where(~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("label"))
-    scored = toxicity.score(docs, toxicity.train(docs, known), keep=docs.columns)
-    return scored.where(F.col("score") < TOXIC_FROM).select(*docs.columns)
+    return toxicity.without_toxic(docs, toxicity.train(docs, known), TOXIC_FROM)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The one row of each group of equal normalised texts that stays."""
+    """The one row of each group of equal normalised texts that stays: the longest, then the smallest id.
+
+    Null texts count as empty and are one group; null ids come last; of repeated rows one stays. An empty
+    table gives none."""
     return exact_dedup.kept_rows(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of linked ones. Rows that share an id stay or go together."""
-    groups = ngram_join.near_duplicates(docs)
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    """The document with the smallest id of each group of linked ones.
+
+    Documents without words are linked with nothing and stay. Of rows with one id and different texts each is judged
+    by its own text's group; rows that repeat id and text stay or go together (the stage before leaves none). Null
+    ids come after all others. An empty table gives none."""
+    return ngram_join.first_of_groups(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it.
+
+    Null texts have no words and weigh nothing; a null source is one of its own; null and repeated ids draw by
+    their texts. An empty table gives none."""
     return mixing.emit(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces with their places in sequences."""
+    """Pieces with their places in sequences.
+
+    Null and empty texts are one piece of the end id alone; repeated rows are placed each; columns besides doc_id
+    and text don't matter. An empty table gives none."""
     return packing.pack_documents(docs, public_path("word_bpe_49k.json"), CAPACITY)
 
 
