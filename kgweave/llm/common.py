@@ -22,7 +22,9 @@ SPACES = "\\x20\\x09-\\x0D"
 _CLEANUP, _BATCH = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Bytes of a batch for Python at most, unless the session asks for less.
 MOST = 8 << 20
-_BY_SIZE = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
+_BY_SIZE, _ADVISED = "spark.sql.adaptive.coalescePartitions.parallelismFirst", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+#: Shuffled bytes of a scratch write's task, where adaptive execution joins small partitions.
+EACH = "32m"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,11 +45,11 @@ def new_path(spark: SparkSession, tag: str) -> str:
 
 
 @contextlib.contextmanager
-def writing(spark: SparkSession, batch: str):
+def writing(spark: SparkSession, batch: str, each: str = EACH):
     """Settings for a scratch write; afterwards the session's own are back. Shuffle files go when the query
     ends, as nothing reads them again; batches for Python are small, as rows can be long; small tables get
     few files."""
-    settings = {_CLEANUP: "true", _BATCH: batch, _BY_SIZE: "false"}
+    settings = {_CLEANUP: "true", _BATCH: batch, _BY_SIZE: "false", _ADVISED: each}
     before = {k: spark.conf.get(k, None) for k in settings}
     for k, v in settings.items():
         spark.conf.set(k, v)
@@ -66,11 +68,13 @@ def smaller_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, str(MOST))
 
 
-def materialise(df: DataFrame, tag: str, compression: str = "snappy", batch: str = "8m") -> DataFrame:
-    """df, written as a table in the shared folder and read again: cuts lineage, survives lost executors."""
+def materialise(df: DataFrame, tag: str, compression: str = "snappy", batch: str = "8m", each: str = EACH) -> DataFrame:
+    """df, written as a table in the shared folder and read again: cuts lineage, survives lost executors.
+
+    each: shuffled bytes of a task; few where a row takes much time."""
     spark = df.sparkSession
     path = new_path(spark, tag)
-    with writing(spark, batch):
+    with writing(spark, batch, each):
         df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

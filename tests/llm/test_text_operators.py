@@ -338,10 +338,43 @@ def test_lane_sums_are_simhashes(spark):
     got = {g["id"]: g for g in line_dedup.signatures(spark.createDataFrame([(i, " ".join(w), len(w)) for i, w in enumerate(lines)], "id long, norm string, n_words int")).collect()}
     for i, words in enumerate(lines):
         pairs = list(zip(words, words[1:]))
-        for name, seed in (("s1", []), ("s2", [F.lit(1)])):
-            h = [x[0] for x in spark.createDataFrame(pairs, "a string, b string").select(F.xxhash64(*seed, "a", "b")).collect()]
-            want = sum(1 << (lane * 10 + k) for lane in range(6) for k in range(10) if sum((x >> (lane * 10 + k)) & 1 for x in h) * 2 > len(h))
-            assert got[i][name] == want and (i == 0 or got[i]["pairs"] == len(pairs))
+        h = [x[0] for x in spark.createDataFrame(pairs, "a string, b string").select(F.xxhash64("a", "b")).collect()]
+        want = sum(1 << (lane * 10 + k) for lane in range(6) for k in range(10) if sum((x >> (lane * 10 + k)) & 1 for x in h) * 2 > len(h))
+        assert got[i]["bits"] == want and (i == 0 or got[i]["pairs"] == len(pairs))
+
+
+def test_verification_is_edit_similarity(spark):
+    """Against plain distances, on texts that share beginnings, ends, words and little else."""
+    r = random.Random(8)
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    lines = []
+    for _ in range(300):
+        a = "".join(r.choice("ab c\u00e9d") for _ in range(r.randint(1, 40)))
+        b = list(a)
+        for _ in range(r.randint(0, 10)):
+            k = r.randrange(len(b) + 1)
+            b[k : k + r.randint(0, 1)] = r.choice(["", "x", " ", "yz"])
+        lines += [a, "".join(b)]
+    for edits in (5, 60, 300):  # long lines, with words put in and left out
+        a = [r.choice("alpha be gam delta epsilon".split()) for _ in range(500)]
+        b = list(a)
+        for _ in range(edits):
+            k = r.randrange(len(b))
+            b[k : k + r.randint(0, 1)] = r.choice([["zz"], [], ["new", "one"]])
+        lines += [" ".join(a), " ".join(b)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "id long, norm string")
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(0, len(lines), 2)], "a long, b long")
+    got = {p["a"] for p in line_dedup.verified(pairs, df, 0.8).collect()}
+    want = {i for i in range(0, len(lines), 2) if distance(lines[i], lines[i + 1]) <= int(max(len(lines[i]), len(lines[i + 1])) * 0.2 + 1e-9)}
+    assert got == want and 50 < len(want) < 250
 
 
 def similar_pairs(r, share):
