@@ -46,8 +46,14 @@ def _folding() -> np.ndarray:
 
 
 _FOLD = _folding()
-_SIZES = np.arange(4096)
-_NORM = np.sqrt(np.maximum(sum(np.maximum(_SIZES - a - b, 0) * DECAY ** (2 * (a + b)) for a, b in _STEPS), 1e-9))
+#: Letters from which on a window's norm grows with its length, no longer with its root.
+LONG = 96
+_NORM = np.sqrt(np.maximum(sum(np.maximum(np.arange(LONG + 1) - a - b, 0) * DECAY ** (2 * (a + b)) for a, b in _STEPS), 1e-9))
+
+
+def norm(size: np.ndarray) -> np.ndarray:
+    """The norm of windows of so many letters and starts without repeated subsequences, up to LONG."""
+    return _NORM[np.minimum(size, LONG)] * np.maximum(1.0, size / LONG)
 
 
 def fold(raw: bytes) -> np.ndarray:
@@ -71,117 +77,117 @@ def unit_sums(c: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     weights: of its own subsequences, and of those that run on into the next unit."""
     c = np.append(c, np.uint8(_START))  # ends the last unit
     first = c == _START
-    starts, owner = np.flatnonzero(first), np.cumsum(first)
+    starts, owner = np.flatnonzero(first), np.cumsum(first, dtype=np.int32)
     ends = owner - first  # a start also ends the unit before
     code = c.astype(np.int32)
-    head, mid = code << 10, code << 5
+    heads, mids = code << 10, code << 5
     own, on = np.zeros(len(c), np.float32), np.zeros(len(c), np.float32)
-    for a, b in _STEPS:
-        n = len(c) - a - b
-        if n > 0:
-            value = table[head[:n] + mid[a : a + n] + code[a + b :]] * np.float32(DECAY ** (a + b))
-            crossed = ends[a + b :] - owner[:n]
-            own[:n] += np.where(crossed == 0, value, 0)
-            on[:n] += np.where(crossed == 1, value, 0)
+    value = {d: np.zeros(max(0, len(c) - d), np.float32) for d in range(2, SPAN + 1)}
+    for a in range(1, SPAN):
+        if len(c) > a:
+            pair = heads[:-a] + mids[a:]
+            for d in range(a + 1, SPAN + 1):
+                if len(c) > d:
+                    value[d] += table[pair[: len(c) - d] + code[d:]]
+    for d, v in value.items():
+        if len(v):
+            v *= np.float32(DECAY**d)
+            crossed = ends[d:] - owner[:-d]
+            own[:-d] += v * (crossed == 0)
+            on[:-d] += v * (crossed == 1)
     return starts, np.add.reduceat(own, starts)[:-1], np.add.reduceat(on, starts)[:-1]
 
 
-def window_scores(c: np.ndarray, text: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Kernel sums of all windows of WINDOWS units within one text, over a norm by length: first units, widths,
-    scores, and where units start. text: of each unit of c.
-
-    The norm is exact for windows without repeated subsequences and too small for others, so a positive score
-    is never too low."""
+def window_scores(c: np.ndarray, text: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One row for each of WINDOWS: its scores at all first units (-inf where it would leave the text), that is
+    kernel sums over the norm of their length; and where units start. text: of each unit of c."""
     starts, own, on = unit_sums(c, table)
     own, on = (np.concatenate([[0], np.cumsum(x, dtype=np.float64)]) for x in (own, on))
-    found = []
-    for w in WINDOWS:
-        at = np.arange(max(0, len(text) - w + 1))
-        at = at[text[at] == text[at + w - 1]]
-        total = own[at + w] - own[at] + on[at + w - 1] - on[at]
-        size = starts[at + w] - starts[at] + 1
-        found.append((at, np.full(len(at), w), total / _NORM[np.minimum(size, len(_NORM) - 1)]))
-    return *(np.concatenate([f[k] for f in found]) for k in range(3)), starts
-
-
-def unit_features(unit: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Cells and values of one unit (its letters as bytes), of norm 1."""
-    c = np.frombuffer(b"\0" + unit + b"\0", np.uint8).astype(np.int64)
+    scores = np.full((len(WINDOWS), len(text)), -np.inf, np.float32)
+    for row, w in zip(scores, WINDOWS, strict=True):
+        n = len(text) - w + 1
+        if n > 0:
+            total = own[w:] - own[:n] + on[w - 1 : w - 1 + n] - on[:n]
+            found = total / norm(starts[w:] - starts[:n] + 1)
+            row[:n] = np.where(text[:n] == text[w - 1 :], found, -np.inf)
+    return scores, starts
+
+
+def window_features(window: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Cells and values of one window (its letters as bytes, units parted by starts), over the norm of its length."""
+    c = np.frombuffer(b"\0" + window + b"\0", np.uint8).astype(np.int64)
+    crossed = np.cumsum(c == _START)
     cells, values = [], []
     for a, b in _STEPS:
         n = len(c) - a - b
         if n > 0:
-            cells.append((c[:n] << 10) + (c[a : a + n] << 5) + c[a + b :])
-            values.append(np.full(n, DECAY ** (a + b)))
+            # as in unit_sums: within a unit, or into the next one
+            near = (crossed[a + b :] - (c[a + b :] == _START) - crossed[:n]) <= 1
+            cells.append(((c[:n] << 10) + (c[a : a + n] << 5) + c[a + b :])[near])
+            values.append(np.full(int(near.sum()), DECAY ** (a + b)))
     if not cells:
         return np.zeros(0, np.int64), np.zeros(0)
     cell, where = np.unique(np.concatenate(cells), return_inverse=True)
-    value = np.bincount(where, np.concatenate(values))
-    return cell, value / np.sqrt((value * value).sum())
-
-
-def exact_score(unit: bytes, table: np.ndarray) -> float:
-    cell, value = unit_features(unit)
-    return float(table[cell] @ value)
+    return cell, np.bincount(where, np.concatenate(values)) / float(norm(np.array([len(c)]))[0])
 
 
-def by_cell(words: list[bytes]) -> np.ndarray:
-    """A row for each cell, a column for each of a few units."""
-    x = np.zeros((LETTERS**3, len(words)), np.float32)
-    for k, w in enumerate(words):
-        cell, value = unit_features(w)
+def by_cell(windows: list[bytes]) -> np.ndarray:
+    """A row for each cell, a column for each of a few windows."""
+    x = np.zeros((LETTERS**3, len(windows)), np.float32)
+    for k, w in enumerate(windows):
+        cell, value = window_features(w)
         x[cell, k] = value
     return x
 
 
-def kernel(words: list[bytes], marks: np.ndarray) -> np.ndarray:
-    """Each unit's kernel with the units of marks (by_cell)."""
-    out = np.empty((len(words), marks.shape[1]), np.float32)
-    for k, w in enumerate(words):
-        cell, value = unit_features(w)
+def kernel(windows: list[bytes], marks: np.ndarray) -> np.ndarray:
+    """Each window's kernel with those of marks (by_cell)."""
+    out = np.empty((len(windows), marks.shape[1]), np.float32)
+    for k, w in enumerate(windows):
+        cell, value = window_features(w)
         out[k] = value.astype(np.float32) @ marks[cell]
     return out
 
 
 class Scorer:
-    """Scores texts: the exact score of each text's strongest window, and that window; LEAST and no window for
-    texts without a likely one."""
+    """Scores texts: the score of each text's strongest window; LEAST for texts without a likely one."""
 
     LEAST = 0.0
 
     def __init__(self, table: np.ndarray):
-        self.table, self.known = table, {}
+        self.table = table
 
-    def exact(self, window: bytes) -> float:
-        s = self.known.get(window)
-        if s is None:
-            if len(self.known) >= 100_000:
-                self.known.clear()
-            s = self.known[window] = exact_score(window, self.table)
-        return s
-
-    def strongest(self, texts: list[str | None]) -> list[tuple[float, bytes]]:
+    def _scores(self, texts: list[str | None]):
         folded = [folded_text(t) for t in texts]
         counts = np.array([int((f == _START).sum()) for f in folded])
-        best = [(self.LEAST, b"")] * len(texts)
         if not counts.sum():
-            return best
+            return None
         c = np.concatenate(folded)
-        text = np.repeat(np.arange(len(texts)), counts)
-        first, width, fast, starts = window_scores(c, text, self.table)
-        likely = np.flatnonzero(fast > self.LEAST)
-        letters = c.tobytes()
-        for k in likely[np.argsort(-fast[likely], kind="stable")].tolist():
-            at = int(first[k])
-            t = int(text[at])
-            if fast[k] > best[t][0]:
-                window = letters[starts[at] + 1 : starts[at + int(width[k])]]
-                if (s := self.exact(window)) > best[t][0]:
-                    best[t] = s, window
+        scores, starts = window_scores(c, np.repeat(np.arange(len(texts), dtype=np.int32), counts), self.table)
+        return c, counts, scores, starts
+
+    def __call__(self, texts: list[str | None]) -> np.ndarray:
+        best = np.full(len(texts), self.LEAST)
+        if (found := self._scores(texts)) is not None:
+            _, counts, scores, _ = found
+            some = np.flatnonzero(counts)
+            firsts = (np.cumsum(counts) - counts)[some]
+            best[some] = np.maximum(np.maximum.reduceat(scores.max(axis=0), firsts), self.LEAST)
         return best
 
-    def __call__(self, texts: list[str | None]) -> list[float]:
-        return [s for s, _ in self.strongest(texts)]
+    def strongest(self, texts: list[str | None]) -> list[tuple[float, bytes]]:
+        """Score and letters of each text's strongest window; no letters where none is likely."""
+        out = [(self.LEAST, b"")] * len(texts)
+        if (found := self._scores(texts)) is not None:
+            c, counts, scores, starts = found
+            letters, at = c.tobytes(), 0
+            for t, n in enumerate(counts.tolist()):
+                if n:
+                    k, i = divmod(int(scores[:, at : at + n].argmax()), n)
+                    if (s := float(scores[k, at + i])) > self.LEAST:
+                        out[t] = s, letters[starts[at + i] + 1 : starts[at + i + WINDOWS[k]]]
+                at += n
+        return out
 
 
 def folded_text(text: str | None) -> np.ndarray:
@@ -225,12 +231,13 @@ def _counts(rows: DataFrame) -> DataFrame:
 def _witnesses(counts: DataFrame, chance: float, most: int) -> tuple[dict[bytes, int], tuple[bytes, ...]]:
     """Units and pairs that toxic rows hold far more often than clean ones could by chance, with their toxic rows;
     and the shortest beginnings of that kind."""
-    kinds = max(1, counts.count())
-    # surprise of so many toxic rows among those that hold the unit, against all units tried
+    tried = {r["kind"]: r["n"] for r in counts.groupBy("kind").agg(F.count("*").alias("n")).collect()}  # three rows at most
+    limit = F.coalesce(*[F.when(F.col("kind") == k, float(np.log(n)) + 1) for k, n in sorted(tried.items())], F.lit(1.0))
+    # surprise of so many toxic rows among those that hold the unit, against all of its kind that were tried
     held = F.col("toxic") + F.col("clean")
     pure = F.col("toxic") / held
     surprise = held * (pure * F.log(pure / chance) + F.when(pure < 1, (1 - pure) * F.log((1 - pure) / (1 - chance))).otherwise(0))
-    good = counts.where((F.col("toxic") >= 2) & (pure >= 0.9) & (surprise > float(np.log(kinds)) + 1))
+    good = counts.where((F.col("toxic") >= 2) & (pure >= 0.9) & (surprise > limit))
     found = [(bytes(r["unit"]), r["kind"], r["toxic"]) for r in good.orderBy(F.desc(surprise), "unit").limit(most).collect()]
     stems = {u for u, kind, _ in found if kind == _BEGINNING}
     shortest = tuple(sorted(s for s in stems if not any(s[:n] in stems for n in range(4, len(s)))))
