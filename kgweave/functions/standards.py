@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import strip
+
+#: What stands before the sampled middle of a long text, and before its end.
+SAMPLED, ENDING = "\n\n...[Middle Content Sampled]...\n\n", "\n\n...[End Content]...\n\n"
 #: Endings of topics that name a function, not a thing; the first that fits is cut.
 TOPIC_ENDINGS = (
     "尺寸偏差允许值及检验方法", "允许值及检验方法", "偏差允许值及检验方法", "质量验收规范", "及检验方法", "施工质量验收", "质量验收", "施工质量", "检验方法",
@@ -34,8 +38,8 @@ def unit(value: Column) -> Column:
 
 
 def title(text: Column) -> Column:
-    """First line, cut at 100 characters."""
-    line = F.trim(F.split_part(text, F.lit("\n"), F.lit(1)))
+    """First line without white space around, cut at 100 characters."""
+    line = strip(F.split_part(text, F.lit("\n"), F.lit(1)))
     return F.when(F.length(line) > 100, F.concat(F.substring(line, 1, 100), F.lit("..."))).otherwise(line)
 
 
@@ -44,15 +48,27 @@ def cross_references(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(\d+\.\d+\.\d+)"), F.lit(1)))
 
 
+#: How texts name tables, formulas and the systems they apply to.
+TABLE_REFERENCE = r"(?U)表\s*(\d+\.\d+(?:\.\d+)?)"
+FORMULA_REFERENCE = r"(?i)(?:公式[\(（]?(\d+\.\d+(?:-\d+)?)[\)）]?|\(([A-Z]\.\d+\.\d+(?:-\d+)?)\)|式[\(（]?(\d+\.\d+(?:-\d+)?)[\)）]?)"
+SYSTEM = r"(?iU)适用于?\s*((?:TN|TT|IT)(?:-C-S|-C|-S)?)\s*系统"
+
+
 def table_references(text: Column) -> Column:
-    """Distinct tables named by number, as 表n, sorted."""
-    return F.sort_array(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"表\s*(\d+(?:\.\d+)*(?:-\d+)?)"), F.lit(1)), lambda n: F.concat(F.lit("表"), n))))
+    """Distinct tables named by a dotted number, as 表n, sorted."""
+    return F.sort_array(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TABLE_REFERENCE), F.lit(1)), lambda n: F.concat(F.lit("表"), n))))
+
+
+def formula_reference(text: Column) -> Column:
+    """The number of the first formula that the text names; null without one."""
+    return F.coalesce(*[F.nullif(F.regexp_extract(text, FORMULA_REFERENCE, i), F.lit("")) for i in (1, 2, 3)])
 
 
 def systems(text: Column) -> Column:
-    """Earthing systems TN (with its kind), TT and IT that the text names."""
-    found = F.regexp_extract_all(text, F.lit(r"(?i)\b(TN(?:-[SC](?:-S)?)?|TT|IT)(?![A-Za-z])"), F.lit(1))
-    return F.transform(found, lambda s: F.struct(F.when(F.upper(s).startswith("TN"), "TN").otherwise(s).alias("system_type"), F.when(F.upper(s).startswith("TN") & (F.length(s) > 2), F.substring(s, F.lit(3), F.length(s))).alias("sub_type")))
+    """Earthing systems that the text says it applies to: TN with its kind (as -S), TT and IT as written."""
+    found = F.regexp_extract_all(text, F.lit(SYSTEM), F.lit(1))
+    tn = lambda s: F.upper(s).startswith("TN")
+    return F.transform(found, lambda s: F.struct(F.when(tn(s), "TN").otherwise(s).alias("system_type"), F.when(tn(s) & (F.length(s) > 2), F.substring(s, F.lit(3), F.length(s))).alias("sub_type")))
 
 
 def scope_prefix(clause_id: Column, has_children: Column) -> Column:
@@ -69,7 +85,7 @@ def sampled(text: Column, most: int = 50_000, samples: int = 10) -> Column:
     middle = F.length(text) - 2 * edge
     step = F.floor(middle / samples)
     parts = F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda i: F.substring(text, (F.lit(edge) + i * step + 1).cast("int"), F.least(F.lit(size).cast("long"), middle - i * step).cast("int")))
-    cut = F.concat(F.substring(text, 1, edge), F.lit("\n\n...[Middle Content Sampled]...\n\n"), F.array_join(parts, "\n\n..."), F.lit("\n\n...[End Content]...\n\n"), F.substring(text, -edge, edge))
+    cut = F.concat(F.substring(text, 1, edge), F.lit(SAMPLED), F.array_join(parts, "\n\n..."), F.lit(ENDING), F.substring(text, -edge, edge))
     return F.when(F.length(text) > most, cut).otherwise(text)
 
 

@@ -8,9 +8,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Key words of the two requirement classifiers, by level.
-PROHIBITED, MANDATORY, RECOMMENDED = ("严禁", "禁止", "不得", "不应"), ("必须", "应"), ("宜", "可")
-#: Chinese digits; ten adds as the digit ten.
-NUMERALS = {"零": 0, "一": 1, "二": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9, "十": 10}
+PROHIBITED, MANDATORY, RECOMMENDED = ("严禁", "不得", "禁止", "不应", "必须不"), ("必须", "应"), ("宜", "可")
+#: Chinese digits; ten adds as the digit ten. Other digits are their own.
+NUMERALS = {str(i): i for i in range(10)} | {"一": 1, "二": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9, "十": 10}
 
 WORD = r"[a-z]+"
 
@@ -19,6 +19,11 @@ def any_of(text: Column, words) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any script at both ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def normalize_text(text: Column) -> Column:
     """Without white space and signs, lower case; letters of all scripts stay. Null stays null."""
     return F.lower(F.regexp_replace(F.regexp_replace(text, r"(?U)\s+", ""), r"(?U)[^\w\s]", ""))
@@ -37,8 +42,8 @@ def numbering_depth(title: Column) -> Column:
 
 
 def requirement_first_ban(text: Column) -> Column:
-    """Prohibited, then mandatory, then recommended."""
-    return F.when(any_of(text, PROHIBITED), "prohibited").when(any_of(text, MANDATORY), "mandatory").when(any_of(text, RECOMMENDED), "recommended")
+    """Prohibited, then mandatory, else recommended."""
+    return F.when(any_of(text, PROHIBITED), "prohibited").when(any_of(text, MANDATORY), "mandatory").otherwise("recommended")
 
 
 def requirement_first_must(text: Column) -> Column:
@@ -82,6 +87,11 @@ def sentences(text: Column) -> Column:
 
 def ngrams(text: Column, width: int = 20, step: int = 10) -> Column:
     """Character n-grams from 0 in steps; their starts stop before length - width, so a text of just that width has none."""
+    # one pass: a match looks ahead over its n-gram and takes `step` characters
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"(?s)(?=(.{{{width}}}).).{{{step}}}"), F.lit(1)) if step <= width else _far_ngrams(text, width, step)
+
+
+def _far_ngrams(text: Column, width: int, step: int) -> Column:
     n = F.length(text) - width
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(step)), lambda i: F.substring(text, i + 1, F.lit(width)))).otherwise(F.array().cast("array<string>"))
 

@@ -63,13 +63,13 @@ def clause_texts(segmented: DataFrame) -> DataFrame:
     """One row per clause: text in block order, pages, and per page the box around its blocks."""
     rows = segmented.where("clause is not null")
     text = rows.groupBy("source", "chapter", "clause").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk_seq", "content"))), lambda s: s["content"]), "\n").alias("content"), F.min("page_idx").alias("page_idx"), F.min("chunk_seq").alias("first_seq"))
-    return text.join(page_boxes(rows), ["source", "clause"], "left")
+    return text.join(page_boxes(rows), ["source", "chapter", "clause"], "left")
 
 
 def page_boxes(rows: DataFrame) -> DataFrame:
     """boxes of each clause: [page from 1, x0, y0, x1, y1] around its blocks, page by page."""
-    b = rows.where(F.size("bbox") == 4).groupBy("source", "clause", "page_idx").agg(F.min(F.get("bbox", F.lit(0))).alias("x0"), F.min(F.least(F.get("bbox", F.lit(1)), F.get("bbox", F.lit(3)))).alias("y0"), F.max(F.get("bbox", F.lit(2))).alias("x1"), F.max(F.greatest(F.get("bbox", F.lit(1)), F.get("bbox", F.lit(3)))).alias("y1"))
-    return b.groupBy("source", "clause").agg(F.sort_array(F.collect_list(F.array((F.col("page_idx") + 1).cast("double"), "x0", "y0", "x1", "y1"))).alias("boxes"))
+    b = rows.where(F.size("bbox") == 4).groupBy("source", "chapter", "clause", "page_idx").agg(F.min(F.get("bbox", F.lit(0))).alias("x0"), F.min(F.least(F.get("bbox", F.lit(1)), F.get("bbox", F.lit(3)))).alias("y0"), F.max(F.get("bbox", F.lit(2))).alias("x1"), F.max(F.greatest(F.get("bbox", F.lit(1)), F.get("bbox", F.lit(3)))).alias("y1"))
+    return b.groupBy("source", "chapter", "clause").agg(F.sort_array(F.collect_list(F.array((F.col("page_idx") + 1).cast("double"), "x0", "y0", "x1", "y1"))).alias("boxes"))
 
 
 def drop_text_in_tables(texts: DataFrame, tables: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ def union_distinct(tables: list[DataFrame]) -> DataFrame:
 
 def lookup(df: DataFrame, key: str, wanted: DataFrame | list) -> DataFrame:
     """Rows with the wanted keys: a short list becomes a pushed filter, a table a semi-join."""
-    return df.join(wanted, key, "left_semi") if isinstance(wanted, DataFrame) else df.where(F.col(key).isin([w for w in wanted if str(w).strip()]))
+    return df.join(wanted, key, "left_semi") if isinstance(wanted, DataFrame) else df.where(F.col(key).isin([w.strip() if isinstance(w, str) else w for w in wanted if str(w).strip()]))
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -65,21 +65,23 @@ def collect_related(starts: DataFrame, key: str, related: DataFrame, groups: dic
 
 def neighbourhood(edges: DataFrame, start) -> DataFrame:
     """node, hops (1 or 2) around a start, either direction, without the start itself; the fewest hops win."""
-    around = both_ways(edges).select("node", "other").distinct()
-    one = around.where(F.col("node") == start).select("other").where(F.col("other") != start)
-    two = one.withColumnRenamed("other", "node").join(around, "node").select("other").where(F.col("other") != start)
+    around = both_ways(edges).select("node", "other").where("node <> other")
+    one = around.where(F.col("node") == start).select("other").distinct()
+    two = around.join(one.withColumnRenamed("other", "node"), "node", "left_semi").select("other").where(F.col("other") != start)
     return one.withColumn("hops", F.lit(1)).union(two.withColumn("hops", F.lit(2))).groupBy(F.col("other").alias("node")).agg(F.min("hops").alias("hops"))
 
 
-def reach(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
-    """root, node, hops: nodes along outgoing edges within so many hops; each with its fewest.
+def reach(edges: DataFrame, starts: DataFrame, depth: int, either_way_first: bool = False) -> DataFrame:
+    """root, node, hops: nodes along outgoing edges within so many hops; each with its fewest. With either_way_first the
+    first hop also goes against its edges, as entities are named by topics and name nothing themselves.
 
     A loop of joins bounded by depth; each round expands only what the last one found first."""
     seen = starts.select(F.col("root"), F.col("root").alias("node"), F.lit(0).alias("hops"))
     front = seen
-    hop = edges.select(F.col("src").alias("node"), F.col("dst").alias("next")).distinct()
+    hop = edges.select(F.col("src").alias("node"), F.col("dst").alias("next"))
+    either = hop.union(hop.select(F.col("next").alias("node"), F.col("node").alias("next")))
     for k in range(1, depth + 1):
-        found = front.join(hop, "node").select("root", F.col("next").alias("node")).distinct()
+        found = front.join(either if either_way_first and k == 1 else hop, "node").select("root", F.col("next").alias("node")).distinct()
         front = found.join(seen, ["root", "node"], "left_anti").withColumn("hops", F.lit(k))
         seen = seen.unionByName(front)
     return seen.where("hops > 0")
@@ -112,7 +114,8 @@ def counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def delete_graph(df: DataFrame, graph: str) -> DataFrame:
-    return df.where(F.col("graph_id") != graph)
+    """Without the graph's rows; rows of no graph stay."""
+    return df.where(~F.col("graph_id").eqNullSafe(F.lit(graph)))
 
 
 def entity_type(labels: Column) -> Column:
@@ -154,3 +157,41 @@ def build_document_graph(clauses: DataFrame, graph: str) -> tuple[DataFrame, Dat
     edge = lambda df, src, rel, dst: df.where(F.col(src).isNotNull()).select(g.alias("graph_id"), F.col(src).alias("src"), F.lit(rel).alias("rel"), F.col(dst).alias("dst"))
     edges = reduce(DataFrame.unionByName, [edge(topics, "clause", "HAS_TOPIC", "uuid"), edge(entities, "src", "MENTIONS", "dst"), edge(terms, "src", "MENTIONS", "dst"), edge(images, "clause", "MENTIONS", "dst"), edge(tables, "clause", "MENTIONS", "dst"), edge(refs, "clause", "CROSS_REFERENCE", "dst"), edge(parents, "clause", "PART_OF", "dst")]).distinct()
     return nodes, edges
+
+
+GRAPHS = "graph_id string, name string, description string, ontology_json string, created_at string"
+
+
+def created_graph(graphs: DataFrame, name: str, at: str, description: str = "") -> DataFrame:
+    """graphs (GRAPHS) with one more, whose id is made from its name and time; again the same leaves it as it is."""
+    from ..functions.ids import uuid_of
+
+    row = graphs.sparkSession.createDataFrame([(name, description, "{}", at)], "name string, description string, ontology_json string, created_at string")
+    new = row.withColumn("graph_id", uuid_of(F.lit("graph"), F.col("name"), F.col("created_at"))).select(*graphs.columns)
+    return graphs.unionByName(new.join(graphs.select("graph_id"), "graph_id", "left_anti").select(*graphs.columns))
+
+
+def with_ontology(graphs: DataFrame, graph: str, ontology: str) -> DataFrame:
+    """graphs with one graph's ontology set."""
+    return graphs.withColumn("ontology_json", F.when(F.col("graph_id") == graph, F.lit(ontology)).otherwise(F.col("ontology_json")))
+
+
+def merged_clause(nodes: DataFrame, edges: DataFrame, clause: DataFrame, graph: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges after one clause (a row as build_document_graph takes it) was written or written again."""
+    from .tabular import add_edges, upsert
+
+    n, e = build_document_graph(clause, graph)
+    return upsert(nodes, n, ["graph_id", "uuid", "label"], {"name": "keep_nonempty"}), add_edges(edges, e, ["graph_id", "src", "rel", "dst"])
+
+
+def synced_terms(nodes: DataFrame, edges: DataFrame, graph: str, clause_id: str, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges after a clause's terms (term_name, definition) were set: a Term node for each named one, with its
+    definition, and DEFINES from it to the clause. Nothing is taken away."""
+    from ..functions.ids import node_id
+    from .tabular import add_edges, upsert
+
+    g = F.lit(graph)
+    t = terms.where(F.coalesce("term_name", F.lit("")) != "").select(g.alias("graph_id"), node_id("term", g, F.col("term_name")).alias("uuid"), F.lit("Term").alias("label"), F.col("term_name").alias("name"), F.col("definition").alias("summary"))
+    t = t.groupBy("graph_id", "uuid", "label", "name").agg(F.max("summary").alias("summary"))
+    e = t.select("graph_id", F.col("uuid").alias("src"), F.lit("DEFINES").alias("rel"), node_id("clause", g, F.lit(clause_id)).alias("dst"))
+    return upsert(nodes, t.select(*nodes.columns), ["graph_id", "uuid", "label"], {}), add_edges(edges, e, ["graph_id", "src", "rel", "dst"])

@@ -5,11 +5,14 @@ in an id."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from ..functions.vectors import cosine
+from .tabular import keep_one
 
 #: BM25's usual parameters, and the constant of reciprocal-rank fusion: fixed values.
 K1, B, RRF_K = 1.2, 0.75, 60
@@ -32,15 +35,13 @@ def postings(df: DataFrame, key: str, tokens: Column) -> DataFrame:
     return each.groupBy("key", "token").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
 
 
-def bm25(df: DataFrame, key: str, tokens: Column, query: list[str], digits: int = 9) -> DataFrame:
-    """key, score of rows that hold any of the query's tokens.
+def totals(df: DataFrame, length: Column) -> DataFrame:
+    """One row: how many rows there are and their mean number of tokens."""
+    return df.agg(F.count("*").alias("n_docs"), F.avg(length).alias("mean_len"))
 
-    Only the query's tokens are exploded; document frequencies come from the same few rows, and the number
-    and mean length of all rows from one aggregate, joined as a single row."""
-    wanted = F.array(*map(F.lit, sorted(set(query))))
-    rows = df.select(F.col(key).alias("key"), tokens.alias("tokens")).withColumn("len", F.size("tokens"))
-    total = rows.agg(F.count("*").alias("n_docs"), F.avg("len").alias("mean_len"))
-    hits = rows.select("key", "len", F.explode(F.filter("tokens", lambda t: F.array_contains(wanted, t))).alias("token")).groupBy("key", "len", "token").agg(F.count("*").alias("tf"))
+
+def bm25_of(hits: DataFrame, total: DataFrame, digits: int = 9) -> DataFrame:
+    """key, score from postings (key, token, tf, len) of a query's tokens and the one row of totals."""
     df_of = hits.groupBy("token").agg(F.count("*").alias("df"))  # as many rows as the query has tokens
     idf = F.log1p((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean_len")))
@@ -48,6 +49,115 @@ def bm25(df: DataFrame, key: str, tokens: Column, query: list[str], digits: int
     return joined.groupBy("key").agg(F.round(F.sum(part), digits).alias("score"))
 
 
+def bm25(df: DataFrame, key: str, tokens: Column, query: list[str], digits: int = 9, length: Column | None = None) -> DataFrame:
+    """key, score of rows that hold any of the query's tokens, from the texts themselves; Index reads stored postings.
+
+    length: a cheaper expression for the number of tokens, if there is one."""
+    wanted = F.array(*map(F.lit, sorted(set(query))))
+    rows = df.select(F.col(key).alias("key"), tokens.alias("tokens")).withColumn("len", F.size("tokens"))
+    total = totals(rows, F.col("len")) if length is None else totals(df, length)
+    hits = rows.select("key", "len", F.explode(F.filter("tokens", lambda t: F.array_contains(wanted, t))).alias("token")).groupBy("key", "len", "token").agg(F.count("*").alias("tf"))
+    return bm25_of(hits, total, digits)
+
+
+class Index:
+    """Stored full-text index: postings ranged and sorted by token, so that a query reads few row groups, the vocabulary
+    with document frequencies, and one row of totals. Tokens are lower-case words and pairs of CJK characters, of a
+    document's text as of a query's."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def build(self, df: DataFrame, key: str, text: Column, scope: Column | None = None) -> Index:
+        """Writes the index of df; scope is a column by which searches may be narrowed, as a graph or a label."""
+        rows = df.select(F.col(key).alias("key"), (F.lit("") if scope is None else F.coalesce(scope.cast("string"), F.lit(""))).alias("scope"), tx.tokens(F.coalesce(text, F.lit(""))).alias("tokens"))
+        each = rows.select("key", "scope", F.size("tokens").alias("len"), F.explode("tokens").alias("token"))
+        posted = each.groupBy("scope", "token", "key").agg(F.count("*").alias("tf"), F.min("len").alias("len"))
+        posted.repartitionByRange("token", "scope", "key").sortWithinPartitions("token", "scope", "key").write.mode("overwrite").parquet(f"{self.path}/postings")
+        rows.groupBy("scope").agg(F.count("*").alias("n_docs"), F.avg(F.size("tokens")).alias("mean_len")).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/totals")
+        self.read("postings").groupBy("scope", "token").agg(F.count("*").alias("df")).repartitionByRange("token").sortWithinPartitions("token").write.mode("overwrite").parquet(f"{self.path}/vocabulary")
+        return self
+
+    def read(self, part: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{part}")
+
+    def _tokens(self, query: str) -> list[str]:
+        """The query's distinct tokens, cut as texts are."""
+        return sorted(set(self.spark.range(1).select(tx.tokens(F.lit(query))).first()[0]))
+
+    def search(self, query: str, scope: str = "", digits: int = 9, at_least: float | None = None) -> DataFrame:
+        """key, score by BM25 within the scope."""
+        tokens = self._tokens(query)
+        hits = self.read("postings").where((F.col("scope") == scope) & F.col("token").isin(tokens))
+        found = bm25_of(hits.select("key", "token", "tf", "len"), self.read("totals").where(F.col("scope") == scope).select("n_docs", "mean_len"), digits)
+        return found if at_least is None else found.where(F.col("score") >= at_least)
+
+    def wildcard(self, part: str, scope: str = "") -> DataFrame:
+        """key, score 1 of rows with a token that has part in it, by the vocabulary."""
+        some = self.read("vocabulary").where((F.col("scope") == scope) & F.contains("token", F.lit(part.strip().lower()))).select("token")
+        hits = self.read("postings").where(F.col("scope") == scope).join(some, "token", "left_semi")
+        return hits.select("key").distinct().withColumn("score", F.lit(1.0))
+
+
+def indexes(spark: SparkSession, path: str) -> DataFrame:
+    """name, scope, n_docs, mean_len of the indexes below a folder, and whether each is whole: the catalogue of what can
+    be searched."""
+    out = spark.createDataFrame([], "name string, scope string, n_docs long, mean_len double, ready boolean")
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for s in sorted(fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/*")) or [], key=lambda s: s.getPath().getName()):
+        name, at = s.getPath().getName(), s.getPath().toString()
+        whole = all(fs.exists(jvm.org.apache.hadoop.fs.Path(f"{at}/{part}/_SUCCESS")) for part in ("postings", "totals", "vocabulary"))
+        rows = spark.read.parquet(f"{at}/totals") if whole else spark.createDataFrame([(None, None, None)], "scope string, n_docs long, mean_len double")
+        out = out.unionByName(rows.select(F.lit(name).alias("name"), "scope", "n_docs", "mean_len", F.lit(whole).alias("ready")))
+    return out
+
+
+def degraded(search, *args, **kwargs) -> DataFrame | None:
+    """A search's result, or None where its index is absent or unreadable: one part that fails leaves the others."""
+    try:
+        found = search(*args, **kwargs)
+        found.schema  # noqa: B018  the plan is analysed here, so a missing table shows now
+        return found
+    except (AnalysisException, FileNotFoundError):
+        return None
+
+
+def keep_first_union(lists: list[DataFrame], limit: int | None = None) -> DataFrame:
+    """Rows (key, score) of several searches, each key once, from the first search that has it, in the order of the
+    searches and then by score."""
+    stacked = None
+    for n, df in enumerate(lists):
+        part = df.select("key", "score", F.lit(n).alias("tier"))
+        stacked = part if stacked is None else stacked.unionByName(part)
+    once = keep_one(stacked, ["key"], [F.col("tier")])
+    return once if limit is None else once.orderBy("tier", F.desc("score"), "key").limit(limit)
+
+
+#: How many times its limit a search asks of each list that it fuses.
+OVERSAMPLING = 2
+
+
+def hybrid_search(lists: dict[str, tuple[DataFrame | None, DataFrame | None]], scopes: list[str], limit: int, boost: tuple[DataFrame, str] | None = None) -> DataFrame:
+    """scope, key, rrf, score: for each scope (episodes always, and those asked for) the fusion of its vector and keyword
+    lists (key, score; None where an index is absent), each asked for OVERSAMPLING limits. A scope with neither list has
+    no rows. boost: (key, name) of nodes and the query; among nodes the first of that very name leads with score 1."""
+    out = None
+    for scope in dict.fromkeys(["episodes", *scopes]):
+        both = lists.get(scope, (None, None))
+        found = [(top_k(df, [F.desc("score"), F.col("key")], OVERSAMPLING * limit), w) for df, w in zip(both, (1.0, 2.0), strict=True) if df is not None]
+        if not found:
+            continue
+        rows = fuse(found, limit=limit)
+        if scope == "nodes" and boost is not None:
+            names, query = boost
+            rows = boost_exact(rows.join(names, "key", "left"), "name", query, [F.desc("rrf"), F.col("key")]).select("key", "rrf", "score")
+        rows = rows.select(F.lit(scope).alias("scope"), "key", "rrf", "score")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def fuse(lists: list[tuple[DataFrame, float]], k: int = RRF_K, limit: int | None = None, digits: int = 12, by: tuple[str, ...] = ()) -> DataFrame:
     """Ranked lists (key, score) with weights, to key and the weighted sum of 1 / (k + rank), normalised by the best.
 
@@ -80,19 +190,15 @@ def contains_any(columns: list[str], keyword: str) -> Column:
     return out if keyword.strip() else F.lit(False)
 
 
-def cascade(exact: DataFrame, wildcard: DataFrame, contains: DataFrame) -> DataFrame:
-    """The rows of the first search that found any."""
+def cascade(found: DataFrame, tiers: int = 3) -> DataFrame:
+    """The rows of the first search that found any. found: key, first: the first search that finds the row, of `tiers`
+    searches each of which finds whatever those before it do."""
     from .tabular import first_tier
 
-    tiers = [df.select("key", "score", F.lit(t).alias("tier")) for t, df in enumerate((exact, wildcard, contains))]
-    return first_tier(tiers[0].unionByName(tiers[1]).unionByName(tiers[2]))
+    each = found.select("key", F.lit(1.0).alias("score"), F.explode(F.sequence(F.col("first"), F.lit(tiers - 1))).alias("tier"))
+    return first_tier(each)
 
 
 def hybrid(vectors: DataFrame, texts: DataFrame, weights: tuple[float, float] = (1.0, 2.0), limit: int = 10, by: tuple[str, ...] = ()) -> DataFrame:
     """Fusion of a vector list and a keyword list (key, score each)."""
     return fuse([(vectors, weights[0]), (texts, weights[1])], limit=limit, by=by)
-
-
-def index_tables(df: DataFrame, key: str, tokens: Column, path: str) -> None:
-    """Writes the postings as a table bucketed by hash ranges of token, for searches that read few files."""
-    postings(df, key, tokens).repartitionByRange("token").sortWithinPartitions("token").write.mode("overwrite").parquet(path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -73,11 +75,13 @@ def sessions(df: DataFrame, keys: list[str], time: str, gap_seconds: int, tie: l
 
 
 def page_ranges(df: DataFrame, keys: list[str], page: str) -> DataFrame:
-    """Pages of each key as text: P1~P3, P7."""
-    w = W.partitionBy(*keys).orderBy(page)
-    runs = df.select(*keys, page).distinct().withColumn("_run", F.col(page) - F.row_number().over(w)).groupBy(*keys, "_run").agg(F.min(page).alias("_lo"), F.max(page).alias("_hi"))
+    """Pages of each key as text: P1~P3, P7. A page that stands there twice begins a range anew."""
+    w = W.partitionBy(*keys).orderBy(page, "_again")
+    # a page seen again begins a run of its own
+    runs = df.select(*keys, page).withColumn("_again", F.row_number().over(W.partitionBy(*keys, page).orderBy(page)))
+    runs = islands(runs, keys, [page, "_again"], ~(F.col(page) - F.lag(page).over(w) == 1), "_run").groupBy(*keys, "_run").agg(F.min(page).alias("_lo"), F.max(page).alias("_hi"))
     text = F.when(F.col("_lo") == F.col("_hi"), F.concat(F.lit("P"), F.col("_lo"))).otherwise(F.concat(F.lit("P"), F.col("_lo"), F.lit("~P"), F.col("_hi")))
-    return runs.groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_lo", text.alias("_text")))), lambda s: s["_text"]), ", ").alias("pages"))
+    return runs.groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_run", text.alias("_text")))), lambda s: s["_text"]), ", ").alias("pages"))
 
 
 def capped_runs(df: DataFrame, keys: list[str], order: list[str], breaks: Column, most: int) -> DataFrame:
@@ -97,11 +101,12 @@ POLICIES = {
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], policy: dict[str, str]) -> DataFrame:
-    """Old rows changed by new ones with the same keys, and new keys added; columns without a policy prefer new."""
-    a, b = old.alias("a"), new.alias("b")
-    joined = a.join(b, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys], "full_outer")
-    fresh, gone = F.col(f"a.{keys[0]}").isNull(), F.col(f"b.{keys[0]}").isNull()
-    out = [F.coalesce(F.col(f"a.{k}"), F.col(f"b.{k}")).alias(k) for k in keys]
+    """Old rows changed by new ones with the same keys, null keys among them, and new keys added; columns without a
+    policy prefer new."""
+    a, b = old.withColumn("_side", F.lit(0)).alias("a"), new.withColumn("_side", F.lit(1)).alias("b")
+    joined = a.join(b, reduce(lambda x, y: x & y, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]), "full_outer")
+    fresh, gone = F.col("a._side").isNull(), F.col("b._side").isNull()
+    out = [F.when(fresh, F.col(f"b.{k}")).otherwise(F.col(f"a.{k}")).alias(k) for k in keys]
     for c in (c for c in old.columns if c not in keys):
         x, y = F.col(f"a.{c}"), F.col(f"b.{c}")
         out.append(F.when(fresh, y).when(gone, x).otherwise(POLICIES[policy.get(c, "prefer_new")](x, y)).alias(c))
@@ -109,8 +114,9 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], policy: dict[str, st
 
 
 def add_edges(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Edges of both, each once."""
-    return old.unionByName(new).groupBy(*keys).agg(*[F.first(c).alias(c) for c in old.columns if c not in keys])
+    """Edges of both, each once: the old one, and of several the first by its other columns."""
+    both = old.withColumn("_side", F.lit(0)).unionByName(new.withColumn("_side", F.lit(1)))
+    return keep_one(both, keys, [F.col("_side"), *[F.col(c) for c in old.columns if c not in keys]]).drop("_side").select(*old.columns)
 
 
 def unordered_pairs(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -12,8 +12,8 @@ from ..operators import graph, records, tabular
 from .catalogue import query, table
 from .graph_queries import EDGES, star_edges
 
-RULES = ["必须设置", "宜采用", "禁止堆放", "不得占用", "无"]
-RULE = "CASE p_size % 5 WHEN 0 THEN '必须设置' WHEN 1 THEN '宜采用' WHEN 2 THEN '禁止堆放' WHEN 3 THEN '不得占用' ELSE '无' END"
+RULES = ["必须设置", "宜采用", "禁止堆放", "不得占用", "无", "必须不设", "不应设置"]
+RULE = "CASE p_size % 7 WHEN 0 THEN '必须设置' WHEN 1 THEN '宜采用' WHEN 2 THEN '禁止堆放' WHEN 3 THEN '不得占用' WHEN 4 THEN '无' WHEN 5 THEN '必须不设' ELSE '不应设置' END"
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (1, 5, 9, 100000000)")
@@ -94,17 +94,16 @@ def scope_prefixes(spark, d):
     return p.select("id", standards.scope_prefix(F.col("id"), F.col("p") > 0).alias("scope"))
 
 
-@query(f"SELECT p_partkey, CASE WHEN t LIKE '%严禁%' OR t LIKE '%禁止%' OR t LIKE '%不得%' OR t LIKE '%不应%' THEN 'prohibited' WHEN t LIKE '%必须%' OR t LIKE '%应%' THEN 'mandatory' WHEN t LIKE '%宜%' OR t LIKE '%可%' THEN 'recommended' END AS a, CASE WHEN t LIKE '%必须%' OR t LIKE '%应%' OR t LIKE '%不得%' OR t LIKE '%不应%' THEN 'mandatory' WHEN t LIKE '%宜%' OR t LIKE '%可%' THEN 'recommended' WHEN t LIKE '%严禁%' OR t LIKE '%禁止%' THEN 'prohibited' END AS b FROM (SELECT p_partkey, {RULE} AS t FROM part)")
+@query(f"SELECT p_partkey, CASE WHEN t LIKE '%严禁%' OR t LIKE '%禁止%' OR t LIKE '%不得%' OR t LIKE '%不应%' OR t LIKE '%必须不%' THEN 'prohibited' WHEN t LIKE '%必须%' OR t LIKE '%应%' THEN 'mandatory' ELSE 'recommended' END AS a, CASE WHEN t LIKE '%必须%' OR t LIKE '%应%' OR t LIKE '%不得%' OR t LIKE '%不应%' THEN 'mandatory' WHEN t LIKE '%宜%' OR t LIKE '%可%' THEN 'recommended' WHEN t LIKE '%严禁%' OR t LIKE '%禁止%' THEN 'prohibited' END AS b FROM (SELECT p_partkey, {RULE} AS t FROM part)")
 def requirement_types(spark, d):
-    t = F.element_at(F.array(*map(F.lit, RULES)), F.col("p_size") % 5 + 1)
+    t = F.element_at(F.array(*map(F.lit, RULES)), F.col("p_size") % 7 + 1)
     return table(spark, d, "part").select("p_partkey", tx.requirement_first_ban(t).alias("a"), tx.requirement_first_must(t).alias("b"))
 
 
-@query("SELECT doc_id, 'CL_' || substr(md5(text), 1, 8) AS chunk_id, CASE WHEN length(split_part(text, chr(10), 1)) > 100 THEN substr(trim(split_part(text, chr(10), 1)), 1, 100) || '...' ELSE trim(split_part(text, chr(10), 1)) END AS title FROM documents WHERE length(trim(split_part(text, chr(10), 1))) = length(split_part(text, chr(10), 1))")
+@query("""WITH f AS (SELECT doc_id, text, regexp_replace(split_part(text, chr(10), 1), '^[\\s\\x{00A0}\\x{0085}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{1680}\\x0B]+|[\\s\\x{00A0}\\x{0085}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{1680}\\x0B]+$', '', 'g') AS line FROM documents)
+SELECT doc_id, 'CL_' || substr(md5(text), 1, 8) AS chunk_id, CASE WHEN length(line) > 100 THEN substr(line, 1, 100) || '...' ELSE line END AS title FROM f""")
 def chunk_titles(spark, d):
-    t = table(spark, d, "documents")
-    first = F.split_part("text", F.lit("\n"), F.lit(1))
-    return t.where(F.length(F.trim(first)) == F.length(first)).select("doc_id", ids.chunk_id("CL", F.col("text")).alias("chunk_id"), standards.title(F.col("text")).alias("title"))
+    return table(spark, d, "documents").select("doc_id", ids.chunk_id("CL", F.col("text")).alias("chunk_id"), standards.title(F.col("text")).alias("title"))
 
 
 @query("SELECT source, lang, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS ids, sum(length(text))::BIGINT AS chars FROM documents GROUP BY source, lang")

@@ -42,15 +42,10 @@ def label_unnest_count(spark, d):
     return table(spark, d, "documents").select(F.explode(F.array("lang", "source", F.lit("Entity"))).alias("label")).where("label <> 'Entity'").groupBy("label").agg(F.count("*").alias("n"))
 
 
-@query("""WITH r AS (SELECT p_partkey AS root FROM part WHERE p_partkey % 100 = 1), p AS (SELECT DISTINCT root, l_suppkey AS topic, o_orderkey AS clause FROM r LEFT JOIN lineitem ON l_partkey = root AND l_quantity > 48 LEFT JOIN orders ON o_orderkey = l_orderkey)
-SELECT root, count(DISTINCT topic) AS n_topics, count(clause) AS n_clauses FROM p GROUP BY root""")
+@query("""WITH p AS (SELECT DISTINCT l_partkey AS root, l_suppkey AS topic, o_orderkey AS clause FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
+SELECT p_partkey AS root, count(DISTINCT topic) AS n_topics, count(clause) AS n_clauses FROM part LEFT JOIN p ON root = p_partkey GROUP BY p_partkey""")
 def path_two_hop(spark, d):
-    return two_hop_counts(spark, d, table(spark, d, "part").where("p_partkey % 100 = 1"), table(spark, d, "lineitem").where("l_quantity > 48"))
-
-
-@query()
-def path_two_hop_all(spark, d):
-    """path_two_hop from every part over all line items."""
+    """From every part over all line items."""
     return two_hop_counts(spark, d, table(spark, d, "part"), table(spark, d, "lineitem"))
 
 
@@ -62,14 +57,8 @@ def two_hop_counts(spark, d, parts, lines):
     return paths.groupBy("root").agg(F.count_distinct("topic").alias("n_topics"), F.count("clause").alias("n_clauses"))
 
 
-@query("SELECT DISTINCT l_suppkey AS topic, l_partkey AS entity FROM lineitem WHERE l_suppkey <= 20")
+@query("SELECT DISTINCT l_suppkey AS topic, l_partkey AS entity FROM lineitem JOIN supplier ON s_suppkey = l_suppkey")
 def topic_entities_distinct(spark, d):
-    return topic_entities(spark, d, table(spark, d, "supplier").where("s_suppkey <= 20"))
-
-
-@query()
-def topic_entities_all(spark, d):
-    """topic_entities_distinct of every supplier."""
     return topic_entities(spark, d, table(spark, d, "supplier"))
 
 
@@ -85,18 +74,21 @@ def two_hop_neighbors(spark, d):
     return graph.neighbourhood(star_edges(spark, d), "customer:1")
 
 
-@query(f"""WITH RECURSIVE {EDGES}, t AS (SELECT src AS root, src AS node, 0 AS hops FROM (SELECT DISTINCT 'order:' || o_orderkey AS src FROM orders WHERE o_orderkey <= 50) UNION SELECT t.root, e.dst, t.hops + 1 FROM t JOIN e ON e.src = t.node WHERE t.hops < 3)
+@query(f"""WITH RECURSIVE {EDGES}, t AS (SELECT DISTINCT 'order:' || o_orderkey AS root, 'order:' || o_orderkey AS node, 0 AS hops FROM orders UNION SELECT t.root, e.dst, t.hops + 1 FROM t JOIN e ON e.src = t.node WHERE t.hops < 3)
 SELECT root, node, min(hops)::INTEGER AS hops FROM t WHERE node <> root GROUP BY ALL""")
 def bounded_traversal(spark, d):
-    starts = table(spark, d, "orders").where("o_orderkey <= 50").select(F.concat(F.lit("order:"), "o_orderkey").alias("root")).distinct()
+    """From every order."""
+    starts = table(spark, d, "orders").select(F.concat(F.lit("order:"), "o_orderkey").alias("root")).distinct()
     return graph.reach(star_edges(spark, d), starts, 3)
 
 
-@query()
-def bounded_traversal_all(spark, d):
-    """bounded_traversal from every order."""
-    starts = table(spark, d, "orders").select(F.concat(F.lit("order:"), "o_orderkey").alias("root")).distinct()
-    return graph.reach(star_edges(spark, d), starts, 3)
+@query(f"""WITH {EDGES}, h1 AS (SELECT p AS root, src AS node FROM (SELECT 'part:' || p_partkey AS p FROM part) JOIN e ON dst = p), h2 AS (SELECT root, dst AS node FROM h1 JOIN e ON src = h1.node),
+u AS (SELECT root, node, 1 AS hops FROM h1 UNION ALL SELECT root, node, 2 FROM h2) SELECT root, min(hops)::INTEGER AS nearest, count(DISTINCT node) AS n FROM u WHERE node <> root GROUP BY root""")
+def entity_first_traversal(spark, d):
+    """From every part, whose edges all come in: its first hop goes against them."""
+    starts = table(spark, d, "part").select(F.concat(F.lit("part:"), "p_partkey").alias("root"))
+    found = graph.reach(star_edges(spark, d), starts, 2, either_way_first=True)
+    return found.groupBy("root").agg(F.min("hops").alias("nearest"), F.count("*").alias("n"))
 
 
 @query("""WITH ids AS (SELECT DISTINCT strftime(o_orderdate, '%Y.%m.%d') AS id FROM orders UNION SELECT DISTINCT strftime(o_orderdate, '%Y.%m') FROM orders)
@@ -149,7 +141,7 @@ def natural_sort(spark, d):
     return labels.select("label", F.row_number().over(W.orderBy(natural_key(F.col("label")))).alias("place"))
 
 
-PATHS = """r AS (SELECT p_partkey AS root, p_name AS name, p_partkey % 2 AS type_ord, p_partkey AS root_ord FROM part WHERE p_partkey <= 40),
+PATHS = """r AS (SELECT p_partkey AS root, p_name AS name, p_partkey % 2 AS type_ord, p_partkey AS root_ord FROM part),
 f AS (SELECT o_orderkey AS clause, o_orderpriority || ' ' || o_custkey AS fact FROM orders),
 l AS (SELECT DISTINCT l_partkey AS root, l_suppkey AS topic, l_orderkey AS clause FROM lineitem),
 p AS (SELECT r.*, l.topic, l.clause, f.fact, row_number() OVER (PARTITION BY lower(regexp_replace(fact, '[^A-Za-z0-9_]', '', 'g')) ORDER BY type_ord, root_ord, topic, l.clause) AS k FROM r JOIN l USING (root) JOIN f ON f.clause = l.clause),
@@ -159,12 +151,7 @@ t AS (SELECT *, row_number() OVER (PARTITION BY type_ord ORDER BY n_facts DESC,
 
 @query(f"WITH {PATHS} SELECT root, n_facts, n_topics, row_number() OVER (ORDER BY CASE WHEN root = 7 THEN 0 ELSE 1 END, type_ord, rank) AS place FROM t WHERE rank <= 10")
 def batch_path_search(spark, d):
-    return path_search(spark, d, table(spark, d, "part").where("p_partkey <= 40"))
-
-
-@query()
-def batch_path_search_all(spark, d):
-    """batch_path_search from every part."""
+    """From every part."""
     return path_search(spark, d, table(spark, d, "part"))
 
 

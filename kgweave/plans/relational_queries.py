@@ -63,8 +63,9 @@ def cube_lineitem(spark, d):
 @query("""SELECT user_id, event_type, string_agg(DISTINCT floor(value)::INTEGER::VARCHAR, ',' ORDER BY floor(value)::INTEGER::VARCHAR) AS vals, count(*) AS n FROM events
 GROUP BY GROUPING SETS ((user_id, event_type), (event_type))""")
 def words_pool_grouping_sets(spark, d):
-    table(spark, d, "events").select("user_id", "event_type", F.floor("value").cast("int").cast("string").alias("v")).createOrReplaceTempView("kgweave_pool")
-    return spark.sql("SELECT user_id, event_type, array_join(sort_array(collect_set(v)), ',') AS vals, count(*) AS n FROM kgweave_pool GROUP BY GROUPING SETS ((user_id, event_type), (event_type))")
+    e = table(spark, d, "events").select("user_id", "event_type", F.floor("value").cast("int").cast("string").alias("v"))
+    sets = e.groupingSets([["user_id", "event_type"], ["event_type"]], "user_id", "event_type")
+    return sets.agg(F.array_join(F.sort_array(F.collect_set("v")), ",").alias("vals"), F.count("*").alias("n"))
 
 
 @query("SELECT l_orderkey, min(l_quantity) AS x0, min(l_extendedprice) AS y0, max(l_quantity) AS x1, max(l_extendedprice) AS y1 FROM lineitem GROUP BY l_orderkey")
@@ -176,9 +177,10 @@ def capped_runs(spark, d):
     return tabular.capped_runs(t, ["l_orderkey"], order, F.col("_p") != F.col("l_returnflag"), 2).select("l_orderkey", "l_linenumber", "island", "part")
 
 
-@query("""WITH p AS (SELECT DISTINCT o_custkey, CAST(date_diff('day', TIMESTAMP '1992-01-01', o_orderdate) // 30 AS BIGINT) AS page FROM orders),
-r AS (SELECT o_custkey, page, page - row_number() OVER (PARTITION BY o_custkey ORDER BY page) AS k FROM p), g AS (SELECT o_custkey, min(page) AS lo, max(page) AS hi FROM r GROUP BY o_custkey, k)
-SELECT o_custkey, string_agg(CASE WHEN lo = hi THEN 'P' || lo ELSE 'P' || lo || '~P' || hi END, ', ' ORDER BY lo) AS pages FROM g GROUP BY o_custkey""")
+@query("""WITH p AS (SELECT o_custkey, CAST(date_diff('day', TIMESTAMP '1992-01-01', o_orderdate) // 30 AS BIGINT) AS page, o_orderkey FROM orders),
+b AS (SELECT o_custkey, page, o_orderkey, CASE WHEN page - lag(page) OVER w = 1 THEN 0 ELSE 1 END AS s FROM p WINDOW w AS (PARTITION BY o_custkey ORDER BY page, o_orderkey)),
+r AS (SELECT o_custkey, page, sum(s) OVER (PARTITION BY o_custkey ORDER BY page, o_orderkey) AS k FROM b), g AS (SELECT o_custkey, k, min(page) AS lo, max(page) AS hi FROM r GROUP BY o_custkey, k)
+SELECT o_custkey, string_agg(CASE WHEN lo = hi THEN 'P' || lo ELSE 'P' || lo || '~P' || hi END, ', ' ORDER BY k) AS pages FROM g GROUP BY o_custkey""")
 def islands_page_ranges(spark, d):
     page = F.floor(F.datediff(F.to_date("o_orderdate"), F.lit("1992-01-01")) / 30).cast("long")
     return tabular.page_ranges(table(spark, d, "orders").select("o_custkey", page.alias("page")), ["o_custkey"], "page")

@@ -16,63 +16,41 @@ def words():
     return F.regexp_extract_all(F.lower("text"), F.lit(f"({WORD})"), F.lit(1))
 
 
-def vector_zero(spark, d):
-    return table(spark, d, "embeddings").where("vec_id = 0").select(F.col("embedding").alias("q"))
-
-
-VEC = """q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0),
-v AS (SELECT vec_id, label, round(list_dot_product(embedding::DOUBLE[], q::DOUBLE[]) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(q::DOUBLE[], q::DOUBLE[]))), 9) AS score FROM embeddings, q)"""
+#: Search queries: every vector whose number is divisible by 100, against all.
+VEC = """q AS (SELECT vec_id AS query, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 100 = 0),
+v AS (SELECT query, vec_id, label, round(list_dot_product(embedding::DOUBLE[], q) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(q, q))), 9) AS score FROM embeddings, q)"""
 BM25 = """d AS (SELECT doc_id, source, regexp_extract_all(lower(text), '[a-z]+') AS words FROM documents), a AS (SELECT count(*) AS n, avg(len(words)) AS mean_len FROM d),
 t AS (SELECT doc_id, len(words) AS len, unnest(words) AS token FROM d), h AS (SELECT doc_id, len, token, count(*) AS tf FROM t WHERE token IN ('the', 'that', 'with', 'from') GROUP BY ALL),
 f AS (SELECT token, count(*) AS df FROM h GROUP BY token),
 b AS (SELECT doc_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / mean_len))), 6) AS score FROM h JOIN f USING (token), a GROUP BY doc_id)"""
-FUSED = """x AS (SELECT vec_id AS key, score FROM v ORDER BY score DESC, key LIMIT 15), y AS (SELECT doc_id AS key, score FROM b ORDER BY score DESC, key LIMIT 15),
-r AS (SELECT key, 1.0::DOUBLE / (60 + row_number() OVER (ORDER BY score DESC, key)) AS part FROM x UNION ALL SELECT key, 2.0::DOUBLE / (60 + row_number() OVER (ORDER BY score DESC, key)) FROM y),
-s AS (SELECT key, round(sum(part), 12) AS rrf FROM r GROUP BY key ORDER BY rrf DESC, key LIMIT 10), z AS (SELECT key, rrf, round(rrf / max(rrf) OVER (), 12) AS score FROM s)"""
-
-
-def vectors(spark, d, **kw):
-    return search.vector_scores(table(spark, d, "embeddings"), "embedding", vector_zero(spark, d), **kw)
+FUSED = """x AS (SELECT query, vec_id AS key, score FROM v QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) <= 15), y AS (SELECT doc_id AS key, score FROM b ORDER BY score DESC, key LIMIT 15),
+r AS (SELECT query, key, 1.0::DOUBLE / (60 + row_number() OVER (PARTITION BY query ORDER BY score DESC, key)) AS part FROM x UNION ALL SELECT query, key, 2.0::DOUBLE / (60 + row_number() OVER (PARTITION BY query ORDER BY score DESC, key)) FROM y, (SELECT query FROM q)),
+g AS (SELECT query, key, round(sum(part), 12) AS rrf FROM r GROUP BY query, key), s AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY query ORDER BY rrf DESC, key) <= 10), z AS (SELECT query, key, rrf, round(rrf / max(rrf) OVER (PARTITION BY query), 12) AS score FROM s)"""
 
 
 def keywords(spark, d):
-    return search.bm25(table(spark, d, "documents"), "doc_id", words(), TERMS, digits=6)
-
-
-@query(f"WITH {VEC} SELECT vec_id, score FROM v ORDER BY score DESC, vec_id LIMIT 10")
-def vector_topk(spark, d):
-    return search.top_k(vectors(spark, d), [F.desc("score"), F.col("vec_id")], 10).select("vec_id", "score")
-
-
-@query(f"WITH {VEC} SELECT vec_id, score FROM v WHERE score >= 0.2")
-def vector_threshold(spark, d):
-    return vectors(spark, d, at_least=0.2).select("vec_id", "score")
-
-
-@query(f"WITH {VEC} SELECT label, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS rank FROM v) WHERE rank <= 3")
-def vector_topk_by_label(spark, d):
-    return tabular.top_per_group(vectors(spark, d), ["label"], [F.desc("score"), F.col("vec_id")], 3).select("label", "vec_id", "score", "rank")
+    return search.bm25(table(spark, d, "documents"), "doc_id", words(), TERMS, digits=6, length=F.regexp_count(F.lower("text"), F.lit(WORD)))
 
 
-def all_vectors(spark, d, **kw):
-    """Scores of all embeddings for each query: those whose number is divisible by 100."""
+def vectors(spark, d, **kw):
+    """Scores of all embeddings for each query."""
     e = table(spark, d, "embeddings")
     return search.vector_scores(e, "embedding", e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q")), **kw)
 
 
-@query()
-def vector_topk_all(spark, d):
-    return tabular.top_per_group(all_vectors(spark, d), ["query"], [F.desc("score"), F.col("vec_id")], 10).select("query", "vec_id", "score")
+@query(f"WITH {VEC} SELECT query, vec_id, score FROM v QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) <= 10")
+def vector_topk(spark, d):
+    return tabular.top_per_group(vectors(spark, d), ["query"], [F.desc("score"), F.col("vec_id")], 10).select("query", "vec_id", "score")
 
 
-@query()
-def vector_threshold_all(spark, d):
-    return all_vectors(spark, d, at_least=0.2).select("query", "vec_id", "score")
+@query(f"WITH {VEC} SELECT query, vec_id, score FROM v WHERE score >= 0.2")
+def vector_threshold(spark, d):
+    return vectors(spark, d, at_least=0.2).select("query", "vec_id", "score")
 
 
-@query()
-def vector_topk_by_label_all(spark, d):
-    return tabular.top_per_group(all_vectors(spark, d), ["query", "label"], [F.desc("score"), F.col("vec_id")], 3).select("query", "label", "vec_id", "score", "rank")
+@query(f"WITH {VEC} SELECT query, label, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query, label ORDER BY score DESC, vec_id) AS rank FROM v) WHERE rank <= 3")
+def vector_topk_by_label(spark, d):
+    return tabular.top_per_group(vectors(spark, d), ["query", "label"], [F.desc("score"), F.col("vec_id")], 3).select("query", "label", "vec_id", "score", "rank")
 
 
 @query(f"WITH {BM25} SELECT doc_id, score FROM b ORDER BY score DESC, doc_id LIMIT 20")
@@ -87,38 +65,22 @@ def postings_statistics(spark, d):
 
 
 def fused(spark, d):
-    v = search.top_k(vectors(spark, d).select(F.col("vec_id").alias("key"), "score"), [F.desc("score"), F.col("key")], 15)
+    """For each query vector its neighbours, fused with the documents that the same words find: a vector is that of the
+    document of its number, documents without one are in the keyword list alone."""
+    v = tabular.top_per_group(vectors(spark, d).withColumnRenamed("vec_id", "key"), ["query"], [F.desc("score"), F.col("key")], 15).select("query", "key", "score")
     b = search.top_k(keywords(spark, d), [F.desc("score"), F.col("key")], 15)
-    return search.hybrid(v, b)
+    queries = table(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"))
+    return search.hybrid(v, queries.crossJoin(F.broadcast(b)).select("query", "key", "score"), by=("query",))  # 15 rows
 
 
-@query(f"WITH {VEC}, {BM25}, {FUSED} SELECT key, rrf, score FROM z")
+@query(f"WITH {VEC}, {BM25}, {FUSED} SELECT query, key, rrf, score FROM z")
 def hybrid_topk(spark, d):
     return fused(spark, d)
 
 
-@query(f"WITH {VEC}, {BM25}, {FUSED}, n AS (SELECT z.key, source, score, row_number() OVER (PARTITION BY lower(trim(source)) = 'src3' ORDER BY rrf DESC, z.key) AS k FROM z JOIN documents ON doc_id = z.key) SELECT key, lower(trim(source)) = 'src3' AND k = 1 AS boosted, CASE WHEN lower(trim(source)) = 'src3' AND k = 1 THEN 1.0::DOUBLE ELSE score END AS score FROM n")
+@query(f"WITH {VEC}, {BM25}, {FUSED}, n AS (SELECT query, z.key, source, score, row_number() OVER (PARTITION BY query, lower(trim(source)) = 'src3' ORDER BY rrf DESC, z.key) AS k FROM z JOIN documents ON doc_id = z.key) SELECT query, key, lower(trim(source)) = 'src3' AND k = 1 AS boosted, CASE WHEN lower(trim(source)) = 'src3' AND k = 1 THEN 1.0::DOUBLE ELSE score END AS score FROM n")
 def hybrid_boost(spark, d):
     named = fused(spark, d).join(table(spark, d, "documents").select(F.col("doc_id").alias("key"), "source"), "key")
-    return search.boost_exact(named, "source", "SRC3", [F.desc("rrf"), F.col("key")]).select("key", "boosted", "score")
-
-
-def fused_all(spark, d):
-    """fused for each query vector, all with the same words."""
-    v = tabular.top_per_group(all_vectors(spark, d).withColumnRenamed("vec_id", "key"), ["query"], [F.desc("score"), F.col("key")], 15).select("query", "key", "score")
-    b = search.top_k(keywords(spark, d), [F.desc("score"), F.col("key")], 15)
-    queries = table(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"))
-    return search.hybrid(v, queries.crossJoin(F.broadcast(b)).select("query", "key", "score"), by=("query",))
-
-
-@query()
-def hybrid_topk_all(spark, d):
-    return fused_all(spark, d)
-
-
-@query()
-def hybrid_boost_all(spark, d):
-    named = fused_all(spark, d).join(table(spark, d, "documents").select(F.col("doc_id").alias("key"), "source"), "key")
     return search.boost_exact(named, "source", "SRC3", [F.desc("rrf"), F.col("key")], ("query",)).select("query", "key", "boosted", "score")
 
 
@@ -134,12 +96,10 @@ u AS (SELECT * FROM e UNION ALL SELECT * FROM w UNION ALL SELECT * FROM c)"""
 
 @query(f"WITH {CASCADE} SELECT key, (tier - 1)::INTEGER AS tier, 1.0::DOUBLE AS score FROM u WHERE tier = (SELECT min(tier) FROM u)")
 def cascade_first_nonempty(spark, d):
-    docs = table(spark, d, "documents").withColumn("tokens", words())
-    one = F.lit(1.0).alias("score")
-    exact = docs.where(F.array_contains("tokens", "licens")).select(F.col("doc_id").alias("key"), one)
-    wild = docs.where(F.exists("tokens", lambda t: F.contains(t, F.lit("licens")))).select(F.col("doc_id").alias("key"), one)
-    sub = docs.where(search.contains_any(["text"], "licens")).select(F.col("doc_id").alias("key"), one)
-    return search.cascade(exact, wild, sub).select("key", "tier", "score")
+    # one scan tells the first of the three searches that finds a document; a word that has it is also a substring
+    docs = table(spark, d, "documents").where(search.contains_any(["text"], "licens")).select(F.col("doc_id").alias("key"), words().alias("tokens"))
+    tiers = docs.select("key", F.when(F.array_contains("tokens", "licens"), 0).when(F.exists("tokens", lambda t: F.contains(t, F.lit("licens"))), 1).otherwise(2).alias("first"))
+    return search.cascade(tiers).select("key", "tier", "score")
 
 
 @query("""WITH f AS (SELECT o_custkey AS root, o_orderpriority AS fact, o_orderkey AS ord, round(o_totalprice / 500000, 9) AS s, row_number() OVER (PARTITION BY o_orderpriority, o_custkey ORDER BY o_orderkey) AS k FROM orders),

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from .workers import shipped
 
-REGISTRY: dict[str, dict[str, Callable]] = {"embedder": {}, "scorer": {}, "extractor": {}, "describer": {}}
+KINDS = ("embedder", "scorer", "extractor", "describer", "chat", "tagger", "ontology", "triplets", "contents", "persona", "filter")
+REGISTRY: dict[str, dict[str, Callable]] = {kind: {} for kind in KINDS}
 
 
 def register(kind: str, name: str):
@@ -155,3 +156,142 @@ def repaired_json(text: str | None):
             except ValueError:
                 continue
     return None
+
+
+def salvaged_json(text: str | None, name: str, kind: str, summary: str = "") -> dict:
+    """A profile from a model's broken answer: closed where it was cut off, line ends and controls in strings as spaces;
+    else what can be read of its bio and persona; else one made from the summary."""
+    body = (text or "").strip()
+    if body and body[-1] not in '",}]':
+        body += '"'
+    body += "]" * max(0, body.count("[") - body.count("]")) + "}" * max(0, body.count("{") - body.count("}"))
+    if found := re.search(r"\{[\s\S]*\}", body):
+        plain = re.sub(r'"[^"\\]*(?:\\.[^"\\]*)*"', lambda m: re.sub(r"\s+", " ", m[0]), found[0])
+        for attempt in (plain, re.sub(r"\s+", " ", re.sub(r"[\x00-\x1f\x7f-\x9f]", " ", plain))):
+            try:
+                return {**json.loads(attempt), "_fixed": True}
+            except ValueError:
+                continue
+    parts = {k: re.search(rf'"{k}"\s*:\s*"([^"]*)', body) for k in ("bio", "persona")}
+    made = {"bio": summary[:200] if summary else f"{kind}: {name}", "persona": summary or f"{name} is a {kind}."}
+    read = {k: m[1] for k, m in parts.items() if m}
+    return made | read | ({"_fixed": True} if read else {})
+
+
+@register("chat", "echo")
+def echo_chat(prompt: str | None) -> str:
+    """The offline stand-in for a chat model: an empty JSON object."""
+    return "{}"
+
+
+#: Type names by which an ontology is taken as one of people and media, not of engineering.
+SOCIAL = ("person", "student", "professor", "journalist", "celebrity", "executive", "media", "organization")
+
+
+def tagging_mode(types: list[str]) -> str:
+    """social where most of an ontology's type names are of people and media, else engineering."""
+    names = [t.lower() for t in types]
+    return "social" if names and 2 * sum(any(s in n for s in SOCIAL) for n in names) > len(names) else "engineering"
+
+
+@register("tagger", "rules")
+def rule_tagger(text: str | None, types: tuple[str, ...] = ()) -> dict:
+    """Capitalised runs as entities of the first type named, neighbours within a sentence as related."""
+    entities, relations = [], []
+    for sentence in re.split(r"(?<=[.!?。])\s*", text or ""):
+        names = list(dict.fromkeys(re.findall(r"\b[A-Z][\w-]+(?: [A-Z][\w-]+)*", sentence)))
+        entities += [{"name": n, "type": types[0] if types else "Entity", "description": ""} for n in names]
+        relations += [{"source": a, "target": b, "type": "RELATED_TO", "fact": sentence.strip()} for a, b in zip(names, names[1:], strict=False)]
+    return {"entities": entities, "relations": relations}
+
+
+@register("ontology", "fixed")
+def fixed_ontology(texts: list[str]) -> dict:
+    """The ontology of documents that needs no model."""
+    return {"entity_types": ["Clause", "Topic", "Entity", "Term", "Table", "Image"], "edge_types": ["HAS_TOPIC", "MENTIONS", "CROSS_REFERENCE", "PART_OF"], "mode": "engineering"}
+
+
+@register("triplets", "rules")
+def rule_triplets(text: str | None) -> list[dict]:
+    """(subject, relation, object) of plain sentences: X is / has / uses Y."""
+    return [{"subject": m[1].strip(), "relation": m[2], "object": m[3].strip()} for m in re.finditer(r"([^.!?\n]+?)\s+(is|has|uses|contains|requires)\s+([^.!?\n]+)", text or "")]
+
+
+@register("contents", "numbers")
+def numbered_contents(text: str | None) -> list[dict]:
+    """A table of contents from lines that begin with a number."""
+    return [{"chapter_number": m[1], "title": m[2].strip(), "start_position": m.start()} for m in re.finditer(r"(?m)^(\d+(?:\.\d+)?)\s+(\S[^\n]*)$", text or "")]
+
+
+@register("persona", "rules")
+def rule_persona(entity: dict) -> dict:
+    """A profile by rules from an entity's name, type and summary."""
+    return salvaged_json(None, entity.get("name") or "", entity.get("type") or "Entity", entity.get("summary") or "")
+
+
+@register("filter", "overlap")
+def overlapping(query: str, facts: list[str]) -> list[int]:
+    """Places of the facts that share a word with the query."""
+    return [i for i, f in enumerate(facts) if overlap_score(query, f) > 0]
+
+
+def filtered_facts(query: str, facts: list[str], name: str = "overlap", least: int = 5) -> list[str]:
+    """The facts that a filter names by place; all of them if it fails or there is one, the first `least` if it names none."""
+    if len(facts) < 2:
+        return facts
+    chosen, error = retried(lambda _: REGISTRY["filter"][name](query, facts), None, 1)
+    if error is not None:
+        return facts
+    kept = [facts[i] for i in chosen if isinstance(i, int) and 0 <= i < len(facts)]
+    return kept or facts[:least]
+
+
+def mapped(df: DataFrame, column: str, kind: str, schema: str, name: str, out: str = "result") -> DataFrame:
+    """df with a plug-in's answer for each row, by Arrow batches, and an error where it failed three times; a row's
+    place doesn't matter, as answers stay with their rows."""
+    fn = REGISTRY[kind][name]
+
+    def run(batches):
+        from kgweave.plugins import retried
+
+        for pdf in batches:
+            found = [retried(fn, v) for v in pdf[column]]
+            yield pdf.assign(**{out: [f[0] for f in found], f"{out}_error": [f[1] for f in found]})
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return df.mapInPandas(shipped(run), f"{fields}, `{out}` {schema}, `{out}_error` string")
+
+
+class Progress:
+    """Counts handled rows on the executors and tells a callback on the driver."""
+
+    def __init__(self, spark, total: int, tell: Callable[[int, int], None]):
+        self.done, self.total, self.tell = spark.sparkContext.accumulator(0), total, tell
+
+    def counted(self, df: DataFrame) -> DataFrame:
+        done = self.done
+
+        def run(batches):
+            for pdf in batches:
+                done.add(len(pdf))
+                yield pdf
+
+        return df.mapInPandas(run, df.schema)
+
+    def report(self) -> None:
+        self.tell(min(self.done.value, self.total), self.total)
+
+
+#: The last answers of queries, by all their arguments.
+_MEMO: dict = {}
+
+
+def remembered(key: tuple, make: Callable, seconds: float = 30.0, now: Callable[[], float] = time.monotonic):
+    """make()'s result, or the one made at most so many seconds ago under the same key (name and all arguments)."""
+    at, value = _MEMO.get(key, (None, None))
+    if at is None or now() - at > seconds:
+        for k in [k for k, (t, _) in _MEMO.items() if now() - t > seconds]:
+            del _MEMO[k]
+        value = make()
+        _MEMO[key] = now(), value
+    return value

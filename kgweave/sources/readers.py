@@ -36,8 +36,10 @@ def json_array(spark: SparkSession, path: str, element: str, id_name: str = "chu
 
 
 def parsed_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Page log, one JSON object a line; bad and empty lines are skipped, of a page seen again the last line stays."""
-    lines = spark.read.text(path).withColumn("ord", F.monotonically_increasing_id()).where(F.trim("value") != "")
+    """Page log, one JSON object a line; bad and empty lines are skipped, of a page seen again the last line stays: the
+    one furthest in its file, of the last file by name."""
+    rows = spark.read.text(path).select("value", F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("line")).alias("ord"))
+    lines = rows.where(F.trim("value") != "")
     pages = lines.select("ord", F.from_json("value", PAGES).alias("p")).where("p.page_num is not null").select("ord", "p.*")
     return keep_one(pages.withColumn("source", F.coalesce("source", F.lit(""))), ["source", "page_num"], [F.desc("ord")]).drop("ord")
 
@@ -132,3 +134,15 @@ def joined_sources(df: DataFrame, name: str = "source", text: str = "text") -> D
     """One text of all sources, each under its name, in order of name."""
     part = F.concat(F.lit("=== "), F.col(name), F.lit(" ===\n"), F.coalesce(text, F.lit("")))
     return df.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(name).alias("n"), part.alias("p")))), lambda s: s["p"]), "\n\n").alias("text"))
+
+
+def page_texts(texts: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
+    """key, page_idx, text: plain pages of files that no layout is known of, cut at form feeds; blank pages are left out."""
+    pages = texts.select(key, F.posexplode(F.split(F.coalesce(text, F.lit("")), "\f")).alias("page_idx", "text"))
+    return pages.where(F.trim(F.regexp_replace("text", r"(?U)\s+", " ")) != "")
+
+
+def objects(spark: SparkSession, paths: list[str], at_most: int | None = None) -> DataFrame:
+    """path, length, content of named objects, wherever Spark reads; larger ones than at_most bytes are left out unread."""
+    files = spark.read.format("binaryFile").load(paths).select("path", "length", "content")
+    return files if at_most is None else files.where(F.col("length") <= at_most)

@@ -15,18 +15,22 @@ def _fs(spark: SparkSession, path: str):
 
 
 class Versioned:
-    """A table as folders of Parquet and a pointer to the current one, on any Hadoop file system.
+    """A table as folders of Parquet and numbered pointers to them, on any Hadoop file system.
 
-    A write makes a new folder and then moves the pointer, so a reader sees the old rows or the new ones."""
+    A write makes a new folder and then an empty pointer file whose name holds a number and the folder's; the largest is
+    the current one. So a reader sees the old rows or the new ones, and there is always a pointer. Of two writers that
+    take one number at once, the one whose pointer sorts last wins and the other raises."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
+    def _pointers(self) -> list[str]:
+        _, p, fs = _fs(self.spark, f"{self.path}/CURRENT-*")
+        return sorted(s.getPath().getName() for s in fs.globStatus(p) or [])
+
     def current(self) -> str | None:
-        jvm, p, fs = _fs(self.spark, f"{self.path}/CURRENT")
-        if not fs.exists(p):
-            return None
-        return self.spark.read.text(f"{self.path}/CURRENT").first()[0]
+        found = self._pointers()
+        return found[-1].split("-", 2)[2] if found else None
 
     def read(self) -> DataFrame | None:
         name = self.current()
@@ -36,14 +40,15 @@ class Versioned:
         name = f"v-{uuid.uuid4().hex}"
         writer = df.write.partitionBy(*partition_by) if partition_by else df.write
         writer.parquet(f"{self.path}/{name}")
-        jvm, new, fs = _fs(self.spark, f"{self.path}/CURRENT.{name}")
-        out = fs.create(new, True)
-        out.write(bytearray(name.encode()))
-        out.close()
-        old = jvm.org.apache.hadoop.fs.Path(f"{self.path}/CURRENT")
-        fs.delete(old, False)
-        if not fs.rename(new, old):
-            raise OSError(f"could not move the pointer of {self.path}")
+        before = self._pointers()
+        number = int(before[-1].split("-", 2)[1]) + 1 if before else 1
+        _, pointer, fs = _fs(self.spark, f"{self.path}/CURRENT-{number:012d}-{name}")
+        fs.create(pointer, False).close()
+        after = self._pointers()
+        if after[-1] != pointer.getName() and int(after[-1].split("-", 2)[1]) == number:
+            raise OSError(f"another writer replaced {self.path} at once")
+        for old in before[:-1]:  # the one before stays for readers that have just looked
+            fs.delete(_fs(self.spark, f"{self.path}/{old}")[1], False)
 
     def upsert(self, new: DataFrame, keys: list[str], policy: dict[str, str]) -> None:
         from ..operators.tabular import upsert

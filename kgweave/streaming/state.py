@@ -65,3 +65,54 @@ def task_snapshots(events: DataFrame, hours: int = 24) -> DataFrame:
         yield pd.DataFrame({"task_id": [key[0]], "status": [status], "progress": pd.array([progress], dtype="Int32"), "message": [message], "logs": [logs], "updated_at": [at]})
 
     return events.withWatermark("ts", "10 minutes").groupBy("task_id").applyInPandasWithState(update, SNAPSHOT, _STATE, "update", "EventTimeTimeout")
+
+
+def resume_windows(chunks: DataFrame, order: str, size: int = 12, most: int = 150, done: int = -1) -> DataFrame:
+    """Chunks of the discovery windows that are left: `size` neighbours each, of the first `most` chunks of a source (the
+    feature is a look at a document's beginning), after window number `done`."""
+    from pyspark.sql import Window as W
+
+    place = F.row_number().over(W.partitionBy("source").orderBy(order)) - 1
+    rows = chunks.withColumn("_place", place).where(F.col("_place") < most)
+    return rows.withColumn("window", F.floor(F.col("_place") / size)).where(F.col("window") > done).drop("_place")
+
+
+#: Pipelines that run at once.
+RUNNING = 2
+
+
+def next_runs(pipelines: DataFrame, at_once: int = RUNNING) -> DataFrame:
+    """pipeline_id of the waiting pipelines that may start now, first come first served: as many as at_once leaves.
+
+    pipelines: pipeline_id, status (pending, running or a final one), created_at. The queue is the status table itself,
+    so a restart finds it as it was."""
+    from pyspark.sql import Window as W
+
+    place = F.row_number().over(W.orderBy("created_at", "pipeline_id"))
+    waiting = pipelines.where("status = 'pending'").select("pipeline_id", "created_at").withColumn("_place", place)
+    free = pipelines.agg((F.lit(at_once) - F.count_if(F.col("status") == "running")).alias("_free"))  # one row
+    return waiting.crossJoin(F.broadcast(free)).where("_place <= _free").select("pipeline_id")
+
+
+def recovered(pipelines: DataFrame) -> DataFrame:
+    """The status table after a restart: what ran when it stopped waits again; stages that were completed stay so."""
+    reset = F.transform("stages", lambda s: F.when(s["status"].endswith("processing"), s.withField("status", F.lit("pending"))).otherwise(s))
+    return pipelines.withColumn("status", F.when(F.col("status") == "running", "pending").otherwise(F.col("status"))).withColumn("stages", reset)
+
+
+def left_to_do(work: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of work whose keys aren't among the finished ones: what a rerun from a checkpoint still has to do."""
+    return work.join(done.select(*keys).distinct(), keys, "left_anti")
+
+
+def state_then_changes(events: DataFrame, keys: list[str], order: str, fields: list[str], since) -> DataFrame:
+    """What a subscriber that comes at a time is told: each key's latest state then, marked full, and after it each row
+    that changes something, in order; a key's rows end with its first final status."""
+    from pyspark.sql import Window as W
+
+    first = latest(events.where(F.col(order) <= since), keys, order, fields).withColumn("full", F.lit(True))
+    after = changes(events, keys, order, fields).where(F.col(order) > since).select(*keys, *fields, order).withColumn("full", F.lit(False))
+    rows = first.select(*keys, *fields, order, "full").unionByName(after)
+    over = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    ended = F.coalesce(F.max(F.col("status").isin("completed", "failed").cast("int")).over(over), F.lit(0))
+    return rows.withColumn("_ended", ended).where("_ended = 0").drop("_ended")

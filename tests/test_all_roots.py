@@ -21,13 +21,13 @@ def found(spark, name, *columns):
 def test_topics_and_two_hops(spark):
     items, orders = read("lineitem", "l_suppkey", "l_partkey", "l_orderkey"), {o for (o,) in read("orders", "o_orderkey")}
     suppliers = {s for (s,) in read("supplier", "s_suppkey")}
-    assert found(spark, "topic_entities_all", "topic", "entity") == sorted({(s, p) for s, p, _ in items if s in suppliers})
+    assert found(spark, "topic_entities_distinct", "topic", "entity") == sorted({(s, p) for s, p, _ in items if s in suppliers})
     paths = defaultdict(set)
     for s, p, o in items:
         if o in orders:
             paths[p].add((s, o))
     want = sorted((p, len({s for s, _ in paths[p]}), len(paths[p])) for (p,) in read("part", "p_partkey"))
-    assert found(spark, "path_two_hop_all", "root", "n_topics", "n_clauses") == want
+    assert found(spark, "path_two_hop", "root", "n_topics", "n_clauses") == want
 
 
 def test_traversal(spark):
@@ -42,7 +42,7 @@ def test_traversal(spark):
             front = {y for x in front for y in hop[x]} - seen
             seen |= front
             want += [(f"order:{o}", y, k) for y in front]
-    assert found(spark, "bounded_traversal_all", "root", "node", "hops") == sorted(want)
+    assert found(spark, "bounded_traversal", "root", "node", "hops") == sorted(want)
 
 
 def test_path_search(spark):
@@ -55,4 +55,4 @@ def test_path_search(spark):
     for t, p, _, _ in best.values():
         count[t, p] += 1
     want = [p for t in (0, 1) for _, p in sorted((-n, p) for (u, p), n in count.items() if u == t)[:10]]
-    assert sorted(r[0] for r in found(spark, "batch_path_search_all", "root")) == sorted(want)
+    assert sorted(r[0] for r in found(spark, "batch_path_search", "root")) == sorted(want)
