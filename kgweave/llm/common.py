@@ -101,16 +101,21 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], sch
     smaller_batches(df.sparkSession)
     out = to_arrow_schema(struct(schema))
     packed, home = cloudpickle.dumps(fn), str(Path(__file__).resolve().parents[2])
+    doing = hash((fn.__module__, fn.__qualname__, schema))
 
     def run(batches):
         import sys
 
         if home not in sys.path:  # workers of a local session don't inherit the driver's search path
             sys.path.append(home)
-        fn = cloudpickle.loads(packed)
-        columns = ({n: c for n, c in zip(b.schema.names, b.columns, strict=True)} for b in batches if b.num_rows)
-        for made in fn(columns):
-            yield pa.RecordBatch.from_arrays([pa.array(made[f.name], type=f.type) for f in out], schema=out)
+        from kgweave.llm.worker_memory import task
+
+        with task(doing):
+            fn = cloudpickle.loads(packed)
+            columns = ({n: c for n, c in zip(b.schema.names, b.columns, strict=True)} for b in batches if b.num_rows)
+            for made in fn(columns):
+                yield pa.RecordBatch.from_arrays([pa.array(made[f.name], type=f.type) for f in out], schema=out)
+            del fn
 
     return df.mapInArrow(run, schema)
 

@@ -286,7 +286,7 @@ def _strongest(rows: DataFrame, table: np.ndarray) -> list[tuple[float, bytes, i
     return sorted(((r["s"], bytes(r["window"]), r["label"]) for r in found), key=lambda f: (-f[0], f[1], f[2]))
 
 
-def train(docs: DataFrame, known: DataFrame, toxic_rows: int = 2500, clean_rows: int = 5000, landmarks: int = 600, windows: int = 8000, witnesses: int = 5000, each: int = 4, rounds: int = 3) -> tuple[np.ndarray, float, float]:
+def train(docs: DataFrame, known: DataFrame, toxic_rows: int = 2500, clean_rows: int = 5000, landmarks: int = 400, windows: int = 8000, witnesses: int = 5000, each: int = 4, rounds: int = 3) -> tuple[np.ndarray, float, float]:
     """Table, slope and offset of the probability. docs: doc_id, text; known: doc_id, label (0/1).
 
     At most toxic_rows and clean_rows labelled rows are learnt from, the first by a hash of their id, whole texts.
