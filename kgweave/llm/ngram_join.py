@@ -378,7 +378,7 @@ def block_links(sets: list[np.ndarray], percent: int, step: int = 4096) -> list[
     return links
 
 
-def near_duplicates(df: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def grouped(df: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) and text_hash of every row of df
     (doc_id, text).
 
@@ -422,16 +422,21 @@ def near_duplicates(df: DataFrame, words: int = WORDS, percent: int = PERCENT) -
     return narrow.join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash")
 
 
+def near_duplicates(df: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of df, as grouped() finds them."""
+    return grouped(df, words, percent).drop("text_hash")
+
+
 def first_of_groups(df: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """df's rows, whatever their columns' names, without those that are linked to a document of a smaller id."""
     plain, back = apart(df, "doc_id", "text")
-    groups = near_duplicates(plain, words, percent)
+    groups = grouped(plain, words, percent)
     first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept id"), F.col("text_hash").alias("kept text")).distinct()
     return back(plain.join(first, F.col("doc_id").eqNullSafe(F.col("kept id")) & (F.xxhash64("text") == F.col("kept text")), "left_semi"))
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(documents(spark, sf_dir)).drop("text_hash")
+    return near_duplicates(documents(spark, sf_dir))
 
 
 OP4_SQL = r"""
