@@ -84,12 +84,13 @@ def scratch(df: DataFrame, tag: str, rows: int, each: int = 250_000) -> DataFram
     return materialise(df.coalesce(max(1, -(-rows // each))), tag)
 
 
-def apart(df: DataFrame, *needed: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+def apart(df: DataFrame, *needed: str) -> tuple[DataFrame, Callable[..., DataFrame]]:
     """df with its columns other than the needed ones under names no operator uses, and what gives a result of
-    it df's columns back, under their names and in their order: no user's column is overwritten."""
+    it df's columns back, under their names and in their order, before any columns named to it: no user's column is
+    overwritten."""
     names = [c if c in needed else f"own column {k}" for k, c in enumerate(df.columns)]
     given = list(df.columns)
-    return df.toDF(*names), lambda out: out.select(*[F.col(f"`{n}`").alias(c) for n, c in zip(names, given, strict=True)])
+    return df.toDF(*names), lambda out, *added: out.select(*[F.col(f"`{n}`").alias(c) for n, c in zip(names, given, strict=True)], *added)
 
 
 def struct(ddl: str) -> T.StructType:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, mixing, ngram_join, packing, quality, tiff, token_counts, token_records, toxicity
+from . import exact_dedup, line_dedup, mixing, ngram_join, packing, periodic, quality, rolling, tiff, token_counts, token_records, toxicity, url_filter
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,9 @@ QUERIES = {
         token_records.op8_token_records,
         token_counts.op9_token_counts,
         quality.op10_quality_classifier,
+        rolling.op11_rolling_features,
+        url_filter.op12_url_filters,
+        periodic.op13_periodic_runs,
     )
 }
 
@@ -24,4 +27,7 @@ SQL = {
     "op2_source_mixing": mixing.OP2_SQL,
     "op4_ngram_join": ngram_join.OP4_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
+    "op11_rolling_features": rolling.OP11_SQL,
+    "op12_url_filters": url_filter.OP12_SQL,
+    "op13_periodic_runs": periodic.OP13_SQL,
 }
