@@ -81,8 +81,12 @@ def parent_id(clause_id: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    """Sentences with their ends: after 。！？； and line ends, and after . ! ? before a space."""
-    return F.filter(F.split(text, r"(?<=[。！？；\n])|(?<=[.!?])(?=\s)"), lambda s: F.trim(s) != "")
+    """Sentences with their ends, without white space around: after each of 。！？?!；; and empty line, and after a full stop
+    with white space. A text without any is its own only sentence; null has
+    none."""
+    parts = F.regexp_extract_all(text, F.lit(r"(?sU).*?(?:[。！？?!；;]|\n\n|\.\s+|\z)"), F.lit(0))
+    found = F.filter(F.transform(parts, strip), lambda s: s != "")
+    return F.when(F.size(found) > 0, found).when(text.isNotNull(), F.array(text))
 
 
 def ngrams(text: Column, width: int = 20, step: int = 10) -> Column:

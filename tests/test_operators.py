@@ -47,10 +47,17 @@ def test_ngrams_of_short_texts(spark):
 
 def test_sentences_and_tokens(spark):
     df = spark.createDataFrame([("One. Two!三。Four 1.5 x",)], "t string")
-    assert [s.strip() for s in df.select(text.sentences(F.col("t"))).first()[0]] == ["One.", "Two!三。", "Four 1.5 x"]
+    assert [s.strip() for s in df.select(text.sentences(F.col("t"))).first()[0]] == ["One.", "Two!", "三。", "Four 1.5 x"]
     assert df.select(text.tokens(F.lit("Fire 消防车 a"))).first()[0] == ["fire", "a", "消防", "防车"]
 
 
+def test_sentence_rules(spark):
+    texts = ["a;b", "Hi?No", "a\nb", "a\n\nb", "One. Two!", "  ", "", None, "x.y", "。。", " a ！ b"]
+    want = [["a;", "b"], ["Hi?", "No"], ["a\nb"], ["a", "b"], ["One.", "Two!"], ["  "], [""], None, ["x.y"], ["。", "。"], ["a ！", "b"]]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    assert [r[1] for r in df.select("k", text.sentences(F.col("t"))).orderBy("k").collect()] == want
+
+
 def test_ids(spark):
     r = spark.range(1).select(ids.node_id("entity", F.lit("g"), F.lit("泵")), ids.uuid_of(F.lit("g"), F.lit(None).cast("string"), F.lit("x")), ids.node_id("episode", F.lit("g"), F.lit(""), F.lit("text"))).first()
     import hashlib
