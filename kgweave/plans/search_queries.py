@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..functions.text import WORD, normalize_text
 from ..functions.vectors import cosine
 from ..operators import retrieval, search, tabular
+from ..operators.vector_index import VectorIndex
+from ..session import shared_path
 from .catalogue import query, table
 
 TERMS = ["the", "that", "with", "from"]
@@ -43,6 +45,30 @@ def vector_topk(spark, d):
     return tabular.top_per_group(vectors(spark, d), ["query"], [F.desc("score"), F.col("vec_id")], 10).select("query", "vec_id", "score")
 
 
+def indexed(spark, d):
+    """The index of all embeddings, built for the query, and the query vectors."""
+    e = table(spark, d, "embeddings")
+    asked = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
+    return VectorIndex(spark, shared_path(spark, "vectors")).build(e, "vec_id", "embedding"), asked
+
+
+@query(f"WITH {VEC} SELECT query, vec_id, score FROM v QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) <= 10")
+def vector_index_all_cells(spark, d):
+    """The stored index with every cell probed: codes choose the candidates, and the result is the exact one."""
+    index, asked = indexed(spark, d)
+    return index.search(asked, "query", "q", 10, probes=index.about()["cells"]).withColumnRenamed("key", "vec_id")
+
+
+@query("SELECT count(*) AS n_queries, 10 * count(*) AS n_wanted, true AS reached FROM embeddings WHERE vec_id % 100 = 0")
+def vector_index_recall(spark, d):
+    """Whether the index, probing as many cells as it was measured for, finds 0.9 of the exact ten nearest."""
+    index, asked = indexed(spark, d)
+    found = index.search(asked, "query", "q", 10).withColumnRenamed("key", "vec_id").withColumn("found", F.lit(1))
+    both = vector_topk(spark, d).join(found.select("query", "vec_id", "found"), ["query", "vec_id"], "left")
+    counts = both.agg(F.count_distinct("query").alias("n_queries"), F.count("*").alias("n_wanted"), F.count("found").alias("n_found"))
+    return counts.select("n_queries", "n_wanted", (F.col("n_found") >= 0.9 * F.col("n_wanted")).alias("reached"))
+
+
 @query(f"WITH {VEC} SELECT query, vec_id, score FROM v WHERE score >= 0.2")
 def vector_threshold(spark, d):
     return vectors(spark, d, at_least=0.2).select("query", "vec_id", "score")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -19,3 +23,14 @@ def build(name: str = "kgweave", **settings: str) -> SparkSession:
     for k, v in (conf | {k.replace("__", "."): v for k, v in settings.items()}).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def shared_path(spark: SparkSession, tag: str) -> str:
+    """A new path for a stored table in the folder that driver and executors share, the session's spark.checkpoint.dir.
+    Where that is unset a local master gets one of its own; on a cluster it has to be set."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = "file://" + os.path.join(tempfile.gettempdir(), f"kgweave-{os.getpid()}")
+    return f"{folder.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
