@@ -5,13 +5,16 @@ in an id."""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+import warnings
+
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import text as tx
 from ..functions.vectors import cosine
+from ..session import shared_path
 from .tabular import keep_one
 
 #: BM25's usual parameters, and the constant of reciprocal-rank fusion: fixed values.
@@ -40,9 +43,11 @@ def totals(df: DataFrame, length: Column) -> DataFrame:
     return df.agg(F.count("*").alias("n_docs"), F.avg(length).alias("mean_len"))
 
 
-def bm25_of(hits: DataFrame, total: DataFrame, digits: int = 9) -> DataFrame:
-    """key, score from postings (key, token, tf, len) of a query's tokens and the one row of totals."""
-    df_of = hits.groupBy("token").agg(F.count("*").alias("df"))  # as many rows as the query has tokens
+def bm25_of(hits: DataFrame, total: DataFrame, digits: int = 9, df_of: DataFrame | None = None) -> DataFrame:
+    """key, score from postings (key, token, tf, len) of a query's tokens and the one row of totals. df_of: token and df,
+    where hits aren't all postings of the tokens."""
+    if df_of is None:
+        df_of = hits.groupBy("token").agg(F.count("*").alias("df"))  # as many rows as the query has tokens
     idf = F.log1p((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean_len")))
     joined = hits.join(F.broadcast(df_of), "token").crossJoin(F.broadcast(total))
@@ -50,7 +55,7 @@ def bm25_of(hits: DataFrame, total: DataFrame, digits: int = 9) -> DataFrame:
 
 
 def bm25(df: DataFrame, key: str, tokens: Column, query: list[str], digits: int = 9, length: Column | None = None) -> DataFrame:
-    """key, score of rows that hold any of the query's tokens, from the texts themselves; Index reads stored postings.
+    """key, score of rows that hold any of the query's tokens, from the texts themselves; text_index.Index reads stored postings.
 
     length: a cheaper expression for the number of tokens, if there is one."""
     wanted = F.array(*map(F.lit, sorted(set(query))))
@@ -60,67 +65,18 @@ def bm25(df: DataFrame, key: str, tokens: Column, query: list[str], digits: int
     return bm25_of(hits, total, digits)
 
 
-class Index:
-    """Stored full-text index: postings ranged and sorted by token, so that a query reads few row groups, the vocabulary
-    with document frequencies, and one row of totals. Tokens are lower-case words and pairs of CJK characters, of a
-    document's text as of a query's."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def build(self, df: DataFrame, key: str, text: Column, scope: Column | None = None) -> Index:
-        """Writes the index of df; scope is a column by which searches may be narrowed, as a graph or a label."""
-        rows = df.select(F.col(key).alias("key"), (F.lit("") if scope is None else F.coalesce(scope.cast("string"), F.lit(""))).alias("scope"), tx.tokens(F.coalesce(text, F.lit(""))).alias("tokens"))
-        each = rows.select("key", "scope", F.size("tokens").alias("len"), F.explode("tokens").alias("token"))
-        posted = each.groupBy("scope", "token", "key").agg(F.count("*").alias("tf"), F.min("len").alias("len"))
-        posted.repartitionByRange("token", "scope", "key").sortWithinPartitions("token", "scope", "key").write.mode("overwrite").parquet(f"{self.path}/postings")
-        rows.groupBy("scope").agg(F.count("*").alias("n_docs"), F.avg(F.size("tokens")).alias("mean_len")).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/totals")
-        self.read("postings").groupBy("scope", "token").agg(F.count("*").alias("df")).repartitionByRange("token").sortWithinPartitions("token").write.mode("overwrite").parquet(f"{self.path}/vocabulary")
-        return self
-
-    def read(self, part: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{part}")
-
-    def _tokens(self, query: str) -> list[str]:
-        """The query's distinct tokens, cut as texts are."""
-        return sorted(set(self.spark.range(1).select(tx.tokens(F.lit(query))).first()[0]))
-
-    def search(self, query: str, scope: str = "", digits: int = 9, at_least: float | None = None) -> DataFrame:
-        """key, score by BM25 within the scope."""
-        tokens = self._tokens(query)
-        hits = self.read("postings").where((F.col("scope") == scope) & F.col("token").isin(tokens))
-        found = bm25_of(hits.select("key", "token", "tf", "len"), self.read("totals").where(F.col("scope") == scope).select("n_docs", "mean_len"), digits)
-        return found if at_least is None else found.where(F.col("score") >= at_least)
-
-    def wildcard(self, part: str, scope: str = "") -> DataFrame:
-        """key, score 1 of rows with a token that has part in it, by the vocabulary."""
-        some = self.read("vocabulary").where((F.col("scope") == scope) & F.contains("token", F.lit(part.strip().lower()))).select("token")
-        hits = self.read("postings").where(F.col("scope") == scope).join(some, "token", "left_semi")
-        return hits.select("key").distinct().withColumn("score", F.lit(1.0))
-
-
-def indexes(spark: SparkSession, path: str) -> DataFrame:
-    """name, scope, n_docs, mean_len of the indexes below a folder, and whether each is whole: the catalogue of what can
-    be searched."""
-    out = spark.createDataFrame([], "name string, scope string, n_docs long, mean_len double, ready boolean")
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for s in sorted(fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/*")) or [], key=lambda s: s.getPath().getName()):
-        name, at = s.getPath().getName(), s.getPath().toString()
-        whole = all(fs.exists(jvm.org.apache.hadoop.fs.Path(f"{at}/{part}/_SUCCESS")) for part in ("postings", "totals", "vocabulary"))
-        rows = spark.read.parquet(f"{at}/totals") if whole else spark.createDataFrame([(None, None, None)], "scope string, n_docs long, mean_len double")
-        out = out.unionByName(rows.select(F.lit(name).alias("name"), "scope", "n_docs", "mean_len", F.lit(whole).alias("ready")))
-    return out
-
-
 def degraded(search, *args, **kwargs) -> DataFrame | None:
-    """A search's result, or None where its index is absent or unreadable: one part that fails leaves the others."""
+    """A search's result, or None where its index is absent or unreadable: one part that fails leaves the others.
+
+    The search runs here, and its rows are kept as a table in the shared folder, so what breaks only while files are read
+    shows now as well. For searches whose results are few, as a limit makes them."""
     try:
         found = search(*args, **kwargs)
-        found.schema  # noqa: B018  the plan is analysed here, so a missing table shows now
-        return found
-    except (AnalysisException, FileNotFoundError):
+        path = shared_path(found.sparkSession, "found")
+        found.write.parquet(path)
+        return found.sparkSession.read.schema(found.schema).parquet(path)
+    except (PySparkException, Py4JJavaError, FileNotFoundError) as fault:
+        warnings.warn(f"a search was left out: {str(fault)[:200]}", stacklevel=2)
         return None
 
 

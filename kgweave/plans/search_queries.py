@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import WORD, normalize_text
 from ..functions.vectors import cosine
 from ..operators import retrieval, search, tabular
+from ..operators.text_index import Index
 from ..operators.vector_index import VectorIndex
 from ..session import shared_path
 from .catalogue import query, table
@@ -84,6 +85,34 @@ def bm25_topk(spark, d):
     return search.top_k(keywords(spark, d), [F.desc("score"), F.col("key")], 20).select(F.col("key").alias("doc_id"), "score")
 
 
+def text_index(spark, d):
+    """The full-text index of all documents, built for the query."""
+    return Index(spark, shared_path(spark, "texts")).build(table(spark, d, "documents"), "doc_id", F.col("text"))
+
+
+STORED = BM25.replace("'[a-z]+'", "'[a-z0-9]+'")
+
+
+@query(f"WITH {STORED} SELECT doc_id, score FROM b ORDER BY score DESC, doc_id LIMIT 20")
+def text_index_topk(spark, d):
+    """The best documents by the stored index, which skips blocks that can't hold one."""
+    return text_index(spark, d).search(" ".join(TERMS), digits=6, k=20).select(F.col("key").alias("doc_id"), "score")
+
+
+@query(f"WITH {STORED} SELECT sum(df)::BIGINT AS n_postings, true AS fewer FROM f")
+def text_index_reads(spark, d):
+    """How many postings the query's tokens have, and that the search above reads fewer."""
+    return text_index(spark, d).reads(" ".join(TERMS), 20, digits=6).select("n_postings", (F.col("n_read") < F.col("n_postings")).alias("fewer"))
+
+
+@query("""WITH t AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS token FROM documents) SELECT doc_id, count(*) AS n_tokens FROM t WHERE contains(token, 'tion') GROUP BY doc_id""")
+def wildcard_index(spark, d):
+    """Documents with tokens that have a string in them, and how many: the tokens by the dictionary of substrings."""
+    index = text_index(spark, d)
+    found = index.wildcard("Tion ").join(index.read("postings").join(index.tokens_with("tion"), "token", "left_semi"), "key")
+    return found.groupBy(F.col("key").alias("doc_id")).agg(F.count("*").alias("n_tokens"))
+
+
 @query("SELECT token, count(*) AS df, sum(tf)::BIGINT AS cf FROM (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token FROM documents) GROUP BY ALL) GROUP BY token")
 def postings_statistics(spark, d):
     p = search.postings(table(spark, d, "documents"), "doc_id", words())

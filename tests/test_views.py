@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from kgweave import plugins
 from kgweave.functions import standards
-from kgweave.operators import chunking, graph, linking, outline, retrieval, search, tabular, views
+from kgweave.operators import chunking, graph, linking, outline, retrieval, search, tabular, text_index, views
 from kgweave.sources import readers, writers
 from kgweave.streaming import state
 
@@ -68,7 +68,7 @@ def test_blank_searches_find_nothing(spark):
 
 def test_stored_index(spark, tmp_path):
     docs = spark.createDataFrame([(1, "消防车道 width", "g"), (2, "水泵 width width", "g"), (3, "消防 pump", "h"), (4, None, "g")], "key long, text string, scope string")
-    index = search.Index(spark, f"file://{tmp_path}/clauses").build(docs, "key", F.col("text"), F.col("scope"))
+    index = text_index.Index(spark, f"file://{tmp_path}/clauses").build(docs, "key", F.col("text"), F.col("scope"))
     from kgweave.functions.text import tokens
 
     plain = {r["key"]: r["score"] for r in search.bm25(docs.where("scope = 'g'"), "key", tokens(F.coalesce("text", F.lit(""))), ["消防", "width"]).collect()}
@@ -77,8 +77,8 @@ def test_stored_index(spark, tmp_path):
     assert rows(index.wildcard("防车", "g")) == [(1, 1.0)]
     plan = index.search("width", "g")._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
     assert "PushedFilters" in plan and "token" in plan
-    assert sorted(r["scope"] for r in search.indexes(spark, f"file://{tmp_path}").collect()) == ["g", "h"]
-    assert search.degraded(search.Index(spark, f"file://{tmp_path}/none").search, "x") is None
+    assert sorted(r["scope"] for r in text_index.indexes(spark, f"file://{tmp_path}").collect()) == ["g", "h"]
+    assert search.degraded(text_index.Index(spark, f"file://{tmp_path}/none").search, "x") is None
 
 
 def test_graphs_are_created_and_changed(spark):
