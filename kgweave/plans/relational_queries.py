@@ -153,6 +153,23 @@ def upsert_merge(spark, d):
     return tabular.upsert(old, new, ["c_custkey"], {"c_acctbal": "overwrite", "c_mktsegment": "keep_first"})
 
 
+@query("""WITH n AS (SELECT o_orderkey * 3 AS o_orderkey, 'new' AS o_orderstatus, NULL AS o_totalprice FROM orders WHERE o_custkey % 4 = 0), m AS (
+SELECT coalesce(o.o_orderkey, n.o_orderkey) AS o_orderkey, coalesce(n.o_orderstatus, o.o_orderstatus) AS o_orderstatus, o.o_totalprice FROM orders o FULL JOIN n ON o.o_orderkey = n.o_orderkey)
+SELECT o_orderkey, o_orderstatus, o_totalprice FROM m WHERE o_orderkey % 11 <> 5""")
+def merged_table(spark, d):
+    """A stored table of orders after a merge and a delete, each of which writes the buckets it touches."""
+    from ..session import shared_path
+    from ..sources.versioned import Versioned
+
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    stored = Versioned(spark, shared_path(spark, "orders"))
+    stored.replace(o, ["o_orderkey"])
+    new = table(spark, d, "orders").where("o_custkey % 4 = 0").select((F.col("o_orderkey") * 3).alias("o_orderkey"), F.lit("new").alias("o_orderstatus"), F.lit(None).cast("double").alias("o_totalprice"))
+    stored.upsert(new, ["o_orderkey"], {})
+    stored.delete(F.col("o_orderkey") % 11 == 5)
+    return stored.read()
+
+
 @query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment <> 'BUILDING'")
 def delete_tenant(spark, d):
     from ..operators.graph import delete_graph

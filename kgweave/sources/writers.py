@@ -1,65 +1,11 @@
-"""Sinks: versioned tables with an atomic pointer, appended logs, CSV and JSON exports, deletes."""
+"""Sinks: appended logs, CSV and JSON exports, deletes; versioned tables are in versioned.py."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return jvm, p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-class Versioned:
-    """A table as folders of Parquet and numbered pointers to them, on any Hadoop file system.
-
-    A write makes a new folder and then an empty pointer file whose name holds a number and the folder's; the largest is
-    the current one. So a reader sees the old rows or the new ones, and there is always a pointer. Of two writers that
-    take one number at once, the one whose pointer sorts last wins and the other raises."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def _pointers(self) -> list[str]:
-        _, p, fs = _fs(self.spark, f"{self.path}/CURRENT-*")
-        return sorted(s.getPath().getName() for s in fs.globStatus(p) or [])
-
-    def current(self) -> str | None:
-        found = self._pointers()
-        return found[-1].split("-", 2)[2] if found else None
-
-    def read(self) -> DataFrame | None:
-        name = self.current()
-        return None if name is None else self.spark.read.parquet(f"{self.path}/{name}")
-
-    def replace(self, df: DataFrame, partition_by: list[str] | None = None) -> None:
-        name = f"v-{uuid.uuid4().hex}"
-        writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-        writer.parquet(f"{self.path}/{name}")
-        before = self._pointers()
-        number = int(before[-1].split("-", 2)[1]) + 1 if before else 1
-        _, pointer, fs = _fs(self.spark, f"{self.path}/CURRENT-{number:012d}-{name}")
-        fs.create(pointer, False).close()
-        after = self._pointers()
-        if after[-1] != pointer.getName() and int(after[-1].split("-", 2)[1]) == number:
-            raise OSError(f"another writer replaced {self.path} at once")
-        for old in before[:-1]:  # the one before stays for readers that have just looked
-            fs.delete(_fs(self.spark, f"{self.path}/{old}")[1], False)
-
-    def upsert(self, new: DataFrame, keys: list[str], policy: dict[str, str]) -> None:
-        from ..operators.tabular import upsert
-
-        old = self.read()
-        self.replace(new if old is None else upsert(old, new, keys, policy))
-
-    def delete(self, condition) -> None:
-        self.replace(self.read().where(~F.coalesce(condition, F.lit(False))))
-
-
 def append_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..sources.versioned import Versioned
 from . import state
 
 EVENTS = "task_id STRING, ts TIMESTAMP, status STRING, progress INT, message STRING, log STRING, error STRING"
@@ -28,15 +29,16 @@ def ingest_clauses(stream: DataFrame, checkpoint: str, graph: str, nodes, edges)
     """Builds the graph of each batch of clauses and merges it into versioned node and edge tables.
 
     A batch that is handled twice changes nothing, as ids are made from contents and merges are idempotent."""
-    from ..operators.graph import build_document_graph
+    return run_available(stream, checkpoint, lambda batch, _: merge_clauses(batch, graph, nodes, edges))
+
 
-    def sink(batch: DataFrame, _: int) -> None:
-        n, e = build_document_graph(batch, graph)
-        nodes.upsert(n, ["graph_id", "uuid", "label"], {"summary": "prefer_new", "name": "keep_nonempty"})
-        old = edges.read()
-        edges.replace(e if old is None else old.unionByName(e).distinct())
+def merge_clauses(clauses: DataFrame, graph: str, nodes: Versioned, edges: Versioned) -> None:
+    """Nodes and edges of clauses, merged into the buckets of the tables that have their keys."""
+    from ..operators.graph import build_document_graph
 
-    return run_available(stream, checkpoint, sink)
+    n, e = build_document_graph(clauses, graph)
+    nodes.upsert(n, ["graph_id", "uuid", "label"], {"summary": "prefer_new", "name": "keep_nonempty"})
+    edges.upsert(e, ["graph_id", "src", "rel", "dst"], {})
 
 
 def hourly(stream: DataFrame, late: str = "1 hour") -> DataFrame:

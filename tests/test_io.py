@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from kgweave.operators.graph import build_document_graph
-from kgweave.sources import readers, writers
+from kgweave.sources import readers, versioned, writers
 from kgweave.streaming import pipelines, state
 from tests.test_operators import CLAUSES, clauses
 
@@ -46,7 +46,7 @@ def test_texts_in_unknown_encodings(spark, tmp_path):
 
 
 def test_versioned_table(spark, tmp_path):
-    t = writers.Versioned(spark, f"file://{tmp_path}/t")
+    t = versioned.Versioned(spark, f"file://{tmp_path}/t")
     assert t.read() is None
     t.replace(spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"))
     t.upsert(spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string"), ["k"], {"v": "overwrite"})
@@ -72,11 +72,14 @@ def test_stream_windows_equal_batch(spark, tmp_path):
 
 def test_stream_ingest_is_idempotent(spark, tmp_path):
     clauses(spark).write.json(str(tmp_path / "in"))
-    nodes, edges = (writers.Versioned(spark, f"file://{tmp_path}/{n}") for n in ("nodes", "edges"))
+    nodes, edges = (versioned.Versioned(spark, f"file://{tmp_path}/{n}") for n in ("nodes", "edges"))
     for k in range(2):  # the second run handles the same files again, under another checkpoint
         stream = pipelines.source(spark, str(tmp_path / "in"), CLAUSES)
         pipelines.ingest_clauses(stream, str(tmp_path / f"cp{k}"), "g", nodes, edges).awaitTermination()
     n, e = build_document_graph(clauses(spark), "g")
+    kept = edges._latest()[1]["folders"]
+    pipelines.merge_clauses(clauses(spark).limit(1), "g", nodes, edges)
+    assert sum(kept.get(b) != f for b, f in edges._latest()[1]["folders"].items()) < len(kept)  # touched buckets only
     assert nodes.read().count() == n.count() and edges.read().count() == e.count()
 
 
