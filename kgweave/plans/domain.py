@@ -53,6 +53,19 @@ WHEN 4 THEN CAST(o_custkey % 9 + 1 AS STRING) || '.' || CAST(o_custkey % 5 AS ST
 WHEN 5 THEN CAST(o_custkey % 9 + 1 AS STRING) || '.' || CAST(o_custkey % 5 AS STRING) || '.9 必须 ' || o_orderpriority WHEN 6 THEN '表 ' || CAST(o_custkey % 9 + 1 AS STRING) || '.' || CAST(o_custkey % 6 AS STRING) || ' sizes'
 ELSE 'text of ' || o_orderpriority || ' see 3.2.' || CAST(o_custkey % 7 AS STRING) END AS content,
 CAST(o_orderkey % 90 AS DOUBLE) AS x0, CAST(o_custkey % 80 AS DOUBLE) AS y0, CAST(o_orderkey % 90 + o_custkey % 40 AS DOUBLE) AS x1, CAST(o_custkey % 80 + o_orderkey % 30 AS DOUBLE) AS y1 FROM {orders}""",
+    ),
+    # documents of four kinds: numbered, with titles that aren't, without titles, with chapters alone
+    "blocks": (
+        ["orders"],
+        """SELECT source, chunk_seq, 'chunk_' || CAST(chunk_seq AS STRING) AS chunk_id, CAST(chunk_seq % 50 AS INT) AS page_idx, mode,
+CASE WHEN k = 5 THEN 'table' WHEN k = 7 THEN 'image' WHEN mode <> 2 AND k IN (0, 2) OR mode < 2 AND k = 1 THEN 'title' ELSE 'text' END AS type,
+CASE WHEN k = 6 THEN ' ' WHEN k = 5 THEN 'Table of ' || word WHEN mode IN (0, 3) AND k = 0 THEN a || ' Chapter ' || word WHEN mode = 0 AND k = 1 THEN a || '.' || b || ' Section ' || word
+WHEN mode < 2 AND k = 2 AND chunk_seq % 2 = 0 THEN '附录' || CASE WHEN chunk_seq % 4 = 0 THEN 'A' ELSE 'B' END || ' ' || word WHEN mode < 2 AND k = 4 THEN 'A.0.' || b || ' of ' || word
+WHEN mode = 0 AND k = 3 THEN a || '.' || b || '.' || c || ' 必须 ' || word WHEN mode = 0 AND k = 8 THEN a || '.' || b || '.' || c || '.1 宜 ' || word
+ELSE word || chr(10) || 'line ' || CAST(chunk_seq AS STRING) END AS content, CASE WHEN k = 5 AND chunk_seq % 2 = 0 THEN '<t>' || word || '</t>' END AS table_content,
+CAST(chunk_seq % 90 AS DOUBLE) AS x0, CAST(chunk_seq % 80 AS DOUBLE) AS y0, CAST(chunk_seq % 90 + 10 AS DOUBLE) AS x1, CAST(chunk_seq % 80 + chunk_seq % 30 AS DOUBLE) AS y1
+FROM (SELECT 'doc' || CAST(o_custkey % 20 AS STRING) AS source, o_custkey % 20 % 4 AS mode, o_orderkey AS chunk_seq, o_orderkey % 11 AS k, 'as ' || o_orderpriority AS word,
+CAST(o_custkey % 9 + 1 AS STRING) AS a, CAST(o_custkey % 5 AS STRING) AS b, CAST(o_orderkey % 7 AS STRING) AS c FROM {orders}) AS o""",
     ),
     "clauses": (
         ["part"],
@@ -104,6 +117,10 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return make(spark, sf_dir, "chunks").withColumn("bbox", F.array("x0", "y0", "x1", "y1"))
 
 
+def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return make(spark, sf_dir, "blocks").withColumn("bbox", F.array("x0", "y0", "x1", "y1"))
+
+
 def apps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apps with their settings; in SQL: the lists [p1, p2] (none where lists_none) and [g1]."""
     a = make(spark, sf_dir, "apps")

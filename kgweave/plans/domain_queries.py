@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import standards
 from ..functions import text as tx
-from ..operators import chunking, graph, linking, outline, records, retrieval, search, tabular, views
+from ..operators import chunking, graph, linking, outline, records, retrieval, search, segmentation, tabular, views
 from ..streaming import state
 from . import domain
 from .catalogue import query, table
@@ -354,6 +354,68 @@ def segmented_chunks(spark, d):
     return chunking.segment(domain.chunks(spark, d)).select("chunk_seq", "chapter", "clause")
 
 
+def placed_blocks(spark, d):
+    """The blocks of all four kinds of documents, segmented: those of the second kind at their titles."""
+    b = domain.blocks(spark, d)
+    plan = b.select("source", "mode").distinct().select("source", F.lit(1).alias("chapter_depth"), F.lit(2).alias("container_depth"), (F.col("mode") == 1).alias("title_mode"))
+    return segmentation.blocks(b.drop("mode"), plan)
+
+
+PLACED = f"""{cte("blocks")}, b0 AS (SELECT *, trim(content) AS t, type = 'title' AS is_title, mode = 1 AS by_titles, regexp_extract(trim(content), '^(\\d+(?:\\.\\d+)*) ', 1) AS number, regexp_extract(trim(content), '^附录([A-Z]) ', 1) AS letter,
+regexp_extract(trim(content), '^([A-Z]\\.\\d+\\.\\d+) ', 1) AS listed FROM blocks),
+b1 AS (SELECT *, CASE WHEN number <> '' THEN len(string_split(number, '.')) ELSE 0 END AS depth FROM b0),
+b2 AS (SELECT *, CASE WHEN t = '' THEN NULL WHEN is_title AND (letter <> '' OR (NOT by_titles AND depth = 1)) THEN 'chapter' WHEN is_title AND (by_titles OR depth = 2) THEN 'container'
+WHEN (NOT by_titles AND depth >= 2) OR listed <> '' OR (by_titles AND type = 'text') THEN 'clause' ELSE 'content' END AS role FROM b1),
+b3 AS (SELECT *, count(*) FILTER (WHERE role = 'chapter') OVER w + CASE WHEN by_titles THEN 1 ELSE 0 END AS chapter_ord, count(*) FILTER (WHERE role IN ('container', 'clause')) OVER w AS made,
+last_value(CASE WHEN role = 'chapter' THEN CASE WHEN letter <> '' THEN '附录' || letter ELSE number END END IGNORE NULLS) OVER w AS named FROM b2 WINDOW w AS (PARTITION BY source ORDER BY chunk_seq)),
+b4 AS (SELECT *, CASE WHEN chapter_ord > 0 THEN coalesce(named, '1') END AS chapter FROM b3),
+b5 AS (SELECT *, nullif(last_value(CASE role WHEN 'chapter' THEN '' WHEN 'container' THEN CASE WHEN by_titles THEN 'container-' || made ELSE number END WHEN 'clause' THEN CASE WHEN NOT by_titles AND depth >= 2 THEN number WHEN listed <> '' THEN listed ELSE chapter || '-' || made END END IGNORE NULLS) OVER w, '') AS clause,
+nullif(last_value(CASE WHEN role = 'chapter' THEN '' WHEN role = 'container' AND NOT by_titles THEN number END IGNORE NULLS) OVER w, '') AS held FROM b4 WINDOW w AS (PARTITION BY source ORDER BY chunk_seq)),
+b6 AS (SELECT *, CASE WHEN chapter_ord > 0 THEN role END AS its_role, CASE WHEN chapter_ord > 0 AND role IS NOT NULL THEN clause END AS clause_id, CASE WHEN chapter_ord > 0 AND role IS NOT NULL THEN held END AS container FROM b5),
+c0 AS (SELECT source, chapter_ord, min(chapter) AS chapter, min(chunk_seq) AS start_seq, max(chunk_seq) FILTER (WHERE t <> '') AS end_seq, count(*) FILTER (WHERE its_role IN ('container', 'clause')) AS n_clauses FROM b6 WHERE chapter_ord > 0 GROUP BY ALL),
+c1 AS (SELECT * FROM c0 UNION ALL SELECT source, 0, '1', min(chunk_seq), max(chunk_seq), 0 FROM b6 GROUP BY source HAVING max(chapter_ord) = 0)"""
+
+
+@query(f"WITH {PLACED} SELECT chunk_seq, its_role AS role, chapter_ord::INTEGER AS chapter_ord, chapter, container, clause_id FROM b6")
+def segmented_blocks(spark, d):
+    """Chapter, container and clause of each block: numbered titles, titles alone, none, and appendices."""
+    return placed_blocks(spark, d).select("chunk_seq", "role", "chapter_ord", "chapter", "container", "clause_id")
+
+
+@query(f"WITH {PLACED} SELECT source, chapter, start_seq, end_seq, n_clauses FROM c1 QUALIFY row_number() OVER (PARTITION BY source, chapter ORDER BY chapter_ord DESC) = 1")
+def chapter_sections(spark, d):
+    """Chapters, the virtual one of documents without any among them; of repeated ones the last."""
+    found = segmentation.last_sections(segmentation.sections(placed_blocks(spark, d)))
+    return found.select("source", "chapter", "start_seq", "end_seq", "n_clauses")
+
+
+@query(f"""WITH {PLACED}, m0 AS (SELECT b6.*, c1.chapter || '-content' AS filled, c1.start_seq FROM b6 LEFT JOIN c1 ON b6.source = c1.source AND b6.chapter_ord = c1.chapter_ord AND n_clauses = 0 AND chunk_seq > start_seq AND chunk_seq <= end_seq),
+f AS (SELECT source, filled, start_seq, min(page_idx) AS page_idx, chapter_ord FROM m0 WHERE filled IS NOT NULL AND t <> '' AND NOT is_title GROUP BY ALL),
+m1 AS (SELECT m0.*, coalesce(clause_id, f.filled, CASE WHEN NOT (by_titles AND coalesce(named, '') = '') AND depth >= 2 THEN number WHEN NOT (by_titles AND coalesce(named, '') = '') AND listed <> '' THEN listed END) AS member_of,
+CASE WHEN type = 'table' AND table_content IS NOT NULL THEN t || chr(10) || table_content ELSE t END AS body FROM m0 LEFT JOIN f ON m0.source = f.source AND m0.chapter_ord = f.chapter_ord AND m0.filled = f.filled),
+x AS (SELECT *, first_value(chunk_seq) OVER v AS head_seq, first_value(split_part(body, chr(10), 1)) OVER v AS head FROM m1 WHERE member_of IS NOT NULL AND body <> '' WINDOW v AS (PARTITION BY source, member_of ORDER BY chunk_seq)),
+y AS (SELECT source, member_of, string_agg(CASE WHEN chunk_seq <> head_seq AND split_part(body, chr(10), 1) = head THEN nullif(trim(substr(body, len(head) + 2)), '') ELSE body END, chr(10) ORDER BY chunk_seq) AS content FROM x GROUP BY ALL),
+n AS (SELECT source, member_of, count(*) AS n_chunks, count(DISTINCT page_idx) AS n_boxes FROM m1 WHERE member_of IS NOT NULL GROUP BY ALL),
+e AS (SELECT source, chunk_seq AS seq, clause_id, chapter, CASE WHEN its_role = 'clause' THEN container END AS container, page_idx, CASE WHEN regexp_matches(t, '应|必须|严禁|不得') THEN 'mandatory' ELSE 'recommended' END AS requirement FROM b6 WHERE its_role IN ('container', 'clause')
+UNION ALL SELECT source, start_seq, filled, split_part(filled, '-', 1), NULL, page_idx, 'recommended' FROM f)
+SELECT e.source, seq, clause_id, chapter, container, page_idx, requirement, md5(content) AS content, n_chunks::INTEGER AS n_chunks, n_boxes::INTEGER AS n_boxes FROM e JOIN y ON y.source = e.source AND y.member_of = clause_id JOIN n ON n.source = e.source AND n.member_of = clause_id""")
+def segmented_clauses(spark, d):
+    """Containers, clauses and chapters without them, with the text, blocks and pages of each."""
+    c = segmentation.clauses(placed_blocks(spark, d))
+    return c.select("source", "seq", "clause_id", "chapter", "container", "page_idx", "requirement", F.md5("content").alias("content"), F.size("chunks").alias("n_chunks"), F.size("boxes").alias("n_boxes"))
+
+
+@query(f"""WITH {PLACED}, k AS (SELECT source, chunk_seq, page_idx, y0, y1, is_title, t, nullif(regexp_extract(t, '^(\\d+)(?: |$)', 1), '') AS n0, nullif(regexp_extract(t, '^(\\d+\\.\\d+)(?: |$)', 1), '') AS n1, nullif(regexp_extract(t, '^(\\d+\\.\\d+\\.\\d+)(?: |$)', 1), '') AS n2 FROM b0),
+s AS (SELECT source, count(*) FILTER (WHERE is_title AND t <> '') AS titles, count(DISTINCT n0) AS a0, count(DISTINCT n0) FILTER (WHERE is_title) AS t0, count(DISTINCT n1) AS a1, count(DISTINCT n1) FILTER (WHERE is_title) AS t1, count(DISTINCT n2) AS a2 FROM k GROUP BY source),
+l AS (SELECT source, page_idx, y0, y1, last_value(n1 IGNORE NULLS) OVER (PARTITION BY source ORDER BY chunk_seq) AS container FROM k), g AS (SELECT source, container, page_idx, least((max(y1) - min(y0)) / 841, 1.0) AS share FROM l WHERE container IS NOT NULL GROUP BY ALL),
+r AS (SELECT source, avg(share) AS share FROM g GROUP BY source)
+SELECT source, CASE WHEN t0 >= 3 OR (a0 >= 5 AND t0 >= 1) THEN 1 ELSE 2 END AS chapter_depth, CASE WHEN t0 >= 3 OR (a0 >= 5 AND t0 >= 1) THEN 2 ELSE 3 END AS container_depth,
+NOT (t0 >= 3 OR (a0 >= 5 AND t0 >= 1)) OR (a2 < 3 AND titles >= 3 AND t0 + t1 < 3) AS title_mode, CASE WHEN t0 >= 3 OR (a0 >= 5 AND t0 >= 1) THEN coalesce(round(share, 2), 1.0) ELSE 1.0 END AS avg_ratio FROM s LEFT JOIN r USING (source)""")
+def anchor_plans(spark, d):
+    """How each document is to be cut, by its numbers, its titles and the share of a page that containers take."""
+    return segmentation.anchor_plan(domain.blocks(spark, d).withColumn("page_height", F.lit(None).cast("double")))
+
+
 @query(f"""WITH {SEGMENTS}, p AS (SELECT source, chapter, clause, page_idx, min(x0) AS x0, min(least(y0, y1)) AS y0, max(x1) AS x1, max(greatest(y0, y1)) AS y1 FROM s3 WHERE clause IS NOT NULL GROUP BY ALL)
 SELECT source, chapter, clause, count(*) AS n_boxes, sum(x0 + 2 * y0 + 3 * x1 + 4 * y1) AS mark FROM p GROUP BY ALL""")
 def clause_boxes(spark, d):
