@@ -124,23 +124,82 @@ def split_texts(df: DataFrame, key: str, text: str, size: int = 500, overlap: in
     return df.select(key, text).mapInPandas(shipped(run), schema)
 
 
-def capacity_batches(df: DataFrame, keys: list[str], order: str, chars: str, rows: int = 8, most: int = 8000, alone: int = 1500) -> DataFrame:
-    """Numbers batches of neighbours: so many rows and characters at most; longer rows than `alone` by themselves."""
-    schema = T.StructType([*df.schema.fields, T.StructField("batch", T.IntegerType())])
+#: Rows of a tile, in which batches are followed at once.
+TILE = 16_384
+
+
+def _steps(sizes: list[int], rows: int, most: int, alone: int) -> list[int]:
+    """For each row how many rows a batch that it begins has."""
+    out = []
+    for i, size in enumerate(sizes):
+        n, total = 1, size
+        if size <= alone:
+            for other in sizes[i + 1 : i + rows]:
+                if other > alone or total + other > most:
+                    break
+                n, total = n + 1, total + other
+        out.append(n)
+    return out
 
-    def run(pdf):
-        pdf = pdf.sort_values(order)
-        batch, n, total, out = -1, rows, 0, []
-        last_alone = True
-        for size in pdf[chars]:
-            single = size > alone
-            if single or last_alone or n >= rows or total + size > most:
-                batch, n, total = batch + 1, 0, 0
-            out.append(batch)
-            n, total, last_alone = n + 1, total + size, single
-        return pdf.assign(batch=out)
-
-    return df.groupBy(*keys).applyInPandas(shipped(run), schema)
+
+def capacity_batches(df: DataFrame, keys: list[str], order: str, chars: str, rows: int = 8, most: int = 8000, alone: int = 1500, tile: int = TILE) -> DataFrame:
+    """Numbers batches of neighbours: so many rows and characters at most; longer rows than `alone` by themselves. Null sizes
+    are 0; order tells the rows of a group apart.
+
+    Where a batch ends depends on where it begins, but a row within `rows` of any place begins one. So a group is cut into
+    tiles of neighbours, each with the first rows of the next; a tile alone tells for each of its first rows, if a batch
+    begins there, where the first one of the next tile begins and how many there are; one row a tile composes that along
+    the group; and each tile, with its first batch known, numbers its rows."""
+    from .ordered import numbered
+
+    laid = numbered(df, keys, [order], "__place").withColumn("__place", F.col("__place") - 1).withColumn("__tile", F.floor(F.col("__place") / tile)).withColumn("__size", F.coalesce(F.col(chars), F.lit(0)).cast("long"))
+    narrow = laid.select(*keys, "__tile", "__place", "__size")
+    halo = narrow.where((F.col("__place") % tile < rows - 1) & (F.col("__tile") > 0)).withColumn("__tile", F.col("__tile") - 1)
+    both = narrow.withColumn("own", F.lit(True)).unionByName(halo.withColumn("own", F.lit(False)))
+    key_fields = [df.schema[k] for k in keys]
+
+    def each(pdf):
+        pdf = pdf.sort_values("__place")
+        own = int(pdf["own"].sum())
+        steps = _steps(pdf["__size"].tolist(), rows, most, alone)[:own]
+        ends, counts = [], []
+        for at in range(rows):
+            n = 0
+            while at < own:
+                at, n = at + steps[at], n + 1
+            ends.append(at - own)
+            counts.append(n)
+        return pdf.head(1)[[*keys, "__tile"]].assign(ends=[ends], counts=[counts])
+
+    schema = T.StructType([*key_fields, T.StructField("__tile", T.LongType()), T.StructField("ends", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.IntegerType()))])
+    maps = both.groupBy(*keys, "__tile").applyInPandas(shipped(each), schema)
+
+    def composed(pdf):
+        pdf, at, n, firsts, numbers = pdf.sort_values("__tile"), 0, 0, [], []
+        for ends, counts in zip(pdf["ends"], pdf["counts"], strict=True):
+            firsts.append(at)
+            numbers.append(n)
+            at, n = int(ends[at]), n + int(counts[at])
+        return pdf[[*keys, "__tile"]].assign(first=firsts, number=numbers)
+
+    begins = maps.groupBy(*keys).applyInPandas(shipped(composed), T.StructType([*key_fields, T.StructField("__tile", T.LongType()), T.StructField("first", T.IntegerType()), T.StructField("number", T.LongType())]))
+    same = [both[k].eqNullSafe(begins[k]) for k in keys]
+    told = both.join(begins, [both["__tile"] == begins["__tile"], *same]).select(*[both[k] for k in keys], both["__tile"], "__place", "__size", "own", "first", "number")
+
+    def marked(pdf):
+        pdf = pdf.sort_values("__place")
+        own, at, n = int(pdf["own"].sum()), int(pdf["first"].iloc[0]), int(pdf["number"].iloc[0])
+        steps = _steps(pdf["__size"].tolist(), rows, most, alone)[:own]
+        out = [n - 1] * own  # before the first begin: the batch of the tile before
+        while at < own:
+            for k in range(at, min(at + steps[at], own)):
+                out[k] = n
+            at, n = at + steps[at], n + 1
+        return pdf.head(own)[[*keys, "__place"]].assign(batch=out)
+
+    numbers = told.groupBy(*keys, "__tile").applyInPandas(shipped(marked), T.StructType([*key_fields, T.StructField("__place", T.LongType()), T.StructField("batch", T.IntegerType())]))
+    same = [laid[k].eqNullSafe(numbers[k]) for k in keys]
+    return laid.join(numbers, [laid["__place"] == numbers["__place"], *same]).select(*[laid[c] for c in df.columns], "batch")
 
 
 def semantic_chunks(df: DataFrame, keys: list[str], order: str, sentence: str, vector: str, size: int = 500) -> DataFrame:

@@ -67,12 +67,12 @@ def fact_location(facts: DataFrame) -> DataFrame:
     return facts.withColumn("page", F.coalesce(F.get(box, 0).cast("int"), F.col("root_page"))).withColumn("box", F.when(box.isNotNull(), F.slice(box, 2, 4)))
 
 
-def coarse_score(name: str, query: str, n_facts: str) -> Column:
-    """Name match 50 / 35 / 20 / 0, up to 30 for facts against the most of any row, and 20."""
+def coarse_scores(df: DataFrame, name: str, query: str, n_facts: str) -> DataFrame:
+    """df with score: name match 50 / 35 / 20 / 0, up to 30 for facts against the most of any row, and 20."""
     n, q = F.lower(F.trim(name)), F.lit(query.strip().lower())
     match = F.when(n == q, 50).when(F.contains(n, q), 35).when(F.contains(q, n), 20).otherwise(0)
-    most = F.max(n_facts).over(W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    return match + 30 * F.col(n_facts) / F.greatest(most, F.lit(1)) + 20
+    most = df.agg(F.greatest(F.max(n_facts), F.lit(1)).alias("_most"))  # one row
+    return df.crossJoin(F.broadcast(most)).withColumn("score", match + 30 * F.col(n_facts) / F.col("_most") + 20).drop("_most")
 
 
 def answer_lines(facts: DataFrame, order: str) -> DataFrame:

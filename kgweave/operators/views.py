@@ -150,10 +150,9 @@ def facts_by_source(facts: DataFrame, order: str) -> DataFrame:
     """source, facts (position from 0 and text, in order); facts without a source under Unknown.
 
     facts: a query's result, numbered over all of it."""
-    from pyspark.sql import Window as W
+    from .ordered import numbered
 
-    place = F.row_number().over(W.orderBy(order)) - 1
-    each = facts.select(F.coalesce(filled("source"), F.lit("Unknown")).alias("source"), F.struct(place.alias("place"), "fact").alias("f"))
+    each = numbered(facts, [], [order]).select(F.coalesce(filled("source"), F.lit("Unknown")).alias("source"), F.struct((F.col("place") - 1).alias("place"), "fact").alias("f"))
     return each.groupBy("source").agg(F.sort_array(F.collect_list("f")).alias("facts"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import edge_id, node_id, uuid_of
 from ..functions.text import natural_key, parent_id
-from ..operators import graph, retrieval
+from ..operators import graph, ordered, retrieval
 from .catalogue import query, table
 
 
@@ -134,11 +134,9 @@ def edges_touching_results(spark, d):
 SELECT label, row_number() OVER (ORDER BY CASE WHEN regexp_full_match(label, '[0-9]+') THEN 0 WHEN regexp_full_match(label, '[0-9]+(\\.[0-9]+)+') THEN 1 WHEN label LIKE 'Appendix %' THEN 3 ELSE 2 END,
 CASE WHEN regexp_full_match(label, '[0-9.]+') THEN list_transform(string_split(label, '.'), lambda x: x::BIGINT) ELSE [] END, label) AS place FROM k""")
 def natural_sort(spark, d):
-    from pyspark.sql import Window as W
-
     p = table(spark, d, "part")
     labels = p.select((F.col("p_size") % 12).cast("string").alias("label")).union(p.select(F.concat_ws(".", F.col("p_size") % 5, F.col("p_size") % 11))).union(p.select(F.concat(F.lit("Appendix "), F.char(65 + F.col("p_size") % 4)))).union(p.select("p_type")).distinct()
-    return labels.select("label", F.row_number().over(W.orderBy(natural_key(F.col("label")))).alias("place"))
+    return ordered.numbered(labels.withColumn("key", natural_key(F.col("label"))), [], ["key"]).select("label", "place")
 
 
 PATHS = """r AS (SELECT p_partkey AS root, p_name AS name, p_partkey % 2 AS type_ord, p_partkey AS root_ord FROM part),

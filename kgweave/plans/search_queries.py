@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import WORD, normalize_text
 from ..functions.vectors import cosine
-from ..operators import retrieval, search, tabular
+from ..operators import ordered, retrieval, search, tabular
 from ..operators.text_index import Index
 from ..operators.vector_index import VectorIndex
 from ..session import shared_path
@@ -180,17 +180,15 @@ def intent_match(spark, d):
 
 @query("""WITH l AS (SELECT vec_id, embedding::DOUBLE[] AS v, lag(embedding::DOUBLE[]) OVER (ORDER BY vec_id) AS p FROM embeddings) SELECT vec_id, round(coalesce(list_dot_product(v, p) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(p, p))), 0), 9) AS likeness FROM l""")
 def lag_similarity(spark, d):
-    from pyspark.sql import Window as W
-
-    w = W.orderBy("vec_id")
-    return table(spark, d, "embeddings").select("vec_id", F.round(cosine(F.col("embedding"), F.lag("embedding").over(w)), 9).alias("likeness"))
+    e = ordered.running(table(spark, d, "embeddings").select("vec_id", "embedding"), [], ["vec_id"], {"before": (ordered.LAG, F.col("embedding"))})
+    return e.select("vec_id", F.round(cosine(F.col("embedding"), F.col("before")), 9).alias("likeness"))
 
 
 @query("""WITH c AS (SELECT s_suppkey AS root, s_name AS name, count(*) AS n_facts FROM supplier JOIN lineitem ON l_suppkey = s_suppkey GROUP BY ALL)
 SELECT root, round(CASE WHEN lower(trim(name)) = 'supplier#000000001' THEN 50 WHEN contains(lower(trim(name)), 'supplier#000000001') THEN 35 WHEN contains('supplier#000000001', lower(trim(name))) THEN 20 ELSE 0 END + 30.0::DOUBLE * n_facts / max(n_facts) OVER () + 20, 6) AS score FROM c""")
 def coarse_rescore(spark, d):
     c = table(spark, d, "supplier").join(table(spark, d, "lineitem"), F.col("l_suppkey") == F.col("s_suppkey")).groupBy(F.col("s_suppkey").alias("root"), F.col("s_name").alias("name")).agg(F.count("*").alias("n_facts"))
-    return c.select("root", F.round(retrieval.coarse_score("name", "Supplier#000000001", "n_facts"), 6).alias("score"))
+    return retrieval.coarse_scores(c, "name", "Supplier#000000001", "n_facts").select("root", F.round("score", 6).alias("score"))
 
 
 @query("""WITH f AS (SELECT doc_id, lower(regexp_replace(regexp_replace(text, '[\\s\\x{00A0}\\x{0085}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{1680}\\x0B]+', '', 'g'), '[^\\p{L}\\p{N}\\p{M}_]', '', 'g')) AS t FROM documents) SELECT doc_id, md5(t) AS h FROM f""")

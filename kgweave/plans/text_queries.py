@@ -80,7 +80,11 @@ def split_windows(spark, d):
     return chunking.split_texts(table(spark, d, "documents"), "doc_id", "text")
 
 
-@query()
+@query("""WITH RECURSIVE r AS (SELECT source, doc_id, length(text) AS chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
+b AS (SELECT source, doc_id, chars, k, 0 AS batch, 1 AS n, chars AS total, chars > 1500 AS alone FROM r WHERE k = 1 UNION ALL
+SELECT source, doc_id, chars, k, CASE WHEN opens THEN batch + 1 ELSE batch END, CASE WHEN opens THEN 1 ELSE n + 1 END, CASE WHEN opens THEN chars ELSE total + chars END, chars > 1500
+FROM (SELECT r.source, r.doc_id, r.chars, r.k, batch, n, total, alone OR r.chars > 1500 OR n >= 8 OR total + r.chars > 8000 AS opens FROM b JOIN r ON r.source = b.source AND r.k = b.k + 1))
+SELECT doc_id, source, chars::INTEGER AS chars, batch FROM b""")
 def capacity_batches(spark, d):
     t = table(spark, d, "documents").select("doc_id", "source", F.length("text").alias("chars"))
     return chunking.capacity_batches(t, ["source"], "doc_id", "chars")

@@ -88,8 +88,8 @@ def next_runs(pipelines: DataFrame, at_once: int = RUNNING) -> DataFrame:
     so a restart finds it as it was."""
     from pyspark.sql import Window as W
 
-    place = F.row_number().over(W.orderBy("created_at", "pipeline_id"))
-    waiting = pipelines.where("status = 'pending'").select("pipeline_id", "created_at").withColumn("_place", place)
+    waiting = pipelines.where("status = 'pending'").select("pipeline_id", "created_at").orderBy("created_at", "pipeline_id").limit(at_once)
+    waiting = waiting.withColumn("_place", F.row_number().over(W.orderBy("created_at", "pipeline_id")))  # at_once rows
     free = pipelines.agg((F.lit(at_once) - F.count_if(F.col("status") == "running")).alias("_free"))  # one row
     return waiting.crossJoin(F.broadcast(free)).where("_place <= _free").select("pipeline_id")
 

@@ -170,6 +170,25 @@ def test_batches_by_capacity(spark):
     assert got == {0: 0, 1: 0, 2: 1, 3: 2, 4: 3, 5: 4, 6: 5}
 
 
+@pytest.mark.parametrize("tile", [8, 16, 4096])
+def test_batches_over_tiles(spark, tile):
+    import random
+
+    r = random.Random(tile)
+    rows = [(r.choice(["a", None, "hot", "hot"]), i, r.choice([None, 0, 10, 700, 1500, 1501, 4000])) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, i int, n int")
+    got = {r["i"]: r["batch"] for r in chunking.capacity_batches(df, ["k"], "i", "n", tile=tile).collect()}
+    want = {}
+    for key in ("a", None, "hot"):
+        batch, n, total, was_alone = -1, 0, 0, True
+        for _, i, size in [x for x in rows if x[0] == key]:
+            size = size or 0
+            if was_alone or size > 1500 or n == 8 or total + size > 8000:
+                batch, n, total = batch + 1, 0, 0
+            want[i], n, total, was_alone = batch, n + 1, total + size, size > 1500
+    assert got == want
+
+
 def test_text_inside_tables_goes(spark):
     t = spark.createDataFrame([("s", 0, 1, [0.0, 0.0, 2.0, 2.0]), ("s", 0, 2, [8.0, 8.0, 12.0, 12.0]), ("s", 1, 3, [0.0, 0.0, 2.0, 2.0])], "source string, page_idx int, id int, bbox array<double>")
     boxes = spark.createDataFrame([("s", 0, [0.0, 0.0, 5.0, 5.0])], "source string, page_idx int, bbox array<double>")
