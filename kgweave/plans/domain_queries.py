@@ -514,6 +514,27 @@ def state_then_changes(spark, d):
     return state.state_then_changes(e, ["user_id"], "event_id", ["status"], 500)
 
 
+@query("""WITH s AS (SELECT user_id, arg_max(event_type, event_id) AS status, 'full' AS kind, max(event_id) AS event_id FROM events WHERE event_id <= 500 GROUP BY user_id), c AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events)
+SELECT * FROM s UNION ALL SELECT user_id, event_type, 'change', event_id FROM c WHERE event_id > 500 AND (p IS NULL OR p <> event_type)""")
+def live_events(spark, d):
+    """What a stream with state tells who subscribes after event 500, through two restarts on one checkpoint: events come as
+    files, a third of them before each start."""
+    from datetime import datetime, timezone
+
+    from ..session import shared_path
+    from ..streaming import live, pipelines
+
+    e, at = table(spark, d, "events"), shared_path(spark, "live")
+    rows = e.select(F.col("user_id").cast("string").alias("task_id"), F.timestamp_seconds("event_id").alias("ts"), F.col("event_id").cast("long").alias("seq"), F.col("event_type").alias("status"), F.lit(None).cast("int").alias("progress"), F.lit(None).cast("string").alias("message"), F.lit(None).cast("string").alias("log"))
+    third = (e.agg(F.max("event_id")).first()[0] or 0) // 3 + 1
+    for k in range(3):
+        rows.where(F.floor(F.col("seq") / third) == k).write.mode("append").parquet(f"{at}/in")
+        stream = pipelines.source(spark, f"{at}/in", rows.schema, "parquet")
+        live.run_live(spark, live.live_tasks(stream, datetime.fromtimestamp(500, timezone.utc), alive=1 << 40, forgotten=1 << 40), f"{at}/out", f"{at}/checkpoint").awaitTermination()
+    out = spark.read.parquet(f"{at}/out")
+    return out.select(F.col("task_id").cast("long").alias("user_id"), "status", "kind", F.unix_timestamp("ts").alias("event_id"))
+
+
 @query(f"""WITH {cte("chunks")}, r AS (SELECT source, chunk_seq, row_number() OVER (PARTITION BY source ORDER BY chunk_seq) - 1 AS k FROM chunks) SELECT source, chunk_seq, (k // 12)::BIGINT AS "window" FROM r WHERE k < 150 AND k // 12 > 1""")
 def resumed_windows(spark, d):
     return state.resume_windows(domain.chunks(spark, d).select("source", "chunk_seq"), "chunk_seq", done=1)
