@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 
 def of_graph(df: DataFrame, graph: str | None) -> DataFrame:
     return df if graph is None else df.where(F.col("graph_id") == graph)
@@ -75,7 +77,7 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int, either_way_first: boo
     """root, node, hops: nodes along outgoing edges within so many hops; each with its fewest. With either_way_first the
     first hop also goes against its edges, as entities are named by topics and name nothing themselves.
 
-    A loop of joins bounded by depth; each round expands only what the last one found first."""
+    A loop of joins bounded by depth; each round expands only what the last one found first, which is kept as a table."""
     seen = starts.select(F.col("root"), F.col("root").alias("node"), F.lit(0).alias("hops"))
     front = seen
     hop = edges.select(F.col("src").alias("node"), F.col("dst").alias("next"))
@@ -83,6 +85,7 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int, either_way_first: boo
     for k in range(1, depth + 1):
         found = front.join(either if either_way_first and k == 1 else hop, "node").select("root", F.col("next").alias("node")).distinct()
         front = found.join(seen, ["root", "node"], "left_anti").withColumn("hops", F.lit(k))
+        front = stored(front, "front") if k < depth else front
         seen = seen.unionByName(front)
     return seen.where("hops > 0")
 

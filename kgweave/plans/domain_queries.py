@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import standards
 from ..functions import text as tx
-from ..operators import chunking, graph, linking, outline, records, retrieval, search, segmentation, tabular, views
+from ..operators import chunking, graph, linking, ordered, outline, records, retrieval, search, segmentation, tabular, traversal, views
+from ..session import shared_path
 from ..streaming import state
 from . import domain
 from .catalogue import query, table
@@ -521,7 +522,6 @@ def live_events(spark, d):
     files, a third of them before each start."""
     from datetime import datetime, timezone
 
-    from ..session import shared_path
     from ..streaming import live, pipelines
 
     e, at = table(spark, d, "events"), shared_path(spark, "live")
@@ -578,6 +578,38 @@ SCOPED = f"""{CLAUSE_BM25}, k AS (SELECT key, score FROM b ORDER BY score DESC,
 r AS (SELECT key, 1.0::DOUBLE / (60 + row_number() OVER (ORDER BY score DESC, key)) AS part FROM v UNION ALL SELECT key, 2.0::DOUBLE / (60 + row_number() OVER (ORDER BY score DESC, key)) FROM k), s AS (SELECT key, round(sum(part), 12) AS rrf FROM r GROUP BY key ORDER BY rrf DESC, key LIMIT 10)"""
 
 
+FROM_ROOTS = f"""{cte("nodes", "edges")}, r AS (SELECT uuid AS root, row_number() OVER (ORDER BY uuid) AS ord FROM nodes WHERE label IN ('Entity', 'Term')), w AS (SELECT root, root AS node, 0 AS hops FROM r UNION SELECT w.root, dst, hops + 1 FROM w JOIN edges ON src = node WHERE hops < 2),
+v AS (SELECT root, node, min(hops) AS hops FROM w GROUP BY ALL), m AS (SELECT root, uuid, src, dst, rel, fact, hops FROM v JOIN edges ON src = node UNION ALL SELECT root, uuid, src, dst, rel, fact, 0 FROM r JOIN edges ON dst = root WHERE src <> dst),
+g AS (SELECT root, uuid, src, dst, rel, fact, min(hops) AS hops FROM m GROUP BY ALL)"""
+
+
+def around_roots(spark, d):
+    """Nodes, edges and roots of a search two hops around every entity and term, by stored adjacency lists."""
+    edges = domain.make(spark, d, "edges")
+    lists = traversal.Adjacency(spark, shared_path(spark, "lists")).build(edges.select("uuid", "src", "dst", "rel", "fact"))
+    roots = ordered.numbered(domain.nodes(spark, d).where(F.col("label").isin("Entity", "Term")).select(F.col("uuid").alias("root")), [], ["root"], "ord")
+    return *traversal.from_roots(lists, roots, 2), roots
+
+
+@query(f"WITH RECURSIVE {FROM_ROOTS} SELECT root, node, v.hops::INTEGER AS hops, name, label FROM v JOIN nodes ON uuid = node")
+def root_first_nodes(spark, d):
+    """Typed nodes around each root at their fewest hops."""
+    found, _, _ = around_roots(spark, d)
+    return traversal.typed(found, domain.nodes(spark, d)).select("root", "node", "hops", "name", F.element_at("labels", -1).alias("label"))
+
+
+@query(f"""WITH RECURSIVE {FROM_ROOTS}, t AS (SELECT g.*, ord, coalesce(fact, '') = '' AS worded, CASE WHEN coalesce(fact, '') <> '' THEN src ELSE dst END AS place FROM g JOIN r USING (root) WHERE coalesce(fact, '') <> '' OR (rel <> '' AND dst <> root)),
+x AS (SELECT t.*, CASE WHEN NOT worded THEN fact WHEN rel = 'MENTIONS' THEN '提及: ' || coalesce(n.name, '') WHEN rel = 'HAS_TOPIC' THEN '关联主题: ' || coalesce(n.name, '') ELSE '[' || rel || '] ' || coalesce(n.name, '') END AS text, n.data AS at_data, CASE WHEN worded THEN coalesce(n.summary, '') ELSE '' END AS original FROM t LEFT JOIN nodes n ON n.uuid = place),
+y AS (SELECT *, lower(regexp_replace(text, '[^\\p{{L}}\\p{{N}}_]', '', 'g')) AS same FROM x)
+SELECT text, root, y.uuid, rel, src, dst, hops::INTEGER AS hops, coalesce(at_data, rn.data, 'Graph') AS source, original FROM y LEFT JOIN nodes rn ON rn.uuid = root WHERE same <> '' QUALIFY row_number() OVER (PARTITION BY same ORDER BY ord, worded, hops, y.uuid, text) = 1""")
+def root_first_facts(spark, d):
+    """Facts around all roots, each once, with where they stand: told by edges, or edges put into words."""
+    _, edges, roots = around_roots(spark, d)
+    places = domain.nodes(spark, d).withColumns({"source": F.col("data"), "page": F.lit(None).cast("int"), "boxes": F.lit(None).cast("array<array<double>>")})
+    found = traversal.facts(edges, places, roots.withColumn("score", F.lit(1.0)))
+    return found.select("text", "root", "uuid", "rel", "src", "dst", "hops", "source", "original")
+
+
 @query(f"WITH {SCOPED} SELECT 'nodes' AS scope, key, rrf, round(rrf / max(rrf) OVER (), 12) AS score FROM s UNION ALL SELECT 'episodes', key, round(2.0::DOUBLE / (60 + row_number() OVER (ORDER BY score DESC, key)), 12), round(round(2.0::DOUBLE / (60 + row_number() OVER (ORDER BY score DESC, key)), 12) / round(2.0::DOUBLE / 61, 12), 12) FROM (SELECT * FROM k LIMIT 10)")
 def scoped_search(spark, d):
     """Nodes by vectors and words; episodes by words alone, as their vector index is absent; edges have neither index."""
