@@ -20,3 +20,32 @@ def centre_inside(box: Column, outer: Column) -> Column:
 def page_of(boxes: Column, fallback: Column) -> Column:
     """Page of the first annotation, else the 0-based fallback plus one."""
     return F.coalesce(F.get(F.get(boxes, 0), 0).cast("int"), fallback + 1)
+
+
+#: Height of a page, and how far above the middle line a line of the same page may begin.
+PAGE_HEIGHT, ABOVE = 841, 50
+
+
+def union_of(boxes: Column) -> Column:
+    """The box around all boxes of four numbers or more; null without one."""
+    whole = F.filter(boxes, lambda b: F.size(b) >= 4)
+    side = lambda f, i: f(F.transform(whole, lambda b: F.get(b, F.lit(i))))
+    return F.when(F.size(whole) > 0, F.array(side(F.array_min, 0), side(F.array_min, 1), side(F.array_max, 2), side(F.array_max, 3)))
+
+
+def lines_box(lines: Column, block: Column) -> Column:
+    """The box around a block's lines (array<struct<bbox, spans array<struct<cross_page>>>>) that are on its own page.
+
+    Lines with a span marked as of the next page don't count, unless all are. Without such marks a block whose own box is
+    no higher than a page counts whole; in a higher one lines that begin far above the middle one are on the next page.
+    Null without a line with a box."""
+    boxed = F.filter(lines, lambda l: F.size(l["bbox"]) >= 4)
+    crosses = lambda l: F.coalesce(F.exists(l["spans"], lambda s: F.coalesce(s["cross_page"], F.lit(False))), F.lit(False))
+    boxes = lambda rows: F.transform(rows, lambda l: l["bbox"])
+    here = F.filter(boxed, lambda l: ~crosses(l))
+    marked = F.exists(lines, crosses) & (F.size(here) > 0)
+    tops = F.array_sort(F.transform(boxed, lambda l: F.get(l["bbox"], F.lit(1))))
+    middle = F.get(tops, F.floor(F.size(tops) / 2).cast("int"))
+    low = F.filter(boxed, lambda l: F.get(l["bbox"], F.lit(1)) >= middle - ABOVE)
+    fits = (F.size(block) >= 4) & (F.get(block, F.lit(3)) - F.get(block, F.lit(1)) <= PAGE_HEIGHT)
+    return F.when(marked, union_of(boxes(here))).when(fits, union_of(boxes(boxed))).otherwise(union_of(boxes(low)))

@@ -100,6 +100,17 @@ def _far_ngrams(text: Column, width: int, step: int) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(step)), lambda i: F.substring(text, i + 1, F.lit(width)))).otherwise(F.array().cast("array<string>"))
 
 
+#: Longest substring of grams().
+GRAM = 3
+
+
+def grams(text: Column) -> Column:
+    """Distinct substrings of 1 to GRAM characters."""
+    n = F.length(text)
+    cut = lambda size: F.when(n >= size, F.transform(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(*[cut(size) for size in range(1, GRAM + 1)]))
+
+
 def truncate(text: Column, most: int) -> Column:
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("..."))).otherwise(text)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import ngrams
+from ..functions.text import grams, ngrams, strip
 from .tabular import keep_one
 
 DOTTED = r"(?U)\b(\d+(?:\.\d+)+)\b"
@@ -27,21 +27,28 @@ def backfill_pages(clauses: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def resolve_positions(clauses: DataFrame, chunks: DataFrame, least_ratio: float = 0.3, least_ngrams: int = 3) -> DataFrame:
-    """clause_id, chunk_seq, tier of each clause's chunk: a chunk that starts with its id (1); one that contains
-    its text, or is contained, by the longest share of at least least_ratio (2); one with the most shared
-    20-character n-grams, at least so many (3). Clauses that nothing fits are left out.
-
-    Chunks and clauses meet by id or by a shared n-gram, never all with all."""
-    c, k = clauses.select("clause_id", F.col("content").alias("clause_text")), chunks.select("chunk_seq", F.col("content").alias("chunk_text"))
-    number = F.regexp_extract(F.trim("chunk_text"), r"^(\d+(?:\.\d+)+)(?![\d.]*\d)", 1)
-    exact = k.withColumn("clause_id", number).join(c, "clause_id").select("clause_id", "chunk_seq", F.lit(1).alias("tier"), F.lit(1.0).alias("score"))
-    probe = c.select("clause_id", F.explode(F.array_distinct(ngrams(F.col("clause_text"), 20, 5))).alias("g"))
-    index = k.select("chunk_seq", F.explode(F.array_distinct(ngrams(F.col("chunk_text"), 20, 1))).alias("g"))
-    shared = probe.join(index, "g").groupBy("clause_id", "chunk_seq").agg(F.count("*").alias("n"))
-    both = shared.join(c, "clause_id").join(k, "chunk_seq")
-    inside = F.contains(F.col("chunk_text"), F.col("clause_text")) | F.contains(F.col("clause_text"), F.col("chunk_text"))
-    ratio = F.least(F.length("clause_text"), F.length("chunk_text")) / F.greatest(F.length("clause_text"), F.length("chunk_text"))
-    second = both.where(inside & (ratio >= least_ratio)).select("clause_id", "chunk_seq", F.lit(2).alias("tier"), ratio.alias("score"))
+    """clause_id, chunk_seq, tier of each clause's chunk: one that starts with its id, a title first (1); one of 10 characters
+    or more that contains its text, the shortest, if the text is at least least_ratio of it (2); one with the most shared
+    20-character n-grams, at least so many (3). Ties go to the first chunk. Clauses that nothing fits are left out.
+
+    clauses: clause_id, content. chunks: chunk_seq, content and perhaps type. Chunks and clauses meet by id, by the
+    clause's rarest piece of three characters (or by all of a shorter text), or by a shared n-gram: never all with all."""
+    title = F.coalesce(F.col("type") == "title", F.lit(False)) if "type" in chunks.columns else F.lit(False)
+    c, k = clauses.select("clause_id", strip(F.coalesce("content", F.lit(""))).alias("clause_text")), chunks.select("chunk_seq", title.alias("title"), strip(F.coalesce("content", F.lit(""))).alias("chunk_text"))
+    number = F.regexp_extract("chunk_text", r"^(\d+(?:\.\d+)+)(?![\d.]*\d)", 1)
+    exact = k.withColumn("clause_id", number).join(c, "clause_id").select("clause_id", "chunk_seq", F.lit(1).alias("tier"), F.col("title").cast("double").alias("score"))
+    long = k.where(F.length("chunk_text") >= 10)
+    pieces = long.select("chunk_seq", F.length("chunk_text").alias("n"), F.explode(grams(F.col("chunk_text"))).alias("gram"))
+    often = pieces.groupBy("gram").agg(F.count("*").alias("df"))
+    # a piece that no chunk has drops its clause: the outer join keeps it, as the rarest
+    own = c.where("clause_text <> ''").select("clause_id", F.length("clause_text").alias("size"), F.explode(F.filter(grams(F.col("clause_text")), lambda g: F.length(g) == F.least(F.length("clause_text"), F.lit(3)))).alias("gram"))
+    rarest = own.join(often, "gram", "left").groupBy("clause_id", "size").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("r")).where("r.df > 0").select("clause_id", "size", F.col("r.gram").alias("gram"))
+    near = rarest.join(pieces, "gram").where((F.col("n") >= F.col("size")) & (F.col("size") / F.col("n") >= least_ratio)).select("clause_id", "chunk_seq")
+    second = near.join(c, "clause_id").join(long, "chunk_seq").where(F.contains("chunk_text", F.col("clause_text")))
+    second = second.select("clause_id", "chunk_seq", F.lit(2).alias("tier"), (F.length("clause_text") / F.length("chunk_text")).alias("score"))
+    probe = c.select("clause_id", F.explode(ngrams(F.col("clause_text"), 20, 5)).alias("g"))
+    index = k.select("chunk_seq", F.explode(ngrams(F.col("chunk_text"), 20, 10)).alias("g"))
+    shared = probe.groupBy("clause_id", "g").agg(F.count("*").alias("a")).join(index.groupBy("chunk_seq", "g").agg(F.count("*").alias("b")), "g").groupBy("clause_id", "chunk_seq").agg(F.sum(F.col("a") * F.col("b")).alias("n"))
     third = shared.where(F.col("n") >= least_ngrams).select("clause_id", "chunk_seq", F.lit(3).alias("tier"), F.col("n").cast("double").alias("score"))
     return keep_one(exact.unionByName(second).unionByName(third), ["clause_id"], [F.col("tier"), F.desc("score"), F.col("chunk_seq")]).select("clause_id", "chunk_seq", "tier")
 

@@ -22,8 +22,6 @@ from .search import B, K1, bm25_of, top_k
 BLOCK, LEADERS, FIRST, LISTED = 128, 32, 8, 2000
 #: Postings up to which a search reads them all at once.
 FEW = 4096
-#: Longest substring in the dictionary of tokens.
-GRAM = 3
 
 
 def impact(tf: Column, length: Column, mean: Column) -> Column:
@@ -31,13 +29,6 @@ def impact(tf: Column, length: Column, mean: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
 
 
-def grams(token: Column) -> Column:
-    """Distinct substrings of 1 to GRAM characters."""
-    n = F.length(token)
-    cut = lambda size: F.when(n >= size, F.transform(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), lambda i: F.substring(token, i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(*[cut(size) for size in range(1, GRAM + 1)]))
-
-
 class Index:
     """Tokens are lower-case words and pairs of CJK characters, of a document's text as of a query's. Null texts are
     documents without tokens, null scopes the scope ''; rows that repeat a key are one document with all their
@@ -67,7 +58,7 @@ class Index:
         words = posted.groupBy("scope", "token").agg(F.count("*").alias("df"))
         self._write(words.repartitionByRange("token", "scope").sortWithinPartitions("token", "scope"), "vocabulary")
         tokens = self.read("vocabulary").select("token").distinct()
-        self._write(tokens.select(F.explode(grams(F.col("token"))).alias("gram"), "token").repartitionByRange("gram", "token").sortWithinPartitions("gram", "token"), "grams")
+        self._write(tokens.select(F.explode(tx.grams(F.col("token"))).alias("gram"), "token").repartitionByRange("gram", "token").sortWithinPartitions("gram", "token"), "grams")
         self._write(self._blocks(posted), "staged_blocks")
         placed = posted.join(self.read("staged_blocks"), ["scope", "key"]).repartitionByRange("token", "scope", "block", "key").sortWithinPartitions("token", "scope", "block", "key")
         placed.write.mode("overwrite").option("parquet.block.size", str(8 << 20)).parquet(f"{self.path}/postings")
@@ -147,7 +138,7 @@ class Index:
         part = part.strip().lower()
         if not part:
             return self.read("grams").select("token").limit(0)
-        wanted = sorted({part[i : i + GRAM] for i in range(max(1, len(part) - GRAM + 1))})
+        wanted = sorted({part[i : i + tx.GRAM] for i in range(max(1, len(part) - tx.GRAM + 1))})
         found = self.read("grams").where(F.col("gram").isin(wanted))
         if len(wanted) > 1:
             found = found.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") == len(wanted))

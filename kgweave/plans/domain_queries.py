@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import standards
+from ..functions import layout, standards
 from ..functions import text as tx
 from ..operators import chunking, graph, linking, ordered, outline, records, retrieval, search, segmentation, tabular, traversal, views
 from ..session import shared_path
@@ -328,6 +328,34 @@ def table_captions(spark, d):
     return linking.table_chunks(domain.chunks(spark, d))
 
 
+SHORT = "CASE p_partkey % 5 WHEN 0 THEN 'LOW see 3.2.' || p_size % 9 WHEN 1 THEN 'of 1-URGENT' WHEN 2 THEN ' sizes ' WHEN 3 THEN 'HIGH' ELSE p_name END"
+
+
+@query(f"""WITH {cte("chunks")}, c AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN (p_size % 9 + 1) || '.' || p_size % 5 || '.' || p_size % 7 ELSE 'x' || p_partkey END AS clause_id, trim({SHORT}) AS own FROM part QUALIFY row_number() OVER (PARTITION BY clause_id ORDER BY p_partkey) = 1),
+k AS (SELECT chunk_seq, type, trim(coalesce(content, '')) AS text, regexp_extract(trim(content), '^(\\d+(?:\\.\\d+)+)', 1) AS number FROM chunks),
+f AS (SELECT clause_id, chunk_seq, 1 AS tier, CASE WHEN type = 'title' THEN 1.0 ELSE 0.0 END AS score FROM c JOIN k ON number = clause_id UNION ALL
+SELECT clause_id, chunk_seq, 2, len(own)::DOUBLE / len(text) FROM c JOIN k ON len(text) >= 10 AND contains(text, own) AND len(own) >= 0.3 * len(text))
+SELECT clause_id, chunk_seq, tier FROM f QUALIFY row_number() OVER (PARTITION BY clause_id ORDER BY tier, score DESC, chunk_seq) = 1""")
+def resolved_positions(spark, d):
+    """Chunks of clauses by number, or by short texts that they contain."""
+    p = table(spark, d, "part")
+    id_ = F.when(F.col("p_partkey") % 3 == 0, F.concat_ws(".", F.col("p_size") % 9 + 1, F.col("p_size") % 5, F.col("p_size") % 7)).otherwise(F.concat(F.lit("x"), "p_partkey"))
+    c = tabular.keep_one(p.select("p_partkey", id_.alias("clause_id"), F.expr(SHORT).alias("content")), ["clause_id"], [F.col("p_partkey")])
+    return linking.resolve_positions(c, domain.chunks(spark, d))
+
+
+@query("""WITH l AS (SELECT l_orderkey, l_linenumber, l_quantity AS x0, l_extendedprice / 50 AS y0, l_quantity + 10 AS x1, l_extendedprice / 50 + 9 AS y1, l_linenumber > 1 AND l_orderkey % 3 = 0 AND l_returnflag = 'R' AS crosses FROM lineitem),
+g AS (SELECT l_orderkey, min(y0) AS top, max(y1) AS bottom, bool_or(crosses) AND NOT bool_and(crosses) AS marked, list_sort(list(y0))[count(*) // 2 + 1] AS middle FROM l GROUP BY l_orderkey)
+SELECT l_orderkey, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM l JOIN g USING (l_orderkey) WHERE CASE WHEN marked THEN NOT crosses WHEN bottom - top <= 841 THEN true ELSE y0 >= middle - 50 END GROUP BY l_orderkey""")
+def own_page_boxes(spark, d):
+    """Boxes of blocks whose lines run on to the next page: by marks, by the block's height, by the middle line."""
+    x0, y0 = F.col("l_quantity"), F.col("l_extendedprice") / 50
+    crosses = (F.col("l_linenumber") > 1) & (F.col("l_orderkey") % 3 == 0) & (F.col("l_returnflag") == "R")
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.array(x0, y0, x0 + 10, y0 + 9).alias("bbox"), F.array(F.struct(crosses.alias("cross_page"))).alias("spans"))).alias("lines"))
+    boxed = lines.select("l_orderkey", layout.lines_box(F.col("lines"), layout.union_of(F.transform("lines", lambda l: l["bbox"]))).alias("b"))
+    return boxed.select("l_orderkey", *[F.get("b", F.lit(k)).alias(n) for k, n in enumerate(("x0", "y0", "x1", "y1"))])
+
+
 @query(f"""WITH {cte("chunks")}, m AS (SELECT DISTINCT chunk_seq, page_idx, x0, y0, x1, y1, '3.2.' || regexp_extract(content, 'see 3\\.2\\.(\\d)', 1) AS clause_id FROM chunks WHERE regexp_matches(content, 'see 3\\.2\\.\\d')),
 p AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY clause_id, page_idx ORDER BY chunk_seq) = 1) SELECT clause_id, arg_min(page_idx, chunk_seq) AS page, count(*) AS n_boxes FROM p WHERE clause_id <> '3.2.6' GROUP BY clause_id""")
 def backfilled_pages(spark, d):

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.layout import lines_box
 from ..operators.tabular import keep_one
 from ..workers import shipped
 
@@ -98,7 +99,8 @@ def accepted(name: Column, extensions: tuple[str, ...] = ("pdf", "doc", "docx"))
 def layout_chunks(pages: DataFrame) -> DataFrame:
     """Typed rows of parsed pages: pages, blocks, sub-blocks, lines and spans unfolded in reading order.
 
-    Tables and images take their caption, body and footnote from sub-blocks of those types."""
+    Tables and images take their caption, body and footnote from sub-blocks of those types. A block's box is that around
+    its lines of its own page, as some run on to the next."""
     info = pages.select("source", "page_num", F.explode("middle_json.pdf_info").alias("i"))
     blocks = info.select("source", "page_num", F.col("i.page_idx").alias("page_idx"), F.get("i.page_size", F.lit(0)).alias("page_width"), F.get("i.page_size", F.lit(1)).alias("page_height"), F.posexplode("i.preproc_blocks").alias("block", "b"))
     text = lambda lines: F.array_join(F.flatten(F.transform(F.coalesce(lines, F.array().cast(_LINES)), lambda l: F.transform(l["spans"], lambda s: F.coalesce(s["content"], F.lit(""))))), "")
@@ -107,7 +109,7 @@ def layout_chunks(pages: DataFrame) -> DataFrame:
     kind = F.col("b.type")
     category = F.when(kind == "title", 0).when(kind == "table", 2).when(kind == "image", 3).otherwise(1)
     seq = F.row_number().over(W.partitionBy("source").orderBy("page_num", "page_idx", "block")) - 1
-    return blocks.select("source", seq.alias("chunk_seq"), F.concat(F.lit("chunk_"), seq).alias("chunk_id"), (F.col("page_num") - 1).alias("page_idx"), kind.alias("type"), category.alias("category_id"), F.when(kind == "table", sub("table_caption")).when(kind == "image", sub("image_caption")).otherwise(text(F.col("b.lines"))).alias("content"), F.col("b.bbox").alias("bbox_pdf"), "page_width", "page_height", F.when(kind == "table", sub("table_caption")).alias("table_caption"), F.when(kind == "table", html).alias("table_content"), F.when(kind == "table", sub("table_footnote")).alias("table_footnote"), F.when(kind == "image", sub("image_caption")).alias("image_caption"))
+    return blocks.select("source", seq.alias("chunk_seq"), F.concat(F.lit("chunk_"), seq).alias("chunk_id"), (F.col("page_num") - 1).alias("page_idx"), kind.alias("type"), category.alias("category_id"), F.when(kind == "table", sub("table_caption")).when(kind == "image", sub("image_caption")).otherwise(text(F.col("b.lines"))).alias("content"), F.coalesce(lines_box(F.col("b.lines"), F.col("b.bbox")), F.col("b.bbox")).alias("bbox_pdf"), "page_width", "page_height", F.when(kind == "table", sub("table_caption")).alias("table_caption"), F.when(kind == "table", html).alias("table_content"), F.when(kind == "table", sub("table_footnote")).alias("table_footnote"), F.when(kind == "image", sub("image_caption")).alias("image_caption"))
 
 
 def ocr_blocks(words: DataFrame, least: float = 30, zoom: float = 2) -> DataFrame:

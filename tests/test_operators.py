@@ -170,6 +170,34 @@ def test_batches_by_capacity(spark):
     assert got == {0: 0, 1: 0, 2: 1, 3: 2, 4: 3, 5: 4, 6: 5}
 
 
+def test_positions_against_all_pairs(spark):
+    from kgweave.operators import linking
+
+    import random
+
+    r = random.Random(6)
+    word = lambda: r.choice(["pump", "fire lane", "a", "消防", "x y", "valve 3.2"])
+    chunks = [(k, r.choice(["title", "text"]), r.choice(["", "3.1.2 ", "4.1 "]) + " ".join(word() for _ in range(r.choice([1, 3, 12, 30])))) for k in range(60)] + [(90, "text", None), (91, "text", "")]
+    long = " ".join(f"word{k}" for k in range(30))
+    chunks.append((95, "text", "starting: " + long))
+    clauses = [("3.1.2", "z"), ("4.1", ""), ("m", None), ("c95", long[:150] + " other end"), ("none", "qqq")] + [(f"s{k}", chunks[k][2][: r.choice([1, 2, 3, 9, 40])]) for k in range(40)]
+    want = {}
+    for id_, text in clauses:
+        text = (text or "").strip()
+        kept = [(n, t, (x or "").strip()) for n, t, x in chunks]
+        found = [(1, -(t == "title"), n) for n, t, x in kept if x.startswith(id_ + " ")]
+        found += [(2, -len(text) / len(x), n) for n, _, x in kept if len(x) >= 10 and text and text in x and len(text) / len(x) >= 0.3]
+        index = lambda x, step: [x[i : i + 20] for i in range(0, max(len(x) - 20, 0), step)]
+        for n, _, x in kept:
+            same = sum(index(x, 10).count(g) for g in index(text, 5))
+            found += [(3, -same, n)] if same >= 3 else []
+        if found:
+            want[id_] = min(found)[2], min(found)[0]
+    c, k = spark.createDataFrame(clauses, "clause_id string, content string"), spark.createDataFrame(chunks, "chunk_seq int, type string, content string")
+    assert {x["clause_id"]: (x["chunk_seq"], x["tier"]) for x in linking.resolve_positions(c, k).collect()} == want
+    assert {t for _, t in want.values()} == {1, 2, 3}
+
+
 @pytest.mark.parametrize("tile", [8, 16, 4096])
 def test_batches_over_tiles(spark, tile):
     import random
