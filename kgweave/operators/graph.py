@@ -162,6 +162,18 @@ def build_document_graph(clauses: DataFrame, graph: str) -> tuple[DataFrame, Dat
     return nodes, edges
 
 
+def named_references(clauses: DataFrame, graph: str) -> DataFrame:
+    """graph_id, src, rel, ref: the clauses that clauses name, and their parents, by number, whether or not they are there."""
+    from ..functions.ids import node_id
+    from ..functions.text import parent_id
+
+    g = F.lit(graph)
+    c = clauses.select(g.alias("graph_id"), node_id("clause", g, F.col("clause_id")).alias("src"), "clause_id", "referenced_clauses")
+    refs = c.select("graph_id", "src", F.lit("CROSS_REFERENCE").alias("rel"), F.explode("referenced_clauses").alias("ref"), "clause_id").where("ref <> clause_id").drop("clause_id")
+    parents = c.select("graph_id", "src", F.lit("PART_OF").alias("rel"), parent_id(F.col("clause_id")).alias("ref")).where("ref IS NOT NULL")
+    return refs.unionByName(parents).distinct()
+
+
 GRAPHS = "graph_id string, name string, description string, ontology_json string, created_at string"
 
 

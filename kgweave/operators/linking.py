@@ -86,7 +86,7 @@ def edited(clauses: DataFrame, clause_id: str, changes: dict[str, object], terms
     fresh = F.broadcast(terms.agg(F.sort_array(F.collect_list(F.struct("term_name", "definition"))).alias("_terms")))  # one row of one clause's terms
     names = F.transform("_terms", lambda t: t["term_name"])
     kept = F.filter("terms", lambda t: ~F.array_contains(names, t["term_name"]))
-    return out.crossJoin(fresh).withColumn("terms", F.when(hit, F.concat(kept, F.col("_terms").cast(clauses.schema["terms"].dataType))).otherwise(F.col("terms"))).drop("_terms")
+    return out.crossJoin(fresh).withColumn("terms", F.when(hit, F.concat(kept, "_terms")).otherwise(F.col("terms"))).drop("_terms")
 
 
 def clause_tree(clauses: DataFrame) -> DataFrame:

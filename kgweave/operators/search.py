@@ -114,6 +114,26 @@ def hybrid_search(lists: dict[str, tuple[DataFrame | None, DataFrame | None]], s
     return out
 
 
+#: How many more than its limit a search of typed nodes asks of each list.
+MORE = 5
+
+
+def typed_search(vectors: DataFrame | None, keyword: list[DataFrame], limit: int, at_least: float | None = None, boost: tuple[DataFrame, str] | None = None) -> DataFrame | None:
+    """key, rrf, score of nodes of one type, the best `limit`: the fusion of a vector list and of the keyword searches
+    (full text, wildcard, substring), all of which run; a node counts by the first that finds it. Each list is asked for
+    MORE than the limit, and of rows that score at_least. None where there is no list. boost as in hybrid_search."""
+    enough = lambda df: df if at_least is None else df.where(F.col("score") >= at_least)
+    lists = [] if vectors is None else [(top_k(enough(vectors), [F.desc("score"), F.col("key")], limit + MORE), 1.0)]
+    if keyword:
+        lists.append((keep_first_union([enough(k) for k in keyword], limit + MORE).select("key", "score"), 2.0))
+    if not lists:
+        return None
+    rows = fuse(lists, limit=limit)
+    if boost is not None:
+        rows = boost_exact(rows.join(boost[0], "key", "left"), "name", boost[1], [F.desc("rrf"), F.col("key")])
+    return rows.select("key", "rrf", "score")
+
+
 def fuse(lists: list[tuple[DataFrame, float]], k: int = RRF_K, limit: int | None = None, digits: int = 12, by: tuple[str, ...] = ()) -> DataFrame:
     """Ranked lists (key, score) with weights, to key and the weighted sum of 1 / (k + rank), normalised by the best.
 

@@ -26,4 +26,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from . import domain_queries, function_queries, graph_queries, relational_queries, search_queries, text_queries, time_queries  # noqa: E402, F401
+from . import domain_queries, function_queries, graph_queries, relational_queries, search_queries, stored_queries, text_queries, time_queries  # noqa: E402, F401

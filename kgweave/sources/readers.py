@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from ..functions.layout import lines_box
 from ..operators.tabular import keep_one
 from ..workers import shipped
+from .writers import CSV
 
 CORRUPT = "_corrupt_record"
 _SPAN = "STRUCT<content STRING, image_path STRING, html STRING, cross_page BOOLEAN>"
@@ -30,6 +31,11 @@ def json_records(spark: SparkSession, path: str, schema: str, lines: bool = Fals
     return good.where(F.col(first).isNotNull()).drop(CORRUPT)
 
 
+def csv_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows that writers.write_csv has written."""
+    return spark.read.schema(schema).options(**CSV).csv(path)
+
+
 def json_array(spark: SparkSession, path: str, element: str, id_name: str = "chunk_seq") -> DataFrame:
     """Elements of one JSON array a file, in order, numbered from 0."""
     text = spark.read.option("wholetext", "true").text(path)

@@ -6,14 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: How CSV files are written and read.
+CSV = {"header": "true", "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
+
 def append_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """With a header; line ends within text become spaces."""
+    """With a header; line ends within text become spaces, other white space stays; quotes in a text are doubled."""
     flat = df.select(*[F.regexp_replace(c, "[\r\n]+", " ").alias(c) if t == "string" else F.col(c) for c, t in df.dtypes])
-    flat.write.mode("overwrite").option("header", "true").csv(path)
+    flat.write.mode("overwrite").options(**CSV).csv(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:

@@ -33,12 +33,22 @@ def ingest_clauses(stream: DataFrame, checkpoint: str, graph: str, nodes, edges)
 
 
 def merge_clauses(clauses: DataFrame, graph: str, nodes: Versioned, edges: Versioned) -> None:
-    """Nodes and edges of clauses, merged into the buckets of the tables that have their keys."""
-    from ..operators.graph import build_document_graph
+    """Nodes and edges of clauses, merged into the buckets of the tables that have their keys.
+
+    A clause may name one that came before it or comes later: what clauses name is kept beside the edges, and an edge is
+    made once both ends are there."""
+    from ..operators.graph import build_document_graph, named_references
 
     n, e = build_document_graph(clauses, graph)
     nodes.upsert(n, ["graph_id", "uuid", "label"], {"summary": "prefer_new", "name": "keep_nonempty"})
     edges.upsert(e, ["graph_id", "src", "rel", "dst"], {})
+    named = Versioned(edges.spark, f"{edges.path}-named", edges.buckets)
+    named.upsert(named_references(clauses, graph), ["graph_id", "src", "rel", "ref"], {})
+    here = n.where("label = 'Clause'").select(F.col("uuid").alias("src"), F.col("name").alias("ref"))
+    waiting = named.read().where(F.col("graph_id") == graph)
+    concerned = waiting.join(here.select("src"), "src", "left_semi").unionByName(waiting.join(here.select("ref"), "ref", "left_semi")).distinct()
+    known = nodes.read().where((F.col("graph_id") == graph) & (F.col("label") == "Clause")).select(F.col("name").alias("ref"), F.col("uuid").alias("dst"))
+    edges.upsert(concerned.join(known, "ref").select("graph_id", "src", "rel", "dst").distinct(), ["graph_id", "src", "rel", "dst"], {})
 
 
 def hourly(stream: DataFrame, late: str = "1 hour") -> DataFrame:
