@@ -8,7 +8,9 @@ waiting pieces open new sequences, as many as their tokens need at least.
 Pieces of one length are alike, and so are sequences with one gap and one history. The rounds therefore
 run on classes: runs of pieces of a length by rank, and runs of sequences. Lengths are bounded by the
 capacity, so the state of the rounds is bounded by it, not by the data, and the sweeps take one pass
-over at most `capacity` sizes each. What grows with the data is distributed: cutting, the length
+over at most `capacity` sizes each. The rounds run twice: with all waiting lengths at once, and with the largest
+waiting length alone, whose pieces take as many places of each gap as it holds and open no more sequences than they
+need (that is better where lengths are alike); the plan with fewer sequences is taken. What grows with the data is distributed: cutting, the length
 histogram (partial sums), the rank of each piece within its length (salted, so that a length which holds
 a third of all pieces still spreads), and placing each piece by its rank."""
 
@@ -104,6 +106,57 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
     return runs
 
 
+def plan_by_length(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
+    """Runs as of plan(), from rounds of the largest waiting length each: its pieces fill the smallest gaps that hold one,
+    as many as a gap holds, and the rest open new sequences in the same way."""
+    gaps: dict[int, list[tuple[int, int]]] = {}
+    runs, sequences = [], 0
+    for length in sorted((n for n, c in histogram.items() if c), reverse=True):
+        left, rank, found = histogram[length], 0, defaultdict(list)
+
+        def fill(gap: int, first: int, count: int) -> int:
+            """Puts waiting pieces into sequences from the first on, all with that gap; says how many sequences it used."""
+            nonlocal left, rank
+            used = 0
+            while left and used < count:
+                each = min(gap // length, left)
+                many = min(count - used, left // each)
+                for k in range(each):
+                    runs.append((length, rank, many, first + used, capacity - gap + k * length))
+                    rank += many
+                left -= each * many
+                if gap > each * length:
+                    found[gap - each * length].append((first + used, many))
+                used += many
+            return used
+
+        for gap in sorted(g for g in gaps if g >= length):
+            if not left:
+                break
+            free = gaps.pop(gap)
+            while free and left:
+                first, count = free.pop()
+                used = fill(gap, first, count)
+                if used < count:
+                    free.append((first + used, count - used))
+            if free:
+                found[gap].extend(free)
+        if left:
+            sequences += fill(capacity, sequences, -(-left // (capacity // length)))
+        for gap, more in found.items():
+            gaps[gap] = merged(gaps.get(gap, []) + more)
+    return runs
+
+
+def opened(runs: list[tuple[int, int, int, int, int]]) -> int:
+    """How many sequences a plan has."""
+    return max((first + count for _, _, count, first, _ in runs), default=0)
+
+
+def best_plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
+    return min((plan(histogram, capacity), plan_by_length(histogram, capacity)), key=opened)
+
+
 def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Neighbouring runs joined."""
     out: list[tuple[int, int]] = []
@@ -134,7 +187,7 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     if any(not 0 < n <= capacity for n in counts):
         raise ValueError(f"lengths must be 1 to {capacity}")
-    runs = np.array(plan(counts, capacity) or np.zeros((0, 5)), np.int64).reshape(-1, 5)
+    runs = np.array(best_plan(counts, capacity) or np.zeros((0, 5)), np.int64).reshape(-1, 5)
     runs = runs[np.lexsort((runs[:, 1], runs[:, 0]))]
     lengths, first_rank, first_sequence, offset = runs[:, 0], runs[:, 1], runs[:, 3], runs[:, 4]
     keys = (lengths << 48) | first_rank
