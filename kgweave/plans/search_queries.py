@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import WORD, normalize_text
 from ..functions.vectors import cosine
-from ..operators import ordered, retrieval, search, tabular
+from ..operators import ordered, retrieval, search
 from ..operators.text_index import Index
-from ..operators.vector_index import VectorIndex
+from ..operators.vector_index import VectorIndex, blocked_scores
 from ..session import shared_path
 from .catalogue import query, table
 
@@ -36,14 +36,14 @@ def keywords(spark, d):
 
 
 def vectors(spark, d, **kw):
-    """Scores of all embeddings for each query."""
+    """The best embeddings of all for each query, or those that score enough."""
     e = table(spark, d, "embeddings")
-    return search.vector_scores(e, "embedding", e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q")), **kw)
+    return blocked_scores(e, "vec_id", "embedding", e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q")), "query", "q", **kw).withColumnRenamed("key", "vec_id")
 
 
 @query(f"WITH {VEC} SELECT query, vec_id, score FROM v QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) <= 10")
 def vector_topk(spark, d):
-    return tabular.top_per_group(vectors(spark, d), ["query"], [F.desc("score"), F.col("vec_id")], 10).select("query", "vec_id", "score")
+    return vectors(spark, d, k=10).select("query", "vec_id", "score")
 
 
 def indexed(spark, d):
@@ -77,7 +77,7 @@ def vector_threshold(spark, d):
 
 @query(f"WITH {VEC} SELECT query, label, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query, label ORDER BY score DESC, vec_id) AS rank FROM v) WHERE rank <= 3")
 def vector_topk_by_label(spark, d):
-    return tabular.top_per_group(vectors(spark, d), ["query", "label"], [F.desc("score"), F.col("vec_id")], 3).select("query", "label", "vec_id", "score", "rank")
+    return vectors(spark, d, k=3, by="label").select("query", "label", "vec_id", "score", "rank")
 
 
 @query(f"WITH {BM25} SELECT doc_id, score FROM b ORDER BY score DESC, doc_id LIMIT 20")
@@ -122,7 +122,7 @@ def postings_statistics(spark, d):
 def fused(spark, d):
     """For each query vector its neighbours, fused with the documents that the same words find: a vector is that of the
     document of its number, documents without one are in the keyword list alone."""
-    v = tabular.top_per_group(vectors(spark, d).withColumnRenamed("vec_id", "key"), ["query"], [F.desc("score"), F.col("key")], 15).select("query", "key", "score")
+    v = vectors(spark, d, k=15).select("query", F.col("vec_id").alias("key"), "score")
     b = search.top_k(keywords(spark, d), [F.desc("score"), F.col("key")], 15)
     queries = table(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"))
     return search.hybrid(v, queries.crossJoin(F.broadcast(b)).select("query", "key", "score"), by=("query",))  # 15 rows
