@@ -59,6 +59,40 @@ def intent_match(topics: DataFrame, topic_entity: DataFrame, topic_clause: DataF
     return best.join(entities, "topic", "left").join(clauses, "topic", "left")
 
 
+def intent_details(topics: DataFrame, nodes: DataFrame, edges: DataFrame, entity_score: DataFrame, topic_limit: int, entity_limit: int) -> DataFrame:
+    """topic, kind (entity, clause, table, image), place (from 1), uuid, of, name, score: all that hangs on the best topics.
+
+    topics: topic, score. nodes: uuid, label, name, clause_id. edges: src, rel, dst. entity_score: uuid, score, of the
+    reranker. A topic's entities and terms come by score, at most entity_limit; only the entity_limit best of all topics
+    have one, the others 0. Its clauses come by clause_id, each id once (a clause without one by itself); the tables and
+    images that they mention come with the clause they are of. Each node once for a topic, or for a clause."""
+    best = topics.orderBy(F.desc("score"), "topic").limit(topic_limit).select("topic")
+    n = nodes.select("uuid", "label", "name", "clause_id")
+    ends = edges.select("src", "rel", "dst").distinct()
+    named = best.join(ends.where("rel = 'MENTIONS'"), F.col("topic") == F.col("src")).select("topic", F.col("dst").alias("uuid")).join(n.where(F.col("label").isin("Entity", "Term")), "uuid")
+    top = named.select("uuid").distinct().join(entity_score, "uuid").orderBy(F.desc("score"), "uuid").limit(entity_limit)
+    entities = named.join(top, "uuid", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    entities = top_per_group(entities, ["topic"], [F.desc("score"), F.col("uuid")], entity_limit)
+    of = F.lit(None).cast("string").alias("of")
+    out = entities.select("topic", F.lit("entity").alias("kind"), F.col("rank").alias("place"), "uuid", of, "name", "score")
+    held = best.join(ends.where("rel = 'HAS_TOPIC'"), F.col("topic") == F.col("dst")).select("topic", F.col("src").alias("uuid")).join(n.where("label = 'Clause'"), "uuid")
+    once = keep_one(held.withColumn("key", F.coalesce(F.nullif("clause_id", F.lit("")), F.concat(F.lit(":"), "uuid"))), ["topic", "key"], [F.col("uuid")])
+    clauses = once.withColumn("place", F.row_number().over(W.partitionBy("topic").orderBy(F.asc_nulls_last(F.nullif("clause_id", F.lit(""))), "uuid")))
+    nothing = F.lit(None).cast("double").alias("score")
+    out = out.unionByName(clauses.select("topic", F.lit("clause").alias("kind"), "place", "uuid", of, "name", nothing))
+    shown = clauses.select("topic", F.col("uuid").alias("of")).join(ends.where("rel = 'MENTIONS'"), F.col("of") == F.col("src")).select("topic", "of", F.col("dst").alias("uuid")).join(n.where(F.col("label").isin("Table", "Image")), "uuid")
+    place = F.row_number().over(W.partitionBy("topic", "of", "label").orderBy("uuid"))
+    return out.unionByName(shown.select("topic", F.lower("label").alias("kind"), place.alias("place"), "uuid", "of", "name", nothing))
+
+
+def attached(rows: DataFrame, facts: DataFrame, key: str = "root", every: bool = False) -> DataFrame:
+    """rows with the facts (struct of score, ord, fact; by score, then ord) that a retrieval flow kept of them; rows without
+    any go, unless every row is wanted."""
+    best = facts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("off"), "ord", "fact", "score"))).alias("kept"))
+    told = best.select(key, F.transform("kept", lambda f: F.struct(f["score"].alias("score"), f["ord"].alias("ord"), f["fact"].alias("fact"))).alias("facts"))
+    return rows.join(told, key, "left" if every else "inner")
+
+
 def fact_location(facts: DataFrame) -> DataFrame:
     """page and box of facts (clause_boxes, own_boxes, episode_boxes arrays of [page, x0, y0, x1, y1]; root_page):
     the first of the three that has a box of five numbers, else the root's page alone."""

@@ -606,6 +606,32 @@ SCOPED = f"""{CLAUSE_BM25}, k AS (SELECT key, score FROM b ORDER BY score DESC,
 r AS (SELECT key, 1.0::DOUBLE / (60 + row_number() OVER (ORDER BY score DESC, key)) AS part FROM v UNION ALL SELECT key, 2.0::DOUBLE / (60 + row_number() OVER (ORDER BY score DESC, key)) FROM k), s AS (SELECT key, round(sum(part), 12) AS rrf FROM r GROUP BY key ORDER BY rrf DESC, key LIMIT 10)"""
 
 
+@query(f"""WITH {cte("nodes", "edges")}, b AS (SELECT uuid AS topic FROM nodes JOIN part ON 'u' || p_partkey = uuid WHERE label = 'Topic' ORDER BY p_partkey % 200 - p_partkey DESC, p_size DESC, uuid LIMIT 6), d AS (SELECT DISTINCT src, rel, dst FROM edges),
+n AS (SELECT b.topic, n.uuid, n.name FROM b JOIN d ON src = b.topic AND rel = 'MENTIONS' JOIN nodes n ON n.uuid = dst AND label IN ('Entity', 'Term')),
+t AS (SELECT uuid, p_size / 50.0::DOUBLE AS score FROM (SELECT DISTINCT uuid FROM n) JOIN part ON 'u' || p_partkey = uuid ORDER BY score DESC, uuid LIMIT 5),
+e AS (SELECT topic, 'entity' AS kind, row_number() OVER (PARTITION BY topic ORDER BY coalesce(score, 0) DESC, uuid) AS place, uuid, NULL AS "of", name, coalesce(score, 0)::DOUBLE AS score FROM n LEFT JOIN t USING (uuid) QUALIFY place <= 5),
+h AS (SELECT b.topic, n.uuid, n.name, nullif(clause_id, '') AS id FROM b JOIN d ON dst = b.topic AND rel = 'HAS_TOPIC' JOIN nodes n ON n.uuid = src AND label = 'Clause' QUALIFY row_number() OVER (PARTITION BY b.topic, coalesce(nullif(clause_id, ''), ':' || n.uuid) ORDER BY n.uuid) = 1),
+s AS (SELECT h.topic, h.uuid AS "of", n.uuid, n.name, label FROM h JOIN d ON src = h.uuid AND rel = 'MENTIONS' JOIN nodes n ON n.uuid = dst AND label IN ('Table', 'Image'))
+SELECT * FROM e UNION ALL SELECT topic, 'clause', row_number() OVER (PARTITION BY topic ORDER BY id NULLS LAST, uuid), uuid, NULL, name, NULL FROM h UNION ALL SELECT topic, lower(label), row_number() OVER (PARTITION BY topic, "of", label ORDER BY uuid), uuid, "of", name, NULL FROM s""")
+def intent_details(spark, d):
+    """Entities, clauses, tables and images of the best topics."""
+    n, p = domain.nodes(spark, d), table(spark, d, "part")
+    scored = lambda c: p.select(F.concat(F.lit("u"), "p_partkey").alias("uuid"), c.alias("score"))
+    topics = n.where("label = 'Topic'").join(scored(F.col("p_partkey") % 200 - F.col("p_partkey") + F.col("p_size") / 100), "uuid").select(F.col("uuid").alias("topic"), "score")
+    return retrieval.intent_details(topics, n, domain.make(spark, d, "edges"), scored(F.col("p_size") / 50.0), 6, 5)
+
+
+@query("""WITH f AS (SELECT o_custkey AS root, o_orderpriority AS fact, o_orderkey AS ord, round(o_totalprice / 500000, 9) AS s, row_number() OVER (PARTITION BY o_orderpriority, o_custkey ORDER BY o_orderkey) AS k FROM orders),
+c AS (SELECT root, fact, ord, round_even(s * 100, 1) AS score FROM f WHERE k = 1 ORDER BY ord LIMIT 50), t AS (SELECT * FROM c WHERE score >= 20 ORDER BY score DESC, ord LIMIT 20)
+SELECT c_custkey AS root, c_name AS name, string_agg(ord || ':' || fact, ',' ORDER BY score DESC, ord) AS facts FROM customer JOIN t ON root = c_custkey GROUP BY ALL""")
+def attached_facts(spark, d):
+    """Rows with the facts that reranking kept of them."""
+    f = table(spark, d, "orders").select(F.col("o_custkey").alias("root"), F.col("o_orderpriority").alias("fact"), F.col("o_orderkey").alias("ord"), F.round(F.col("o_totalprice") / 500000, 9).alias("s"))
+    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("root"), F.col("c_name").alias("name"))
+    kept = retrieval.attached(rows, retrieval.retrieval_flow(f, F.col("s"), 20, 20))
+    return kept.select("root", "name", joined(F.transform("facts", lambda x: F.concat_ws(":", x["ord"], x["fact"]))).alias("facts"))
+
+
 FROM_ROOTS = f"""{cte("nodes", "edges")}, r AS (SELECT uuid AS root, row_number() OVER (ORDER BY uuid) AS ord FROM nodes WHERE label IN ('Entity', 'Term')), w AS (SELECT root, root AS node, 0 AS hops FROM r UNION SELECT w.root, dst, hops + 1 FROM w JOIN edges ON src = node WHERE hops < 2),
 v AS (SELECT root, node, min(hops) AS hops FROM w GROUP BY ALL), m AS (SELECT root, uuid, src, dst, rel, fact, hops FROM v JOIN edges ON src = node UNION ALL SELECT root, uuid, src, dst, rel, fact, 0 FROM r JOIN edges ON dst = root WHERE src <> dst),
 g AS (SELECT root, uuid, src, dst, rel, fact, min(hops) AS hops FROM m GROUP BY ALL)"""
