@@ -65,12 +65,20 @@ def collect_related(starts: DataFrame, key: str, related: DataFrame, groups: dic
     return out.withColumns({n: F.coalesce(F.col(n), F.array().cast(kind[n])) for n in groups})
 
 
-def neighbourhood(edges: DataFrame, start) -> DataFrame:
-    """node, hops (1 or 2) around a start, either direction, without the start itself; the fewest hops win."""
-    around = both_ways(edges).select("node", "other").where("node <> other")
-    one = around.where(F.col("node") == start).select("other").distinct()
-    two = around.join(one.withColumnRenamed("other", "node"), "node", "left_semi").select("other").where(F.col("other") != start)
-    return one.withColumn("hops", F.lit(1)).union(two.withColumn("hops", F.lit(2))).groupBy(F.col("other").alias("node")).agg(F.min("hops").alias("hops"))
+def neighbourhood(edges: DataFrame, start, src: tuple[str, ...] = ("src",), dst: tuple[str, ...] = ("dst",)) -> DataFrame:
+    """node, hops (1 or 2) around a start, either direction, without the start itself; the fewest hops win.
+
+    src and dst: the columns that name an edge's ends; where they are several (a kind and a key, say), start is a tuple of
+    as many values and node a struct. Compared as they are stored, the start's columns reach the scan."""
+    start = start if isinstance(start, tuple) else (start,)
+    near, far = [f"near{k}" for k in range(len(start))], [f"far{k}" for k in range(len(start))]
+    one_way = lambda a, b: edges.select(*[F.col(c).alias(n) for c, n in zip((*a, *b), (*near, *far), strict=True)])
+    around = one_way(src, dst).unionByName(one_way(dst, src))
+    at_start = lambda names: reduce(lambda x, y: x & y, [F.col(n).eqNullSafe(F.lit(v)) for n, v in zip(names, start, strict=True)])
+    one = around.where(at_start(near) & ~at_start(far)).select(*far).distinct()
+    two = around.join(one.toDF(*near), near, "left_semi").select(*far).where(~at_start(far))
+    found = one.withColumn("hops", F.lit(1)).union(two.withColumn("hops", F.lit(2))).groupBy(*far).agg(F.min("hops").alias("hops"))
+    return found.select((F.struct(*[F.col(f).alias(c) for f, c in zip(far, src, strict=True)]) if len(far) > 1 else F.col(far[0])).alias("node"), "hops")
 
 
 def reach(edges: DataFrame, starts: DataFrame, depth: int, either_way_first: bool = False) -> DataFrame:

@@ -10,17 +10,23 @@ from ..operators import graph, ordered, retrieval
 from .catalogue import query, table
 
 
-def star_edges(spark, d):
-    """All foreign keys as typed edges with text ends."""
+def keyed_edges(spark, d):
+    """All foreign keys as typed edges, an end as its kind and key."""
     pairs = [("nation", "n_nationkey", "region", "n_regionkey", "IN_REGION"), ("customer", "c_custkey", "nation", "c_nationkey", "LIVES_IN"), ("supplier", "s_suppkey", "nation", "s_nationkey", "BASED_IN"), ("orders", "o_orderkey", "customer", "o_custkey", "ORDERED_BY"), ("lineitem", "l_orderkey", "part", "l_partkey", "CONTAINS")]
     name = {"nation": "nation", "customer": "customer", "supplier": "supplier", "orders": "order", "lineitem": "order"}
     out = None
     for t, a, target, b, rel in pairs:
-        e = table(spark, d, t).select(F.lit("g").alias("graph_id"), F.concat(F.lit(name[t] + ":"), F.col(a)).alias("src"), F.lit(rel).alias("rel"), F.concat(F.lit(target + ":"), F.col(b)).alias("dst"))
+        e = table(spark, d, t).select(F.lit(name[t]).alias("src_kind"), F.col(a).cast("long").alias("src_key"), F.lit(rel).alias("rel"), F.lit(target).alias("dst_kind"), F.col(b).cast("long").alias("dst_key"))
         out = e if out is None else out.unionByName(e)
     return out
 
 
+def star_edges(spark, d):
+    """The same with text ends."""
+    end = lambda side: F.concat(f"{side}_kind", F.lit(":"), f"{side}_key").alias(side)
+    return keyed_edges(spark, d).select(F.lit("g").alias("graph_id"), end("src"), "rel", end("dst"))
+
+
 EDGES = """e AS (SELECT 'nation:' || n_nationkey AS src, 'IN_REGION' AS rel, 'region:' || n_regionkey AS dst FROM nation UNION SELECT 'customer:' || c_custkey, 'LIVES_IN', 'nation:' || c_nationkey FROM customer
 UNION SELECT 'supplier:' || s_suppkey, 'BASED_IN', 'nation:' || s_nationkey FROM supplier UNION SELECT 'order:' || o_orderkey, 'ORDERED_BY', 'customer:' || o_custkey FROM orders UNION SELECT 'order:' || l_orderkey, 'CONTAINS', 'part:' || l_partkey FROM lineitem)"""
 
@@ -71,7 +77,8 @@ def topic_entities(spark, d, suppliers):
 @query(f"""WITH {EDGES}, b AS (SELECT src AS x, dst AS y FROM e UNION SELECT dst, src FROM e), h1 AS (SELECT DISTINCT y FROM b WHERE x = 'customer:1' AND y <> 'customer:1'),
 h2 AS (SELECT DISTINCT b.y FROM h1 JOIN b ON b.x = h1.y WHERE b.y <> 'customer:1') SELECT node, min(hops)::INTEGER AS hops FROM (SELECT y AS node, 1 AS hops FROM h1 UNION ALL SELECT y, 2 FROM h2) GROUP BY node""")
 def two_hop_neighbors(spark, d):
-    return graph.neighbourhood(star_edges(spark, d), "customer:1")
+    found = graph.neighbourhood(keyed_edges(spark, d), ("customer", 1), ("src_kind", "src_key"), ("dst_kind", "dst_key"))
+    return found.select(F.concat_ws(":", "node.src_kind", "node.src_key").alias("node"), "hops")
 
 
 @query(f"""WITH RECURSIVE {EDGES}, t AS (SELECT DISTINCT 'order:' || o_orderkey AS root, 'order:' || o_orderkey AS node, 0 AS hops FROM orders UNION SELECT t.root, e.dst, t.hops + 1 FROM t JOIN e ON e.src = t.node WHERE t.hops < 3)
