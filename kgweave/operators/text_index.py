@@ -128,10 +128,10 @@ class Index:
         return found if k is None else top_k(found, [F.desc("score"), F.col("key")], k)
 
     def reads(self, query: str, k: int, scope: str = "", digits: int = 9) -> DataFrame:
-        """One row: n_postings of the query's tokens, and n_read, those of blocks that can hold one of the k best."""
+        """One row: n_blocks and n_postings of the query's tokens, and n_read, those of blocks that can hold one of the k best."""
         weights = self._weights(query, scope)
         bounds, least = self._least(weights, scope, k, digits)
-        return bounds.agg(F.sum("n").alias("n_postings"), F.sum(F.when(F.col("bound") >= least - max(10.0**-digits, 1e-9), F.col("n")).otherwise(0)).alias("n_read"))
+        return bounds.agg(F.count("*").alias("n_blocks"), F.sum("n").alias("n_postings"), F.sum(F.when(F.col("bound") >= least - max(10.0**-digits, 1e-9), F.col("n")).otherwise(0)).alias("n_read"))
 
     def tokens_with(self, part: str) -> DataFrame:
         """token: those that have part in them, by the dictionary of substrings; none for an empty part."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import WORD, normalize_text
 from ..functions.vectors import cosine
 from ..operators import ordered, retrieval, search
-from ..operators.text_index import Index
+from ..operators.text_index import FIRST, Index
 from ..operators.vector_index import VectorIndex, blocked_scores
 from ..session import shared_path
 from .catalogue import query, table
@@ -101,8 +101,10 @@ def text_index_topk(spark, d):
 
 @query(f"WITH {STORED} SELECT sum(df)::BIGINT AS n_postings, true AS fewer FROM f")
 def text_index_reads(spark, d):
-    """How many postings the query's tokens have, and that the search above reads fewer."""
-    return text_index(spark, d).reads(" ".join(TERMS), 20, digits=6).select("n_postings", (F.col("n_read") < F.col("n_postings")).alias("fewer"))
+    """How many postings the query's tokens have, and that the search above reads fewer; a table of as few blocks as are
+    scored first is read whole."""
+    few = F.col("n_blocks") <= FIRST
+    return text_index(spark, d).reads(" ".join(TERMS), 20, digits=6).select("n_postings", (few | (F.col("n_read") < F.col("n_postings"))).alias("fewer"))
 
 
 @query("""WITH t AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS token FROM documents) SELECT doc_id, count(*) AS n_tokens FROM t WHERE contains(token, 'tion') GROUP BY doc_id""")
