@@ -7,6 +7,7 @@ samples in strips or tiles of any of these forms."""
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -20,6 +21,7 @@ from .common import documents, map_arrow, slices
 #: Tags and codes of the public TIFF 6.0 format: fixed values.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIPS, SAMPLES, ROWS, COUNTS, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILES, TILE_COUNTS = 256, 257, 258, 259, 262, 273, 277, 278, 279, 317, 322, 323, 324, 325
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
+_RUN = re.compile(rb"(.)\1{2,127}", re.DOTALL)
 _TYPES = {1: "B", 2: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i"}
 
 
@@ -48,87 +50,92 @@ def unpack_bits(data: bytes) -> bytes:
 
 
 def pack_bits(data: bytes) -> bytes:
+    """Runs of three equal bytes or more, of 128 at most, and what is between them as it is, 128 bytes at a time."""
     out, at = bytearray(), 0
-    while at < len(data):
-        run = 1
-        while run < 128 and at + run < len(data) and data[at + run] == data[at]:
-            run += 1
-        if run > 2:
-            out += bytes((257 - run, data[at]))
-            at += run
-            continue
-        end = at
-        while end < len(data) and end - at < 128 and not (end + 2 < len(data) and data[end] == data[end + 1] == data[end + 2]):
-            end += 1
-        out += bytes((end - at - 1,)) + data[at:end]
-        at = end
+    for run in [*((m.start(), m.end()) for m in _RUN.finditer(data)), (len(data), len(data))]:
+        for start in range(at, run[0], 128):
+            part = data[start : min(start + 128, run[0])]
+            out.append(len(part) - 1)
+            out += part
+        at = run[1]
+        if at > run[0]:
+            out += bytes((257 - (at - run[0]), data[run[0]]))
     return bytes(out)
 
 
+#: Codes between two clearings at most, and the width of the k-th code after one (widened one code early).
+_CODES = 3838
+_WIDTHS = np.array([9, *(9 + (n >= 511) + (n >= 1023) + (n >= 2047) for n in range(258, 258 + _CODES - 1))])
+_CLEAR, _STOP = 256, 257
+_BYTES = [bytes((i,)) for i in range(256)]
+
+
 def unpack_lzw(data: bytes) -> bytes:
-    """Codes of 9 to 12 bits, highest bit first, widened one code early."""
-    clear, stop = 256, 257
-    table: list[bytes] = []
-    out, bits, have, width, last = bytearray(), 0, 0, 9, b""
-    for byte in data:
-        bits, have = (bits << 8 | byte) & 0xFFFFFFFF, have + 8
-        if have < width:
-            continue
-        code = bits >> (have - width) & ((1 << width) - 1)
-        have -= width
-        if code == stop:
-            break
-        if code == clear:
-            table, width, last = [bytes((i,)) for i in range(256)] + [b"", b""], 9, b""
-            continue
-        if not last:
-            entry = table[code]
+    """Codes of 9 to 12 bits, highest bit first. Where a code stands follows from how many came since the table was
+    cleared, so all codes up to the next clearing are read at once."""
+    padded = np.frombuffer(data + bytes(4), np.uint8).astype(np.int64)
+    words = padded[:-2] << 16 | padded[1:-1] << 8 | padded[2:]
+    out, at, total, widths = bytearray(), 0, 8 * len(data), _WIDTHS
+    table, last = [*_BYTES, b"", b""], b""
+    while at + 9 <= total:
+        ends = at + np.cumsum(widths)
+        fits = int(np.searchsorted(ends, total, "right"))
+        ends, width = ends[:fits], widths[:fits]
+        first = ends - width
+        codes = words[first >> 3] >> (24 - width - (first & 7)) & ((1 << width) - 1)
+        marks = np.flatnonzero((codes == _CLEAR) | (codes == _STOP))
+        stop = int(marks[0]) if len(marks) else fits
+        for code in codes[:stop].tolist():
+            if last:
+                entry = table[code] if code < len(table) else last + last[:1]
+                table.append(last + entry[:1])
+            else:
+                entry = table[code]
+            out += entry
+            last = entry
+        if stop < fits and codes[stop] == _CLEAR:
+            table, last, widths, at = [*_BYTES, b"", b""], b"", _WIDTHS, int(ends[stop])
+        elif stop == fits == _CODES:  # never cleared: codes stay as wide as they are
+            widths, at = np.full(_CODES, 12), int(ends[-1])
         else:
-            entry = table[code] if code < len(table) else last + last[:1]
-            table.append(last + entry[:1])
-        out += entry
-        last = entry
-        width = 9 + (len(table) >= 511) + (len(table) >= 1023) + (len(table) >= 2047)
+            break
     return bytes(out)
 
 
 def pack_lzw(data: bytes) -> bytes:
-    """The writer's side of unpack_lzw."""
-    bits = have = 0
-    out = bytearray()
-
-    def put(code: int, width: int) -> None:
-        nonlocal bits, have
-        bits, have = bits << width | code, have + width
-        while have >= 8:
-            have -= 8
-            out.append(bits >> have & 255)
-            bits &= (1 << have) - 1
-
-    table = {bytes((i,)): i for i in range(256)}
-    size, width, word = 258, 9, b""
-    put(256, 9)
-    for i in range(len(data)):
-        longer = word + data[i : i + 1]
-        if longer in table:
-            word = longer
+    """The writer's side of unpack_lzw. A word is known by the code of all but its last byte, and that byte."""
+    codes, widths, known, size, width = [_CLEAR], [9], {}, 258, 9
+    word = -1
+    for byte in data:
+        if word < 0:
+            word = byte
             continue
-        put(table[word], width)
-        table[longer] = size
+        longer = word << 8 | byte
+        code = known.get(longer)
+        if code is not None:
+            word = code
+            continue
+        codes.append(word)
+        widths.append(width)
+        known[longer] = size
         size += 1
-        word = data[i : i + 1]
+        word = byte
         if size == 4094:
-            put(256, width)
-            table, size, width = {bytes((i,)): i for i in range(256)}, 258, 9
-        else:
-            width = 9 + (size >= 512) + (size >= 1024) + (size >= 2048)
-    if word:
-        put(table[word], width)
+            codes.append(_CLEAR)
+            widths.append(width)
+            known, size, width = {}, 258, 9
+        elif size >= 512:
+            width = 10 + (size >= 1024) + (size >= 2048)
+    if word >= 0:
+        codes.append(word)
+        widths.append(width)
         size += 1
         width = 9 + (size >= 512) + (size >= 1024) + (size >= 2048)
-    put(257, width)
-    put(0, 7)
-    return bytes(out)
+    codes.append(_STOP)
+    widths.append(width)
+    widths = np.array(widths)
+    bits = (np.array(codes)[:, None] >> np.arange(11, -1, -1) & 1).astype(np.uint8)
+    return np.packbits(bits[np.arange(11, -1, -1) < widths[:, None]]).tobytes()
 
 
 _UNPACK = {NONE: bytes, PACKBITS: unpack_bits, LZW: unpack_lzw, DEFLATE: zlib.decompress, OLD_DEFLATE: zlib.decompress}

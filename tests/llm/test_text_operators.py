@@ -445,3 +445,12 @@ def test_components_end_or_raise(spark):
     assert {r["component"] for r in components(chain).collect()} == {0}
     with pytest.raises(RuntimeError):
         components(chain, rounds=1)
+
+
+@pytest.mark.parametrize("n", [1, 300, 3837, 3838, 9000])
+def test_lzw_tables_that_are_never_cleared(n):
+    data = np.random.RandomState(n).randint(0, 256, n).astype(np.uint8)
+    widths = [9, *np.concatenate([tiff._WIDTHS, np.full(n, 12)])[: n + 1].tolist()]  # the clearing, each byte by itself, the end
+    bits = "".join(format(code, f"0{width}b") for code, width in zip([256, *data.tolist(), 257], widths, strict=True))
+    packed = bytes(int(bits[k : k + 8].ljust(8, "0"), 2) for k in range(0, len(bits), 8))
+    assert tiff.unpack_lzw(packed) == data.tobytes()
