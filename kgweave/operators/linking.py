@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import grams, ngrams, strip
+from ..session import stored
 from .tabular import keep_one
 
 DOTTED = r"(?U)\b(\d+(?:\.\d+)+)\b"
@@ -32,25 +33,32 @@ def resolve_positions(clauses: DataFrame, chunks: DataFrame, least_ratio: float
     20-character n-grams, at least so many (3). Ties go to the first chunk. Clauses that nothing fits are left out.
 
     clauses: clause_id, content. chunks: chunk_seq, content and perhaps type. Chunks and clauses meet by id, by the
-    clause's rarest piece of three characters (or by all of a shorter text), or by a shared n-gram: never all with all."""
+    clause's rarest piece of three characters (or by all of a shorter text), or by a shared n-gram: never all with all.
+    Of equal texts one meets, so many clauses that say what many chunks say are no pairs."""
     title = F.coalesce(F.col("type") == "title", F.lit(False)) if "type" in chunks.columns else F.lit(False)
     c, k = clauses.select("clause_id", strip(F.coalesce("content", F.lit(""))).alias("clause_text")), chunks.select("chunk_seq", title.alias("title"), strip(F.coalesce("content", F.lit(""))).alias("chunk_text"))
     number = F.regexp_extract("chunk_text", r"^(\d+(?:\.\d+)+)(?![\d.]*\d)", 1)
-    exact = k.withColumn("clause_id", number).join(c, "clause_id").select("clause_id", "chunk_seq", F.lit(1).alias("tier"), F.col("title").cast("double").alias("score"))
-    long = k.where(F.length("chunk_text") >= 10)
+    first = keep_one(k.withColumn("clause_id", number).where("clause_id <> ''"), ["clause_id"], [F.desc("title"), F.col("chunk_seq")])
+    exact = first.join(c, "clause_id").select("clause_id", "chunk_seq", F.lit(1).alias("tier"), F.col("title").cast("double").alias("score"))
+    # what texts say of each other is the same for all that have them: each distinct pair meets once, for the first such chunk
+    texts = stored(c.select("clause_text").where("clause_text <> ''").distinct(), "clause_texts")
+    said = stored(k.groupBy("chunk_text").agg(F.min("chunk_seq").alias("chunk_seq")), "chunk_texts")
+    long = said.where(F.length("chunk_text") >= 10)
     pieces = long.select("chunk_seq", F.length("chunk_text").alias("n"), F.explode(grams(F.col("chunk_text"))).alias("gram"))
     often = pieces.groupBy("gram").agg(F.count("*").alias("df"))
     # a piece that no chunk has drops its clause: the outer join keeps it, as the rarest
-    own = c.where("clause_text <> ''").select("clause_id", F.length("clause_text").alias("size"), F.explode(F.filter(grams(F.col("clause_text")), lambda g: F.length(g) == F.least(F.length("clause_text"), F.lit(3)))).alias("gram"))
-    rarest = own.join(often, "gram", "left").groupBy("clause_id", "size").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("r")).where("r.df > 0").select("clause_id", "size", F.col("r.gram").alias("gram"))
-    near = rarest.join(pieces, "gram").where((F.col("n") >= F.col("size")) & (F.col("size") / F.col("n") >= least_ratio)).select("clause_id", "chunk_seq")
-    second = near.join(c, "clause_id").join(long, "chunk_seq").where(F.contains("chunk_text", F.col("clause_text")))
-    second = second.select("clause_id", "chunk_seq", F.lit(2).alias("tier"), (F.length("clause_text") / F.length("chunk_text")).alias("score"))
-    probe = c.select("clause_id", F.explode(ngrams(F.col("clause_text"), 20, 5)).alias("g"))
-    index = k.select("chunk_seq", F.explode(ngrams(F.col("chunk_text"), 20, 10)).alias("g"))
-    shared = probe.groupBy("clause_id", "g").agg(F.count("*").alias("a")).join(index.groupBy("chunk_seq", "g").agg(F.count("*").alias("b")), "g").groupBy("clause_id", "chunk_seq").agg(F.sum(F.col("a") * F.col("b")).alias("n"))
-    third = shared.where(F.col("n") >= least_ngrams).select("clause_id", "chunk_seq", F.lit(3).alias("tier"), F.col("n").cast("double").alias("score"))
-    return keep_one(exact.unionByName(second).unionByName(third), ["clause_id"], [F.col("tier"), F.desc("score"), F.col("chunk_seq")]).select("clause_id", "chunk_seq", "tier")
+    own = texts.select("clause_text", F.length("clause_text").alias("size"), F.explode(F.filter(grams(F.col("clause_text")), lambda g: F.length(g) == F.least(F.length("clause_text"), F.lit(3)))).alias("gram"))
+    rarest = own.join(often, "gram", "left").groupBy("clause_text", "size").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("r")).where("r.df > 0").select("clause_text", "size", F.col("r.gram").alias("gram"))
+    near = rarest.join(pieces, "gram").where((F.col("n") >= F.col("size")) & (F.col("size") / F.col("n") >= least_ratio)).select("clause_text", "chunk_seq")
+    second = near.join(long, "chunk_seq").where(F.contains("chunk_text", F.col("clause_text")))
+    second = second.select("clause_text", "chunk_seq", F.lit(2).alias("tier"), (F.length("clause_text") / F.length("chunk_text")).alias("score"))
+    probe = texts.select("clause_text", F.explode(ngrams(F.col("clause_text"), 20, 5)).alias("g"))
+    index = said.select("chunk_seq", F.explode(ngrams(F.col("chunk_text"), 20, 10)).alias("g"))
+    shared = probe.groupBy("clause_text", "g").agg(F.count("*").alias("a")).join(index.groupBy("chunk_seq", "g").agg(F.count("*").alias("b")), "g").groupBy("clause_text", "chunk_seq").agg(F.sum(F.col("a") * F.col("b")).alias("n"))
+    third = shared.where(F.col("n") >= least_ngrams).select("clause_text", "chunk_seq", F.lit(3).alias("tier"), F.col("n").cast("double").alias("score"))
+    best = lambda df, key: keep_one(df, [key], [F.col("tier"), F.desc("score"), F.col("chunk_seq")])
+    by_text = best(second.unionByName(third), "clause_text").join(c, "clause_text").select("clause_id", "chunk_seq", "tier", "score")
+    return best(exact.unionByName(by_text), "clause_id").select("clause_id", "chunk_seq", "tier")
 
 
 def table_chunks(chunks: DataFrame) -> DataFrame:
