@@ -9,6 +9,7 @@ in the checkpoint, so a restart goes on where it stopped."""
 from __future__ import annotations
 
 import sys
+from collections import deque
 from collections.abc import Iterator
 from datetime import datetime, timezone
 
@@ -19,6 +20,8 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 #: Final statuses and lines of log that a task keeps.
 FINAL, LOG_ROWS = ("completed", "failed"), 1000
+#: Rows that a task tells at once: what comes out is made by columns, not row by row.
+TOLD_ROWS = 10_000
 #: Seconds after which a sign of life goes out, and after which a task is forgotten.
 ALIVE, FORGOTTEN = 15, 24 * 3600
 LIVE = "task_id string, kind string, ts timestamp, status string, progress int, message string, n_logs int, last_log string"
@@ -39,44 +42,63 @@ class _Task(StatefulProcessor):
         self.value = handle.getValueState("fields", _VALUE)
         self.logs = handle.getListState("logs", T.StructType([T.StructField("line", T.StringType())]))
 
-    def _out(self, key, kind: str, at: int, fields, logs: list[str]):
+    def _frame(self, key, told: list[tuple]):
+        """Rows to tell of a task: (kind, at, (status, progress, message), lines of log, the last)."""
         import pandas as pd
 
-        status, progress, message = fields
-        return pd.DataFrame({"task_id": [key[0]], "kind": [kind], "ts": [pd.Timestamp(at, unit="ms")], "status": [status], "progress": pd.array([progress], dtype="Int32"), "message": [message], "n_logs": pd.array([len(logs)], dtype="Int32"), "last_log": [logs[-1] if logs else None]})
+        kinds, at, fields, n, last = zip(*told, strict=True)
+        status, progress, message = zip(*fields, strict=True)
+        return pd.DataFrame({"task_id": [key[0]] * len(told), "kind": kinds, "ts": pd.to_datetime(at, unit="ms"), "status": status, "progress": pd.array(progress, dtype="Int32"), "message": message, "n_logs": pd.array(n, dtype="Int32"), "last_log": last})
 
     def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:  # noqa: N802
+        import numpy as np
         import pandas as pd
 
-        none = lambda x: None if x is None or pd.isna(x) else x
-        batch = pd.concat(list(rows)).sort_values(["ts", "seq"])
-        status, progress, message, at, raw_status, raw_progress, raw_message, heard, told, ended = self.value.get() if self.value.exists() else (None, None, None, None, None, None, None, False, False, False)
-        logs = [r[0] for r in self.logs.get()] if self.logs.exists() else []
-        for r in batch.itertuples():
-            now = int(pd.Timestamp(r.ts).value // 1_000_000)
-            raw = (none(r.status), None if none(r.progress) is None else int(r.progress), none(r.message))
+        batch = pd.concat(list(rows))
+        at_us, seq = batch["ts"].to_numpy().astype("datetime64[us]").astype("i8"), batch["seq"].to_numpy()
+        order = np.lexsort((seq, at_us))
+
+        def column(name: str) -> list:
+            values = batch[name].to_numpy(dtype=object)[order]
+            values[pd.isna(values)] = None
+            return values.tolist()
+
+        known = self.value.get()
+        status, progress, message, at, raw_status, raw_progress, raw_message, heard, told, ended = known or (None, None, None, None, None, None, None, False, False, False)
+        logs = deque((r[0] for r in self.logs.get()) if known and self.logs.exists() else (), maxlen=LOG_ROWS)
+        out: list[tuple] = []
+        tell = lambda kind, at, fields: out.append((kind, at, fields, len(logs), logs[-1] if logs else None))
+        said = False
+        for now, new_status, new_progress, new_message, line in zip((at_us[order] // 1000).tolist(), *map(column, ("status", "progress", "message", "log")), strict=True):
+            raw = (new_status, None if new_progress is None else int(new_progress), new_message)
             if now > self.since and not told:
                 told = True
                 if heard and not ended:
-                    yield self._out(key, "full", at, (status, progress, message), logs)
+                    tell("full", at, (status, progress, message))
                     ended = status in FINAL
             changed = not heard or raw != (raw_status, raw_progress, raw_message)
             raw_status, raw_progress, raw_message = raw
             status, progress, message = (new if new is not None else old for new, old in zip(raw, (status, progress, message), strict=True))
-            if none(r.log) is not None:
-                logs = [*logs, r.log][-LOG_ROWS:]
+            if line is not None:
+                logs.append(line)
+                said = True
             heard, at = True, now
             if now > self.since and changed and not ended:
-                yield self._out(key, "change", now, raw, logs)
+                tell("change", now, raw)
                 ended = raw[0] in FINAL
+            if len(out) == TOLD_ROWS:
+                yield self._frame(key, out)
+                out.clear()
+        if out:
+            yield self._frame(key, out)
         self.value.update((status, progress, message, at, raw_status, raw_progress, raw_message, heard, told, ended))
-        if logs:
+        if said:
             self.logs.put([(line,) for line in logs])
-        self._wake(at, timerValues.getCurrentWatermarkInMs(), told, ended)
+        self._wake(at, timerValues.getCurrentWatermarkInMs(), told, ended, bool(known))
 
-    def _wake(self, at: int, watermark: int, told: bool, ended: bool) -> None:
-        """One timer: for the full state, the next sign of life, or the end."""
-        for timer in list(self.handle.listTimers()):
+    def _wake(self, at: int, watermark: int, told: bool, ended: bool, known: bool = True) -> None:
+        """One timer: for the full state, the next sign of life, or the end. A task that wasn't known has none yet."""
+        for timer in list(self.handle.listTimers()) if known else []:
             self.handle.deleteTimer(timer)
         when = self.since if not told else at + self.forgotten if ended else min(max(at, watermark) + self.alive, at + self.forgotten)
         self.handle.registerTimer(max(when, watermark + 1))
@@ -87,14 +109,14 @@ class _Task(StatefulProcessor):
         watermark = timerValues.getCurrentWatermarkInMs()
         if not told:
             told = True
-            yield self._out(key, "full", at, (status, progress, message), logs)
+            yield self._frame(key, [("full", at, (status, progress, message), len(logs), logs[-1] if logs else None)])
             ended = status in FINAL
         elif watermark >= at + self.forgotten:
             self.value.clear()
             self.logs.clear()
             return
         elif not ended:
-            yield self._out(key, "alive", watermark, (None, None, None), logs)
+            yield self._frame(key, [("alive", watermark, (None, None, None), len(logs), logs[-1] if logs else None)])
         self.value.update((status, progress, message, at, *raw, heard, told, ended))
         self._wake(at, watermark, told, ended)
 
