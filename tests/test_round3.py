@@ -62,3 +62,33 @@ def test_positions_of_equal_texts_meet_once(spark):
     finally:
         linking.F.contains = contains
     assert len(seen) == n and {(r["chunk_seq"], r["tier"]) for r in seen} == {(3, 2)}
+
+
+def test_clauses_of_one_number_take_digests(spark):
+    from kgweave.operators import segmentation
+
+    n = 400
+    rows = [("d", 0, "title", "1 Start")] + [("d", k, "text", "A.0.1 head\nline %d" % k) for k in range(1, n)] + [("d", n, "title", "2 End"), ("d", n + 1, "text", "words"), ("d", n + 2, "text", "more")]
+    df = spark.createDataFrame(rows, "source string, chunk_seq long, type string, content string")
+    df = df.withColumns({"chunk_id": F.concat(F.lit("c"), "chunk_seq"), "page_idx": (F.col("chunk_seq") % 3).cast("int"), "bbox": F.array(*[F.lit(float(k)) for k in range(4)])})
+    placed = segmentation.blocks(df, spark.createDataFrame([("d", 1, 2, False)], "source string, chapter_depth int, container_depth int, title_mode boolean"))
+    whole = segmentation.clauses(placed).select("seq", F.md5("content").alias("content"), F.size("chunks").alias("chunks"), F.size("boxes").alias("boxes"), "requirement")
+    short = segmentation.clauses(placed, told=F.md5, counts=True).select("seq", "content", "chunks", "boxes", "requirement")
+    assert sorted(short.collect()) == sorted(whole.collect()) and short.count() == n
+    body = "\n".join(["A.0.1 head\nline 1"] + [f"line {k}" for k in range(2, n)])
+    assert segmentation.clauses(placed).where("seq = 7").first()["content"] == body
+
+
+def test_pages_of_a_number_that_begins_a_chunk(spark, tmp_path):
+    from kgweave.plans import catalogue
+    from tests.oracle import same
+
+    rows = [(15, 2, "HIGH"), (18, 1, "HIGH"), (29, 1, "LOW")]  # 3.2.1 at the head of the first, named in the second and third
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    got = catalogue.QUERIES["backfilled_pages"](spark, str(tmp_path)).toPandas()
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    same(got, con.execute(catalogue.SQL["backfilled_pages"]).fetch_df())
+    assert got["page"].tolist() == [15] and got["n_boxes"].tolist() == [3]
