@@ -92,3 +92,19 @@ def test_pages_of_a_number_that_begins_a_chunk(spark, tmp_path):
     con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
     same(got, con.execute(catalogue.SQL["backfilled_pages"]).fetch_df())
     assert got["page"].tolist() == [15] and got["n_boxes"].tolist() == [3]
+
+
+def test_candidates_that_codes_cannot_tell_apart(spark, tmp_path):
+    import numpy as np
+
+    from kgweave.operators.vector_index import VectorIndex
+
+    r = np.random.default_rng(3)
+    near = np.eye(8)[0] + r.normal(0, 1e-3, (400, 8))
+    vectors = np.concatenate([near, -np.eye(8)])  # far ones make the codes of the cell coarse
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "key long, vector array<double>")
+    index = VectorIndex(spark, f"file://{tmp_path}/index").build(df, "key", "vector", cells=1)
+    query = np.eye(8)[0] + 0.3 * np.eye(8)[1]
+    got = index.search(spark.createDataFrame([(1, query.tolist())], "q long, vector array<double>"), "q", "vector", 5, probes=index.about()["cells"])
+    scores = np.round(vectors @ query / np.linalg.norm(vectors, axis=1) / np.linalg.norm(query), 9)
+    assert {x["key"] for x in got.collect()} == set(sorted(range(len(vectors)), key=lambda k: (-scores[k], k))[:5])
