@@ -47,20 +47,20 @@ class Index:
         rows = df.select(F.col(key).alias("key"), (F.lit("") if scope is None else F.coalesce(scope.cast("string"), F.lit(""))).alias("scope"), tx.tokens(F.coalesce(text, F.lit(""))).alias("tokens"))
         self._write(rows.withColumn("len", F.size("tokens")), "staged_rows")
         rows = self.read("staged_rows")
-        self._write(rows.groupBy("scope", "key").agg(F.sum("len").alias("len")), "staged_lengths")
-        lengths = self.read("staged_lengths")
+        lengths = rows.groupBy("scope", "key").agg(F.sum("len").alias("len"))
         self._write(lengths.groupBy("scope").agg(F.count("*").alias("n_docs"), F.avg("len").alias("mean_len")).coalesce(1), "totals")
-        posted = rows.select("key", "scope", F.explode("tokens").alias("token")).groupBy("scope", "token", "key").agg(F.count("*").alias("tf"))
-        posted = posted.join(lengths, ["scope", "key"]).join(self.read("totals").select("scope", "mean_len"), "scope")
+        # whole rows go to their document's task, where tokens are counted: postings aren't shuffled one by one
+        each = rows.repartition("scope", "key").select("key", "scope", F.explode("tokens").alias("token")).groupBy("scope", "key", "token").agg(F.count("*").alias("tf"))
+        posted = each.join(lengths.hint("shuffle_hash"), ["scope", "key"]).join(self.read("totals").select("scope", "mean_len"), "scope")
         posted = posted.withColumn("impact", impact(F.col("tf"), F.col("len"), F.col("mean_len"))).drop("mean_len")
         self._write(posted, "staged_postings")
         posted = self.read("staged_postings")
         words = posted.groupBy("scope", "token").agg(F.count("*").alias("df"))
         self._write(words.repartitionByRange("token", "scope").sortWithinPartitions("token", "scope"), "vocabulary")
         tokens = self.read("vocabulary").select("token").distinct()
-        self._write(tokens.select(F.explode(tx.grams(F.col("token"))).alias("gram"), "token").repartitionByRange("gram", "token").sortWithinPartitions("gram", "token"), "grams")
+        self._write(tokens.select(F.explode(tx.leading_grams(F.col("token"))).alias("gram"), "token").repartitionByRange("gram", "token").sortWithinPartitions("gram", "token"), "grams")
         self._write(self._blocks(posted), "staged_blocks")
-        placed = posted.join(self.read("staged_blocks"), ["scope", "key"]).repartitionByRange("token", "scope", "block", "key").sortWithinPartitions("token", "scope", "block", "key")
+        placed = posted.join(self.read("staged_blocks").hint("shuffle_hash"), ["scope", "key"]).repartitionByRange("token", "scope", "block", "key").sortWithinPartitions("token", "scope", "block", "key")
         placed.write.mode("overwrite").option("parquet.block.size", str(8 << 20)).parquet(f"{self.path}/postings")
         bounds = self.read("postings").groupBy("token", "scope", "block").agg(F.max("impact").alias("most"), F.count("*").alias("n"))
         self._write(bounds.repartitionByRange("token", "scope", "block").sortWithinPartitions("token", "scope", "block"), "bounds")
@@ -72,8 +72,12 @@ class Index:
     def _blocks(self, posted: DataFrame) -> DataFrame:
         """scope, key, block: documents in the order of the frequent word that adds most to them and of how much it adds."""
         often = self.read("vocabulary").withColumn("place", F.row_number().over(W.partitionBy("scope").orderBy(F.desc("df"), "token"))).where(F.col("place") <= LEADERS)
-        lead = posted.join(often.select("scope", "token", F.lit(True).alias("often")), ["scope", "token"], "left").groupBy("scope", "key")
-        lead = lead.agg(F.max(F.when(F.col("often"), F.struct("impact", "token"))).alias("lead")).select("scope", "key", F.col("lead.token").alias("word"), F.col("lead.impact").alias("much"))
+        often = often.select("scope", "token")
+        # LEADERS a scope: a broadcast keeps postings in place, where scopes are few
+        often = F.broadcast(often) if self.read("totals").count() <= LISTED else often
+        lead = posted.join(often, ["scope", "token"]).groupBy("scope", "key").agg(F.max(F.struct("impact", "token")).alias("lead"))
+        docs = self.read("staged_rows").where("len > 0").select("scope", "key").distinct()
+        lead = docs.join(lead, ["scope", "key"], "left").select("scope", "key", F.col("lead.token").alias("word"), F.col("lead.impact").alias("much"))
         laid = lead.repartitionByRange("scope", "word", "much", "key").withColumn("part", F.spark_partition_id())
         place = F.row_number().over(W.partitionBy("part", "scope").orderBy("word", "much", "key"))
         return laid.select("scope", "key", (F.col("part").cast("long") * (1 << 32) + F.floor((place - 1) / BLOCK)).alias("block"))
@@ -139,10 +143,11 @@ class Index:
         if not part:
             return self.read("grams").select("token").limit(0)
         wanted = sorted({part[i : i + tx.GRAM] for i in range(max(1, len(part) - tx.GRAM + 1))})
-        found = self.read("grams").where(F.col("gram").isin(wanted))
+        # shorter ones lead the substring at their place
+        found = self.read("grams").where(F.col("gram").isin(wanted) if len(part) >= tx.GRAM else F.col("gram").startswith(part))
         if len(wanted) > 1:
             found = found.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") == len(wanted))
-        return found.where(F.contains("token", F.lit(part))).select("token")
+        return found.where(F.contains("token", F.lit(part))).select("token").distinct()
 
     def wildcard(self, part: str, scope: str = "") -> DataFrame:
         """key, score 1 of rows with a token that has part in it."""
