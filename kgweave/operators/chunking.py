@@ -110,18 +110,34 @@ def split_text(text: str | None, size: int = 500, overlap: int = 50, ends: tuple
     return out
 
 
+#: Characters of pieces that a task holds before they leave.
+PIECES = 1 << 20
+
+
 def split_texts(df: DataFrame, key: str, text: str, size: int = 500, overlap: int = 50) -> DataFrame:
-    """key, part, piece: each text's windows, by Arrow batches, as every window depends on the one before."""
+    """key, part, piece: each text's windows, by Arrow batches, as every window depends on the one before. Pieces leave in
+    batches of some PIECES characters, so a task holds few of them."""
 
     def run(batches: Iterator) -> Iterator:
-        import pandas as pd
-
-        for pdf in batches:
-            rows = [(k, i, p) for k, t in zip(pdf[key], pdf[text], strict=True) for i, p in enumerate(split_text(t, size, overlap))]
-            yield pd.DataFrame(rows, columns=[key, "part", "piece"])
+        import pyarrow as pa
+
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            make = lambda rows, kind=kind: pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], kind), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.string())], [key, "part", "piece"])
+            rows, chars = [], 0
+            for at in range(batch.num_rows):
+                k = batch.column(0)[at].as_py()
+                for i, p in enumerate(split_text(batch.column(1)[at].as_py(), size, overlap)):
+                    rows.append((k, i, p))
+                    chars += len(p)
+                    if chars >= PIECES:
+                        yield make(rows)
+                        rows, chars = [], 0
+            if rows:
+                yield make(rows)
 
     schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("part", T.IntegerType()), T.StructField("piece", T.StringType())])
-    return df.select(key, text).mapInPandas(shipped(run), schema)
+    return df.select(key, text).mapInArrow(shipped(run), schema)
 
 
 #: Rows of a tile, in which batches are followed at once.
