@@ -30,10 +30,11 @@ class Adjacency:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def build(self, edges: DataFrame) -> Adjacency:
+    def build(self, edges: DataFrame, sides: tuple[str, ...] = ("out", "in")) -> Adjacency:
         """Edges without a source or target are left out; edges that repeat are kept each."""
         e = edges.where("src IS NOT NULL AND dst IS NOT NULL")
-        for side, near in (("out", "src"), ("in", "dst")):
+        for side in sides:
+            near = {"out": "src", "in": "dst"}[side]
             # the lists of a node with many edges are dealt by the edges' ids
             sizes = e.groupBy(F.col(near).alias("node")).agg(F.ceil(F.count("*") / PIECE).alias("pieces"))
             dealt = e.withColumnRenamed(near, "node").withColumn("other", F.col("dst" if near == "src" else "src")).join(sizes, "node")
@@ -73,8 +74,63 @@ def from_roots(graph: Adjacency, roots: DataFrame, depth: int) -> tuple[DataFram
     return reduce(DataFrame.unionByName, seen), edges
 
 
+def hops_of(edges: DataFrame) -> DataFrame:
+    """One bare edge for all from a node to another: what a search for nodes alone is to be built from."""
+    none = F.lit(None).cast("string")
+    return edges.select("src", "dst").distinct().select(none.alias("uuid"), "src", "dst", none.alias("rel"), none.alias("fact"))
+
+
+def nodes_from_roots(graph: Adjacency, roots: DataFrame, depth: int) -> DataFrame:
+    """from_roots' nodes alone: the last round's edges and those against the search aren't read. graph needs the outgoing
+    lists, best of hops_of's edges."""
+    front = stored(roots.select("root", F.col("root").alias("node"), F.lit(0).alias("hops")).distinct(), "front")
+    seen = [front]
+    for k in range(1, depth + 1):
+        found = graph.around(front).select("root", F.col("other").alias("node")).distinct()
+        front = stored(found.join(reduce(DataFrame.unionByName, seen).select("root", "node"), ["root", "node"], "left_anti").withColumn("hops", F.lit(k)), "front")
+        if front.isEmpty():
+            break
+        seen.append(front)
+    return reduce(DataFrame.unionByName, seen)
+
+
+def nearest_roots(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
+    """node, ord, root, hops: of the roots (root, ord) within depth hops of a node the first two by ord, with their fewest hops.
+
+    Each round hands a node's two on along its edges (src, dst). No more are needed: a root that is among a node's first
+    two is so as well for the nodes on its way there, as all their roots are the node's too."""
+    hop = edges.select(F.col("src").alias("node"), "dst")
+    now = roots.select(F.col("root").alias("node"), "ord", "root", F.lit(0).alias("hops"))
+    best = F.min(F.struct("ord", "root", "hops")).alias("r")
+    for _ in range(depth):
+        further = now.join(hop, "node").select(F.col("dst").alias("node"), "ord", "root", F.col("hops") + 1)
+        met = stored(now.union(further).groupBy("node", "ord", "root").agg(F.min("hops").alias("hops")), "met")
+        # minima are summed per task, so a node with many edges is no long group
+        first = met.groupBy("node").agg(best)
+        second = met.join(first, "node").where(F.col("ord") != F.col("r.ord")).drop("r").groupBy("node").agg(best)
+        now = stored(first.union(second).select("node", "r.*"), "nearest")
+    return now
+
+
+def first_edges(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
+    """from_roots' edges of all that facts() can keep, so that their number is that of the edges, not that of roots times
+    what each reaches: as edges that say the same are told once, by the first root that meets them.
+
+    edges: uuid, src, dst, rel, fact. roots: root, ord (no two roots have the same). An edge has the first root within
+    depth hops of its source and the second, for where the first is its target, and its target, if that is a root; of edges
+    that differ by uuid alone the smallest stays."""
+    kept = edges.where("src IS NOT NULL AND dst IS NOT NULL").groupBy("src", "dst", "rel", "fact").agg(F.min(F.struct("uuid")).alias("u"))
+    kept = stored(kept.select("u.uuid", "src", "dst", "rel", "fact"), "edges")
+    first = roots.groupBy("root").agg(F.min("ord").alias("ord"))
+    near = nearest_roots(stored(kept.select("src", "dst").distinct(), "hops"), first, depth)
+    columns = ["root", "uuid", "src", "dst", "rel", "fact", "hops"]
+    out = kept.join(near.select(F.col("node").alias("src"), "root", "hops"), "src").select(*columns)
+    at = first.select(F.col("root").alias("dst"), "root", F.lit(0).alias("hops"))
+    return out.unionByName(kept.where("src <> dst").join(at, "dst").select(*columns))
+
+
 def facts(edges: DataFrame, nodes: DataFrame, roots: DataFrame, only: list[str] | None = None) -> DataFrame:
-    """One row for each different fact of from_roots' edges: text, root, score, uuid, rel, src, dst, hops, source, page,
+    """One row for each different fact of from_roots' or first_edges' edges: text, root, score, uuid, rel, src, dst, hops, source, page,
     box, original.
 
     An edge without a fact is put into words by its name and its target's, if it leads away from the root and, where only
