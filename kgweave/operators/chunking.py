@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -218,28 +219,92 @@ def capacity_batches(df: DataFrame, keys: list[str], order: str, chars: str, row
     return laid.join(numbers, [laid["__place"] == numbers["__place"], *same]).select(*[laid[c] for c in df.columns], "batch")
 
 
+def _likeness(vectors, starts):
+    """Cosines of a list array's vectors with the ones before, as functions.vectors.cosine adds them up: 0 where either is
+    missing or zero or their lengths differ, or nan at starts."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    lengths = pc.fill_null(pc.list_value_length(vectors), -1).to_numpy(zero_copy_only=False)
+    m = np.zeros((len(lengths), max(int(lengths.max()), 0)))
+    m[np.arange(m.shape[1]) < lengths[:, None]] = pc.list_flatten(vectors).to_numpy(zero_copy_only=False)
+    sides, dots = np.zeros(len(m)), np.zeros(len(m) - 1)
+    for v in np.ascontiguousarray(m.T):
+        sides += v * v
+        dots += v[:-1] * v[1:]
+    sides = np.sqrt(sides)
+    both = sides[:-1] * sides[1:]
+    some = (both != 0) & (lengths[:-1] == lengths[1:]) & (lengths[1:] >= 0)
+    out = np.full(len(m), np.nan)
+    out[1:] = np.where(some, np.divide(dots, both, out=np.zeros_like(dots), where=both != 0), 0.0)
+    out[starts] = np.nan
+    return out
+
+
+def _percentile(values: list[float], share: float) -> float:
+    """As Spark's percentile has it, of ascending values."""
+    at = (len(values) - 1) * share
+    low, high = values[math.floor(at)], values[math.ceil(at)]
+    return low if low == high else (math.ceil(at) - at) * low + (at - math.floor(at)) * high
+
+
 def semantic_chunks(df: DataFrame, keys: list[str], order: str, sentence: str, vector: str, size: int = 500) -> DataFrame:
     """Sentences (with vectors) to chunk numbers: a chunk ends where likeness to the next sentence is below the
-    20th percentile and it is over 0.8 sizes long, or where it would pass two sizes."""
-    from ..functions.vectors import cosine
-
-    w = W.partitionBy(*keys).orderBy(order)
-    like = df.withColumn("likeness", cosine(F.lag(vector).over(w), F.col(vector))).withColumn("likeness", F.when(F.row_number().over(w) > 1, F.col("likeness")))
-    bound = like.groupBy(*keys).agg(F.percentile("likeness", F.lit(0.2)).alias("bound"))
-    rows = like.join(bound, keys).drop(vector).withColumn("chars", F.length(sentence))
-    schema = T.StructType([*rows.schema.fields, T.StructField("chunk", T.IntegerType())])
-
-    def run(pdf):
-        pdf = pdf.sort_values(order)
-        chunk, total, out = 0, 0, []
-        for chars, likeness, bound in zip(pdf["chars"], pdf["likeness"], pdf["bound"], strict=True):
-            if out and ((likeness < bound and total > 0.8 * size) or total + chars > 2 * size):
-                chunk, total = chunk + 1, 0
-            out.append(chunk)
-            total += chars
-        return pdf.assign(chunk=out)
-
-    return rows.groupBy(*keys).applyInPandas(shipped(run), schema)
+    20th percentile and it is over 0.8 sizes long, or where it would pass two sizes.
+
+    sentence: a column of texts, or of their lengths. Rows are shuffled once, and a batch has the sentences of many keys;
+    a null key is one. Adds likeness (to the sentence before), bound, chars and chunk to df's columns but the vector."""
+    length = F.col(sentence) if isinstance(df.schema[sentence].dataType, T.IntegralType) else F.length(sentence)
+    whole = F.when(~F.exists(vector, lambda x: x.isNull()), F.col(vector))
+    kept = [c for c in df.columns if c != vector]
+    rows = df.select(*[c for c in kept if c != "chars"], whole.alias("_vector"), length.cast("int").alias("chars"))
+    rows = rows.withColumn("_place", F.row_number().over(W.partitionBy(*keys).orderBy(order)))
+    given = [f for f in rows.schema.fields if f.name not in ("_vector", "_place", "chars")]
+    schema = T.StructType([*given, T.StructField("likeness", T.DoubleType()), T.StructField("bound", T.DoubleType()), T.StructField("chars", T.IntegerType()), T.StructField("chunk", T.IntegerType())])
+    names = [f.name for f in given]
+
+    def chunked(table):
+        import numpy as np
+        import pyarrow as pa
+
+        table = table.combine_chunks()
+        starts = np.flatnonzero(table["_place"].to_numpy() == 1)
+        like = _likeness(table["_vector"].combine_chunks(), starts)
+        chars, likeness, bounds, out = [c or 0 for c in table["chars"].to_pylist()], like.tolist(), [], []
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(like)], strict=True):
+            bound = _percentile(np.sort(like[a + 1 : b]).tolist(), 0.2) if b - a > 1 else None
+            bounds += [bound] * (b - a)
+            chunk, total = 0, 0
+            for i in range(a, b):
+                if i > a and ((likeness[i] < bound and total > 0.8 * size) or total + chars[i] > 2 * size):
+                    chunk, total = chunk + 1, 0
+                out.append(chunk)
+                total += chars[i]
+        told = [pa.array(like, mask=table["_place"].to_numpy() == 1), pa.array(bounds, pa.float64()), table["chars"].cast(pa.int32()), pa.array(out, pa.int32())]
+        made = pa.table([*[table[n] for n in names], *told], [*names, "likeness", "bound", "chars", "chunk"])
+        return made.to_batches()
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        # the last key of a batch may go on in the next
+        open_rows = []
+        for batch in batches:
+            starts = np.flatnonzero(batch.column(batch.schema.get_field_index("_place")).to_numpy() == 1)
+            if open_rows and len(starts):
+                done = pa.Table.from_batches([*open_rows, batch.slice(0, starts[-1])])
+                open_rows = [batch.slice(starts[-1])]
+                yield from chunked(done)
+            elif len(starts) and starts[-1]:
+                open_rows = [batch.slice(starts[-1])]
+                yield from chunked(pa.Table.from_batches([batch.slice(0, starts[-1])]))
+            elif batch.num_rows:
+                open_rows.append(batch)
+        if open_rows:
+            yield from chunked(pa.Table.from_batches(open_rows))
+
+    return rows.mapInArrow(shipped(run), schema)
 
 
 def last_chapters(chapters: DataFrame) -> DataFrame:

@@ -94,4 +94,5 @@ def capacity_batches(spark, d):
 def sentence_chunks(spark, d):
     """Sentences of every document, chunked within it by the vectors of the offline embedder."""
     each = table(spark, d, "documents").select("source", "doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("ord", "text"))
-    return chunking.semantic_chunks(plugins.embed(each, "text"), ["source", "doc_id"], "ord", "text", "embedding", 4000).select("source", "doc_id", "ord", "chars", "chunk")
+    vectors = plugins.embed(each, "text").select("source", "doc_id", "ord", F.length("text").alias("chars"), "embedding")
+    return chunking.semantic_chunks(vectors, ["source", "doc_id"], "ord", "chars", "embedding", 4000).select("source", "doc_id", "ord", "chars", "chunk")

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from .workers import shipped
 
 KINDS = ("embedder", "scorer", "extractor", "describer", "chat", "tagger", "ontology", "triplets", "contents", "persona", "filter")
+#: Characters whose trigrams are counted at once.
+PIECE = 1 << 20
 REGISTRY: dict[str, dict[str, Callable]] = {kind: {} for kind in KINDS}
 
 
@@ -41,18 +43,41 @@ def retried(fn: Callable, arg, tries: int = 3, wait: float = 0.2, sleep: Callabl
 
 @register("embedder", "hashed")
 def hashed_embedding(texts: list[str | None], size: int = 64) -> list[list[float]]:
-    """Character trigrams hashed to signed counts, of length 1; blank texts are zero vectors."""
-    out = []
-    for text in texts:
-        v = [0.0] * size
+    """Character trigrams hashed to signed counts, of length 1; blank texts are zero vectors. A trigram is hashed once for
+    PIECE characters, which may be many texts or a part of one."""
+    import numpy as np
+    import pandas as pd
+
+    counts = np.zeros((len(texts), size))
+
+    def add(rows: list[int], parts: list[str]) -> None:
+        points = np.frombuffer("".join(parts).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+        row = np.repeat(rows, [len(p) for p in parts])
+        part = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+        inside = part[:-2] == part[2:]
+        grams, distinct = pd.factorize(((points[:-2] << 42) | (points[1:-1] << 21) | points[2:])[inside])
+        hashes = [int.from_bytes(hashlib.blake2b("".join(map(chr, (g >> 42, g >> 21 & 0x1FFFFF, g & 0x1FFFFF))).encode(), digest_size=8).digest(), "big") for g in distinct.tolist()]
+        place = np.array([h % size for h in hashes], dtype=np.int64)
+        sign = np.array([1.0 if h >> 63 else -1.0 for h in hashes])
+        low, high = rows[0], rows[-1] + 1
+        cells = (row[:-2][inside] - low) * size + place[grams]
+        counts[low:high] += np.bincount(cells, sign[grams], (high - low) * size).reshape(-1, size)
+
+    rows, parts, held = [], [], 0
+    for i, text in enumerate(texts):
         t = f" {(text or '').strip().lower()} "
-        if t.strip():
-            for k in range(len(t) - 2):
-                h = int.from_bytes(hashlib.blake2b(t[k : k + 3].encode(), digest_size=8).digest(), "big")
-                v[h % size] += 1.0 if h >> 63 else -1.0
-        norm = sum(x * x for x in v) ** 0.5
-        out.append([x / norm for x in v] if norm else v)
-    return out
+        for at in range(0, len(t) - 2 if t.strip() else 0, PIECE):
+            part = t[at : at + PIECE + 2]
+            rows.append(i)
+            parts.append(part)
+            held += len(part)
+            if held >= PIECE:
+                add(rows, parts)
+                rows, parts, held = [], [], 0
+    if parts:
+        add(rows, parts)
+    squares = (counts * counts).sum(axis=1).tolist()
+    return (counts / np.array([x**0.5 or 1.0 for x in squares]).reshape(-1, 1)).tolist()
 
 
 @register("scorer", "overlap")
