@@ -83,19 +83,28 @@ def neighbourhood(edges: DataFrame, start, src: tuple[str, ...] = ("src",), dst:
 
 def reach(edges: DataFrame, starts: DataFrame, depth: int, either_way_first: bool = False) -> DataFrame:
     """root, node, hops: nodes along outgoing edges within so many hops; each with its fewest. With either_way_first the
-    first hop also goes against its edges, as entities are named by topics and name nothing themselves.
+    first hop also goes against its edges, as entities are named by topics and name nothing themselves. Nodes are of any
+    type; short ones shuffle less. Edges without a target lead nowhere.
 
-    A loop of joins bounded by depth; each round expands only what the last one found first, which is kept as a table."""
-    seen = starts.select(F.col("root"), F.col("root").alias("node"), F.lit(0).alias("hops"))
-    front = seen
+    What a node reaches is found once, however many roots come by it: first which nodes are as many hops from any root,
+    then, from the furthest back, what each reaches in the hops that are left. Each step is kept as a table."""
     hop = edges.select(F.col("src").alias("node"), F.col("dst").alias("next"))
-    either = hop.union(hop.select(F.col("next").alias("node"), F.col("node").alias("next")))
-    for k in range(1, depth + 1):
-        found = front.join(either if either_way_first and k == 1 else hop, "node").select("root", F.col("next").alias("node")).distinct()
-        front = found.join(seen, ["root", "node"], "left_anti").withColumn("hops", F.lit(k))
-        front = stored(front, "front") if k < depth else front
-        seen = seen.unionByName(front)
-    return seen.where("hops > 0")
+    if depth < 1:
+        return starts.select("root", F.col("root").alias("node"), F.lit(0).alias("hops")).limit(0)
+    first = hop.union(hop.select("next", "node")) if either_way_first else hop
+    roots = starts.select(F.col("root").alias("node")).distinct()
+    steps = [first.join(roots, "node", "left_semi")]
+    for _ in range(1, depth):
+        # nodes that lead nowhere end here
+        steps[-1] = stored(steps[-1].distinct(), "steps")
+        steps.append(hop.join(steps[-1].select(F.col("next").alias("node")).distinct(), "node", "left_semi"))
+    reached = steps[-1].select("node", F.col("next").alias("to"), F.lit(1).alias("hops"))
+    for k, step in enumerate(reversed(steps[:-1])):
+        reached = stored(reached.distinct() if k == 0 else reached, "reached")
+        further = step.join(reached.withColumnRenamed("node", "next"), "next").select("node", "to", F.col("hops") + 1)
+        reached = step.select("node", F.col("next").alias("to"), F.lit(1)).union(further).toDF("node", "to", "hops").groupBy("node", "to").agg(F.min("hops").alias("hops"))
+    reached = reached if depth > 1 else reached.distinct()
+    return reached.where("node <> to").select(F.col("node").alias("root"), F.col("to").alias("node"), "hops")
 
 
 def edges_within(edges: DataFrame, nodes: DataFrame) -> DataFrame:
