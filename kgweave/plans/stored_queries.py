@@ -15,10 +15,10 @@ from .catalogue import query, table
 from .domain import cte
 
 
-def written(spark, lines, tag: str) -> str:
+def written(spark, lines, tag: str, compression: str = "none") -> str:
     """A folder of text files of lines (one string column)."""
     path = shared_path(spark, tag)
-    lines.write.text(path)
+    lines.write.option("compression", compression).text(path)
     return path
 
 
@@ -103,7 +103,7 @@ def layout_rows(spark, d):
     block = F.struct("l_linenumber", "l_partkey", "l_extendedprice", F.struct(kind.alias("type"), box.alias("bbox"), lines.alias("lines"), F.when(lines.isNull(), sub).alias("blocks")).alias("b"))
     pages = i.groupBy(F.concat(F.lit("doc"), F.col("l_suppkey") % 20).alias("source"), F.col("l_orderkey").alias("page_num")).agg(F.transform(F.sort_array(F.collect_list(block)), lambda x: x["b"]).alias("preproc_blocks"))
     info = F.struct(F.array(F.struct(F.lit(0).alias("page_idx"), F.array(F.lit(100.0), F.lit(200.0)).alias("page_size"), "preproc_blocks")).alias("pdf_info"))
-    read = readers.parsed_pages(spark, written(spark, pages.select(F.to_json(F.struct("source", "page_num", info.alias("middle_json")))), "layout"))
+    read = readers.parsed_pages(spark, written(spark, pages.select(F.to_json(F.struct("source", "page_num", info.alias("middle_json")))), "layout", "gzip"))
     return readers.layout_chunks(read).select("source", "chunk_seq", "type", "content", "table_content", F.get("bbox_pdf", F.lit(0)).alias("x0"))
 
 
