@@ -72,11 +72,17 @@ def path_two_hop(spark, d):
     return two_hop_counts(spark, d, table(spark, d, "part"), table(spark, d, "lineitem"))
 
 
+#: Rows that a task of a wide shuffle gets: adaptive execution goes by compressed bytes, which say little of the memory of numbers.
+EACH_TASK = 1_000_000
+
+
 def two_hop_counts(spark, d, parts, lines):
-    roots = parts.select(F.col("p_partkey").alias("root"))
-    hop = lines.select(F.struct("l_suppkey", "l_orderkey").alias("topic"), F.col("l_partkey").alias("root")).distinct()
-    clauses = lines.join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_orderkey").alias("clause"), F.struct("l_suppkey", "l_orderkey").alias("topic")).distinct()
-    paths = graph.two_hop_paths(roots, hop, clauses).select("root", F.col("topic.l_suppkey").alias("topic"), "clause").distinct()
+    """As all rows of hops, clauses and roots are distinct, paths are."""
+    n = max(1, -(-lines.count() // EACH_TASK))
+    roots = parts.select(F.col("p_partkey").alias("root")).repartition(n, "root").distinct()
+    hop = lines.select(F.struct("l_suppkey", "l_orderkey").alias("topic"), F.col("l_partkey").alias("root")).repartition(n, "topic").distinct()
+    clauses = lines.join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_orderkey").alias("clause"), F.struct("l_suppkey", "l_orderkey").alias("topic")).repartition(n, "topic").distinct()
+    paths = graph.two_hop_paths(roots, hop, clauses).select("root", F.col("topic.l_suppkey").alias("topic"), "clause")
     return paths.groupBy("root").agg(F.count_distinct("topic").alias("n_topics"), F.count("clause").alias("n_clauses"))
 
 
