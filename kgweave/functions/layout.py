@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,11 +28,16 @@ def page_of(boxes: Column, fallback: Column) -> Column:
 PAGE_HEIGHT, ABOVE = 841, 50
 
 
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), where value is computed once however often it is used: functions of arrays are repeated otherwise."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
 def union_of(boxes: Column) -> Column:
     """The box around all boxes of four numbers or more; null without one."""
-    whole = F.filter(boxes, lambda b: F.size(b) >= 4)
-    side = lambda f, i: f(F.transform(whole, lambda b: F.get(b, F.lit(i))))
-    return F.when(F.size(whole) > 0, F.array(side(F.array_min, 0), side(F.array_min, 1), side(F.array_max, 2), side(F.array_max, 3)))
+    side = lambda whole, f, i: f(F.transform(whole, lambda b: F.get(b, F.lit(i))))
+    around = lambda whole: F.when(F.size(whole) > 0, F.array(side(whole, F.array_min, 0), side(whole, F.array_min, 1), side(whole, F.array_max, 2), side(whole, F.array_max, 3)))
+    return _once(F.filter(boxes, lambda b: F.size(b) >= 4), around)
 
 
 def lines_box(lines: Column, block: Column) -> Column:
@@ -39,13 +46,12 @@ def lines_box(lines: Column, block: Column) -> Column:
     Lines with a span marked as of the next page don't count, unless all are. Without such marks a block whose own box is
     no higher than a page counts whole; in a higher one lines that begin far above the middle one are on the next page.
     Null without a line with a box."""
-    boxed = F.filter(lines, lambda l: F.size(l["bbox"]) >= 4)
+    top = lambda l: F.get(l["bbox"], F.lit(1))
     crosses = lambda l: F.coalesce(F.exists(l["spans"], lambda s: F.coalesce(s["cross_page"], F.lit(False))), F.lit(False))
-    boxes = lambda rows: F.transform(rows, lambda l: l["bbox"])
-    here = F.filter(boxed, lambda l: ~crosses(l))
-    marked = F.exists(lines, crosses) & (F.size(here) > 0)
-    tops = F.array_sort(F.transform(boxed, lambda l: F.get(l["bbox"], F.lit(1))))
-    middle = F.get(tops, F.floor(F.size(tops) / 2).cast("int"))
-    low = F.filter(boxed, lambda l: F.get(l["bbox"], F.lit(1)) >= middle - ABOVE)
-    fits = (F.size(block) >= 4) & (F.get(block, F.lit(3)) - F.get(block, F.lit(1)) <= PAGE_HEIGHT)
-    return F.when(marked, union_of(boxes(here))).when(fits, union_of(boxes(boxed))).otherwise(union_of(boxes(low)))
+    fits = _once(block, lambda b: (F.size(b) >= 4) & (F.get(b, F.lit(3)) - F.get(b, F.lit(1)) <= PAGE_HEIGHT))
+    middle = lambda boxed: _once(F.array_sort(F.transform(boxed, top)), lambda tops: F.get(tops, F.floor(F.size(tops) / 2).cast("int")))
+    low = lambda boxed: _once(middle(boxed), lambda m: F.filter(boxed, lambda l: top(l) >= m - ABOVE))
+    unmarked = lambda boxed: F.when(fits, boxed).otherwise(low(boxed))
+    here = lambda boxed: _once(F.filter(boxed, lambda l: ~crosses(l)), lambda h: F.when(F.size(h) > 0, h).otherwise(unmarked(boxed)))
+    own = _once(F.filter(lines, lambda l: F.size(l["bbox"]) >= 4), lambda boxed: F.when(F.exists(lines, crosses), here(boxed)).otherwise(unmarked(boxed)))
+    return union_of(F.transform(own, lambda l: l["bbox"]))
